@@ -261,10 +261,13 @@ def fuse(predictions: DataFrame) -> DataFrame:
     """
     used = predictions.filter(F.col("value") > 0)
     v, w = F.col("value"), F.coalesce("weight", F.lit(0.0))
+    def total(c: Column) -> Column:
+        return F.sum(c.cast("decimal(28,8)")).cast("double")
+
+    n = F.count(F.lit(1))
     one = used.groupBy("request_id").agg(
-        F.sum(money(v * w)).cast("double").alias("vw"), F.sum(money(w)).cast("double").alias("w"),
-        F.sum(money(v)).cast("double").alias("v"), F.count(F.lit(1)).alias("model_count"),
-        (F.sum(money(w)).cast("double") / F.count(F.lit(1))).alias("mean_w"))
+        total(v * w).alias("vw"), total(w).alias("w"), total(v).alias("v"), n.alias("model_count"),
+        (total(w) / n).alias("mean_w"))
     return one.select(
         "request_id", F.coalesce(F.col("vw") / F.nullif("w", F.lit(0.0)), F.col("v") / F.col("model_count")).alias("fused"),
         "model_count", round_half(F.col("mean_w") * 100, 1).alias("average_accuracy"))

@@ -223,16 +223,17 @@ def range_violations(rules_table: list[tuple], prefix: str = "") -> list[Column]
     return out
 
 
+def _outside(name: str, low: float, inclusive: bool, high: float):
+    return lambda b: (b[name] < low if inclusive else b[name] <= low) | (b[name] > high)
+
+
 def validate_requests(requests: DataFrame) -> DataFrame:
     """Violated rules of every request as a sorted list, empty when valid."""
     ranges = [r for r in C.REQUEST_RANGES if r[0] in requests.columns]
     found = range_violations(ranges)
     found += [F.when(F.length(c) > n, F.lit(c)) for c, n in C.REQUEST_LENGTHS if c in requests.columns]
     if "buildings" in requests.columns:
-        for name, low, inclusive, high in C.BUILDING_RANGES:
-            def outside(b, name=name, low=low, inclusive=inclusive, high=high):
-                return (b[name] < low if inclusive else b[name] <= low) | (b[name] > high)
-            found.append(F.when(F.exists("buildings", outside), F.lit(f"buildings.{name}")))
+        found += [F.when(F.exists("buildings", _outside(*rule)), F.lit(f"buildings.{rule[0]}")) for rule in C.BUILDING_RANGES]
         found.append(F.when(~area_consistent(F.col("buildings"), F.col("total_area")), F.lit("buildings.area_sum")))
     return requests.withColumn("violations", F.array_sort(F.array_compact(F.array(*found))))
 

@@ -425,10 +425,12 @@ def project_records(rows: DataFrame, folders: DataFrame, chunk: int = ordered.CH
 
 def batch_outcome(records: DataFrame, folders: DataFrame, done: DataFrame) -> DataFrame:
     """Projects per status and reason: skipped when done before, failed without a record, else ok."""
-    status = (F.when(F.col("_done").isNotNull(), F.struct(F.lit("skipped").alias("status"), F.lit("already done").alias("reason")))
-              .when(F.col("errors").isNull(), F.struct(F.lit("failed"), F.lit("no main workbook")))
-              .when(F.size("errors") > 0, F.struct(F.lit("ok"), F.array_join("errors", ",")))
-              .otherwise(F.struct(F.lit("ok"), F.lit(""))))
+    def outcome(status: str, reason: Column) -> Column:
+        return F.struct(F.lit(status).alias("status"), reason.alias("reason"))
+
+    status = (F.when(F.col("_done").isNotNull(), outcome("skipped", F.lit("already done")))
+              .when(F.col("errors").isNull(), outcome("failed", F.lit("no main workbook")))
+              .otherwise(outcome("ok", F.array_join("errors", ","))))
     return (folders.select("project_id").join(records.select("project_id", "errors"), "project_id", "left")
             .join(done.select("project_id").distinct().withColumn("_done", F.lit(1)), "project_id", "left")
             .select(status.alias("s")).groupBy("s.status", "s.reason").agg(F.count(F.lit(1)).alias("n")))

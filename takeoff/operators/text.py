@@ -96,7 +96,8 @@ def value_after(row: Column, label: Column) -> Column:
     """Value next to a label: behind a colon in its cell, else the next cell, else the last word of its cell."""
     def at(i: Column) -> Column:
         c = F.trim(F.coalesce(F.get(row, i), F.lit("")))
-        behind = F.trim(F.nullif(F.regexp_extract(c, F.concat(label, F.lit("\\s*[:：]\\s*(.+)")), 1), F.lit("")))
+        behind = F.trim(F.nullif(F.call_function(
+            "regexp_extract", c, F.concat(label, F.lit("\\s*[:：]\\s*(.+)")), F.lit(1)), F.lit("")))
         following = F.nullif(F.trim(F.coalesce(F.get(row, i + 1), F.lit(""))), F.lit(""))
         words = F.split(c, "\\s+")
         last = F.when(F.size(words) >= 2, F.get(words, F.size(words) - 1))

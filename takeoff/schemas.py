@@ -3,8 +3,18 @@
 from pyspark.sql import types as T
 
 
+_KINDS = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
+    "date": T.DateType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(),
+    "strings": T.ArrayType(T.StringType()), "tables": T.ArrayType(T.ArrayType(T.ArrayType(T.StringType()))),
+    "properties": T.MapType(T.StringType(), T.StringType()),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema from 'name kind, name kind'; works before a session exists."""
+    pairs = [part.split() for part in text.split(",")]
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in pairs])
 
 
 PROJECT_META = _schema(
@@ -39,11 +49,11 @@ PREDICTION_UPLOADS = _schema(
     "expires_at timestamp"
 )
 SHEET_ROWS = _schema(
-    "project_id string, source_file string, sheet_name string, sheet_order int, row_num bigint, cells array<string>"
+    "project_id string, source_file string, sheet_name string, sheet_order int, row_num bigint, cells strings"
 )
 PARSED_DOCUMENT = _schema(
-    "filename string, file_format string, full_text string, tables array<array<array<string>>>,"
-    "metadata map<string,string>, pages int, is_scanned boolean, warnings array<string>"
+    "filename string, file_format string, full_text string, tables tables,"
+    "metadata properties, pages int, is_scanned boolean, warnings strings"
 )
 
 TABLES = {
