@@ -163,23 +163,17 @@ def stored_name(task_id: Column, file_name: Column) -> Column:
 
 def region(location: Column) -> Column:
     """One of seven regions: itself, else that of the city or province, else the default."""
-    place = F.trim(location)
-    members = [(m, r) for r, ms in C.REGION_MEMBERS for m in ms]
-    return F.when(place.isin(C.REGIONS), place).otherwise(rules.lookup(place, members, C.DEFAULT_REGION))
+    members = [(r, r) for r in C.REGIONS] + [(m, r) for r, ms in C.REGION_MEMBERS for m in ms]
+    return rules.lookup(F.trim(location), members, C.DEFAULT_REGION)
 
 
 def seismic_level(location: Column) -> Column:
     """Design intensity: exact city, else longest contained city, else region, else contained region."""
     place = F.trim(location)
-    cities = sorted(C.SEISMIC_CITIES, key=lambda pair: -len(pair[0]))
-
-    def label(v: float) -> str:
-        return f"{v:g}度"
-
-    exact = rules.lookup(place, [(c, label(v)) for c, v in cities])
-    longest = rules.chain([(place.contains(c), F.lit(label(v))) for c, v in cities])
-    in_region = rules.chain([(place.contains(r), F.lit(label(v))) for r, v in C.SEISMIC_REGIONS])
-    return F.coalesce(exact, longest, in_region, F.lit(C.DEFAULT_SEISMIC))
+    cities = [(c, f"{v:g}度") for c, v in sorted(C.SEISMIC_CITIES, key=lambda pair: -len(pair[0]))]
+    regions = [(r, f"{v:g}度") for r, v in C.SEISMIC_REGIONS]
+    return F.coalesce(rules.lookup(place, cities), rules.first_contained_value(place, cities),
+                      rules.first_contained_value(place, regions), F.lit(C.DEFAULT_SEISMIC))
 
 
 def floor_tier(floors: Column) -> Column:

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 MONEY = "decimal(18,4)"
 
 
+NUMBER = "^\\s*([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\\s*$"
+
+
 def parse_number(cell: Column) -> Column:
-    """Double value of a cell, null when it is not a finite number.
+    """Double value of a cell, null when it is not a plain number.
 
-    A trailing d or f is a float suffix for the JVM parser but not a number here.
+    The pattern keeps out what the cast alone would take: float suffixes, NaN and infinity words.
     """
-    text = F.trim(cell.cast("string"))
-    value = F.when(~F.lower(F.substring(text, -1, 1)).isin("d", "f"), text.try_cast("double"))
-    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    return F.regexp_extract(cell.cast("string"), NUMBER, 1).try_cast("double")
 
 
 def number_or(cell: Column, default: float = 0.0) -> Column:

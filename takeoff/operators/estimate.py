@@ -17,32 +17,23 @@ from takeoff.operators import quantiles
 # -- coefficients ------------------------------------------------------------
 
 
-def _struct_of(parts: tuple) -> Column:
-    groups = []
-    for group, values in zip(C.COEFFICIENT_ITEMS, parts):
-        groups.append(F.array(*[F.lit(float(v)) for v in values]).alias(group))
-    return F.struct(*groups)
+def coefficient_table(spark: SparkSession) -> DataFrame:
+    """Rows (building type, structure type, division, material, composition).
 
-
-def _mean_parts(rows: list[tuple]) -> tuple:
-    return tuple(tuple(sum(col) / len(rows) for col in zip(*[r[2 + g] for r in rows])) for g in range(3))
-
-
-def coefficients(building_type: Column, structure_type: Column, floors: Column) -> Column:
-    """Struct of division, material and composition ratios.
-
-    Exact type and structure, else the mean of the type, else the default.  High
-    and low buildings shift the divisions, which are brought back to a sum of 1.
+    A row without structure holds the mean of its type, the row without type the default.
     """
-    exact = [((building_type == t) & (structure_type == s), _struct_of((d, m, c))) for t, s, d, m, c in C.COEFFICIENTS]
-    types = list(dict.fromkeys(row[0] for row in C.COEFFICIENTS))
-    by_type = [(building_type == t, _struct_of(_mean_parts([r for r in C.COEFFICIENTS if r[0] == t]))) for t in types]
-    return rules.chain(exact + by_type, _struct_of(C.DEFAULT_COEFFICIENTS))
+    rows = [(t, s, *[list(g) for g in (d, m, c)]) for t, s, d, m, c in C.COEFFICIENTS]
+    for t in dict.fromkeys(row[0] for row in C.COEFFICIENTS):
+        own = [r for r in C.COEFFICIENTS if r[0] == t]
+        rows.append((t, "", *[[sum(col) / len(own) for col in zip(*[r[2 + g] for r in own])] for g in range(3)]))
+    rows.append(("", "", *[list(g) for g in C.DEFAULT_COEFFICIENTS]))
+    return spark.createDataFrame(
+        rows, "_type string, _structure string, division array<double>, material array<double>, composition array<double>")
 
 
-def adjusted_division(coef: Column, floors: Column) -> Column:
+def adjusted_division(division: Column, floors: Column) -> Column:
     """Division ratios after the floor adjustment, in whole ten-thousandths of 1."""
-    d = [coef["division"][i] for i in range(4)]
+    d = [division[i] for i in range(4)]
     high, low = floors > 50, floors < 6
     shifted = [F.when(high, d[0] * 1.3).otherwise(d[0]), F.when(high, d[1] * 1.1).otherwise(d[1]),
                F.when(low & ~high, d[2] * 1.2).otherwise(d[2]), d[3]]
@@ -52,16 +43,26 @@ def adjusted_division(coef: Column, floors: Column) -> Column:
 def normalised(values: list[Column], digits: int = 4) -> Column:
     """Array of the values as shares of their sum."""
     whole = reduce(lambda a, b: a + b, values)
-    return F.array(*[F.when(whole > 0, round_half(v / F.nullif(whole, F.lit(0.0)), digits)).otherwise(v) for v in values])
+    return F.array(*[F.when(whole > 0, round_half(v / whole, digits)).otherwise(v) for v in values])
 
 
 def with_coefficients(df: DataFrame, building_type: str = "building_type", structure: str = "structure_type",
                       floors: str = "floors") -> DataFrame:
-    """Add division, material and composition arrays."""
-    coef = coefficients(F.col(building_type), F.col(structure), F.col(floors))
-    return df.withColumn("_coef", coef).withColumns({
-        "division": adjusted_division(F.col("_coef"), F.coalesce(floors, F.lit(10))),
-        "material": F.col("_coef.material"), "composition": F.col("_coef.composition")}).drop("_coef")
+    """Add division, material and composition arrays.
+
+    Exact type and structure, else the mean of the type, else the default: first
+    the key of the best row is found, then one join with the constant table (a
+    few dozen rows, so it is broadcast).  High and low buildings shift the divisions.
+    """
+    exact = [f"{t}|{s}" for t, s, *_ in C.COEFFICIENTS]
+    types = list(dict.fromkeys(row[0] for row in C.COEFFICIENTS))
+    both = F.concat_ws("|", F.col(building_type), F.coalesce(structure, F.lit("")))
+    keyed = df.withColumn("_key", F.when(both.isin(exact), both).when(
+        F.col(building_type).isin(types), F.concat(F.col(building_type), F.lit("|"))).otherwise("|"))
+    table = coefficient_table(df.sparkSession).withColumn("_key", F.concat_ws("|", "_type", "_structure")).drop(
+        "_type", "_structure")
+    joined = keyed.join(F.broadcast(table), "_key", "left").drop("_key")
+    return joined.withColumn("division", adjusted_division(F.col("division"), F.coalesce(floors, F.lit(10))))
 
 
 # -- scale and base price ----------------------------------------------------

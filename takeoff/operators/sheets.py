@@ -79,14 +79,14 @@ def bill_items(rows: DataFrame, chunk: int = ordered.CHUNK) -> DataFrame:
         F.col("item_name").alias("section"), names.division_of_section(F.col("item_name")).alias("division")))
     filled = ordered.carry_forward(lines.withColumn("_header", header), SHEET, "row_num", mark, "_section", chunk,
                                    ties=("item_name", "code", "total_price"))
-    code = names.bill_code(F.col("code"))
-    valid = names.is_bill_code(code)
+    staged = filled.withColumn("_code", names.bill_code(F.col("code"))).withColumn(
+        "_valid", names.is_bill_code(F.col("_code")))
     calc = F.col("comp_unit_price") * F.col("quantity")
     off = (calc > 0) & (F.col("total_price") > 0) & (
         F.abs(F.col("total_price") - calc) / F.nullif(F.col("total_price"), F.lit(0.0)) > 0.01)
     return (
-        filled.filter(~F.col("_header") & (valid | (F.col("total_price") > 0)))
-        .withColumn("boq_code", F.when(valid, code).otherwise(F.format_string("SUB_%05d", "row_num")))
+        staged.filter(~F.col("_header") & (F.col("_valid") | (F.col("total_price") > 0)))
+        .withColumn("boq_code", F.when(F.col("_valid"), F.col("_code")).otherwise(F.format_string("SUB_%05d", "row_num")))
         .select(
             names.item_id(F.col("project_id").cast("string"), F.col("boq_code"), F.col("item_name"),
                           F.col("unit_project")).alias("item_id"),
@@ -95,7 +95,7 @@ def bill_items(rows: DataFrame, chunk: int = ordered.CHUNK) -> DataFrame:
             names.trade_of_item(F.col("item_name"), F.col("spec")).alias("trade"), "unit", "quantity",
             "comp_unit_price", "total_price", "labor_fee", F.lit(1).alias("is_active"),
             F.coalesce(off, F.lit(False)).cast("int").alias("flag_outlier"),
-            (~names.is_bill_code(F.col("boq_code"))).cast("int").alias("flag_code_error"))
+            (~F.col("_valid")).cast("int").alias("flag_code_error"))
     )
 
 
@@ -165,34 +165,37 @@ def breakdown(rows: DataFrame) -> DataFrame:
             amount(5)).alias("v"),
         F.when(F.col("kind") == "f11", amount(8)).alias("labor"))
 
-    seq, label, v, row = F.col("seq"), F.col("label"), F.col("v"), F.col("row_num")
-    e2_row = (F.col("kind") == "e2") & row.between(5, 50) & (label != "") & (v != 0)
+    seq, label, v, row, k = F.col("seq"), F.col("label"), F.col("v"), F.col("row_num"), F.col("kind")
     building = (label.contains("建筑") & ~label.contains("装饰") & ~label.contains("安装")) | \
         label.contains("建筑与装饰") | label.contains("建筑及装饰")
-    f11_row = (F.col("kind") == "f11") & (row >= 8) & seq.rlike("^[0-9]+$") & (label != "")
-    division = names.division_of_prefix4(label)
-    e3_row = (F.col("kind") == "e3") & row.between(4, 25) & (label != "") & v.isNotNull()
+    trade = F.when(building, "building").when(label.contains("装饰"), "decoration").otherwise("installation")
     fee = (F.when(label.contains("分部分项工程费") | label.startswith("分部分项"), "part")
            .when(label.contains("措施项目") | label.startswith("措施"), "measure")
            .when(label.contains("规费") & ~label.contains("税金"), "regulation").when(label.contains("税金"), "tax"))
-    pension = (F.col("kind") == "h13") & row.between(4, 30) & label.contains("养老保险") & (v > 0)
-    title = (F.col("kind") == "f11") & (row == 2)
+    arch_title = (k == "f11") & (row == 2) & (seq.contains("建筑工程") | seq.contains("建筑与装饰"))
+    deco_title = (k == "f11") & (row == 2) & seq.contains("装饰工程")
+    lines = lines.select(
+        *SHEET, "row_num", "kind", "v", "labor", arch_title.alias("arch_title"), (arch_title | deco_title).alias("wanted_title"),
+        F.when((k == "e2") & row.between(5, 50) & (label != "") & (v != 0), trade)
+        .when((k == "f11") & (row >= 8) & seq.rlike("^[0-9]+$") & (label != ""), names.division_of_prefix4(label))
+        .when((k == "e3") & row.between(4, 25) & (label != "") & v.isNotNull(), fee)
+        .when((k == "h13") & row.between(4, 30) & label.contains("养老保险") & (v > 0), "pension").alias("class"))
+    cls = F.col("class")
+    f11_row = (k == "f11") & cls.isNotNull()
+    e3_row = k == "e3"
+    pension = cls == "pension"
 
     def fee_line(name: str) -> Column:
-        return F.coalesce(last_when(e3_row & (fee == name), v, row), F.lit(0.0)).alias(f"{name}_fee")
+        return F.coalesce(last_when(e3_row & (cls == name), v, row), F.lit(0.0)).alias(f"{name}_fee")
 
-    arch_title = title & (seq.contains("建筑工程") | seq.contains("建筑与装饰"))
     per_sheet = lines.groupBy(*SHEET, "kind").agg(
-        sum_when(e2_row & building, v).alias("building"),
-        sum_when(e2_row & ~building & label.contains("装饰"), v).alias("decoration"),
-        sum_when(e2_row & ~building & ~label.contains("装饰"), v).alias("installation"),
-        *[round_half(sum_when(f11_row & (division == d), v), 2).alias(f"div{i}") for i, d in enumerate(C.MAIN_DIVISIONS)],
-        round_half(sum_when(f11_row & division.isin("其他", "装饰工程"), v), 2).alias("div_other"),
+        *[sum_when((k == "e2") & (cls == t), v).alias(t) for t in ("building", "decoration", "installation")],
+        *[round_half(sum_when(f11_row & (cls == d), v), 2).alias(f"div{i}") for i, d in enumerate(C.MAIN_DIVISIONS)],
         round_half(sum_when(f11_row, F.col("labor")), 2).alias("labor"),
         *[fee_line(n) for n in ("part", "measure", "regulation", "tax")],
         first_when(pension, v, row).alias("pension"),
-        F.coalesce(F.max(arch_title), F.lit(False)).alias("arch"),
-        F.coalesce(F.max(arch_title | (title & seq.contains("装饰工程"))), F.lit(False)).alias("wanted"))
+        F.coalesce(F.max("arch_title"), F.lit(False)).alias("arch"),
+        F.coalesce(F.max("wanted_title"), F.lit(False)).alias("wanted"))
 
     used = F.col("wanted") | (F.col("kind") != "f11")
     has_pension = F.col("pension").isNotNull()
@@ -285,39 +288,46 @@ def section_costs(rows: DataFrame, chunk: int = ordered.CHUNK) -> DataFrame:
 
 
 def sheet_costs(rows: DataFrame) -> DataFrame:
-    """Fees, trades, materials and bill statistics of all other sheets, with the source priority applied."""
-    c0, c1, c2 = cell(0), cell(1), cell(2)
-    k02, k03 = is_kind("表-02") & width(3), is_kind("表-03") & width(3)
-    k08 = is_kind(BILL_SHEET) & ~is_kind("单价措施") & width(8)
-    k11, k13 = is_kind("表-11") & width(6), is_kind("表-13") & width(6)
-    k12 = is_kind("表-12") & ~is_kind("表-12-") & width(3)
-    k21 = is_kind("表-21") & width(4)
-    row, order = F.col("row_num"), F.col("sheet_order")
-
-    total02 = k02 & c0.contains("合") & c0.contains("计")
-    pos = lambda c: F.when(c > 0, c).otherwise(F.lit(0.0))
-    first02 = F.struct(F.when(number(2) > 0, number(2)).otherwise(number(4)).alias("cost"), pos(number(4)).alias("safety"),
-                       pos(number(5)).alias("regulation"))
-    split03 = k03 & (c1 != "") & (number(2) > 0) & ~(c1.contains("合") & c1.contains("计"))
-    trade03 = (F.when(c1.contains("建筑") & (c1.contains("工程") | c1.contains("土建")), "arch")
-               .when(c1.contains("装饰") | c1.contains("装修"), "deco").when(c1.contains("安装"), "inst"))
-    total11 = k11 & (c0.contains("合计") | c1.contains("合计"))
-    safety11 = k11 & ~total11 & (number(5) > 0) & rules.contains_any(c1, C.SAFETY_WORDS)
-    row13 = k13 & (c1 != "") & (number(5) > 0)
-    item08 = k08 & (number(7) > 0) & (c2 != "") & ~c2.contains("小计") & ~c2.contains("合计")
-    row21 = k21 & (c1 != "") & (number(3) > 0)
-    material = F.when(row21, material_class(c1))
-
-    per_sheet = rows.groupBy(*SHEET).agg(
-        first_when(total02, first02, row).alias("t02"),
-        *[sum_when(split03 & (trade03 == t), number(2)).alias(t) for t in ("arch", "deco", "inst")],
-        last_when(total11 & (number(5) > 0), number(5), row).alias("measure11"),
-        sum_when(safety11, number(5)).alias("safety11"),
-        sum_when(row13 & (c1 == "规费"), number(5)).alias("regulation13"),
-        sum_when(row13 & (c1 != "规费") & (c1.contains("税金") | c1.contains("增值税")), number(5)).alias("tax13"),
-        F.count(F.when(item08, 1)).alias("items08"), sum_when(item08, number(7)).alias("amount08"),
-        sum_when(k12 & (number(2) > 0) & (c1.contains("暂列") | c1.contains("暂估")), number(2)).alias("provisional"),
-        *[sum_when(material == m, number(3)).alias(m) for m in C.MATERIAL_FIELDS])
+    """Fees, trades, materials and bill statistics of all other sheets, with the source priority applied.
+
+    The kind of a row and its parsed cells are worked out once; the aggregates then only compare columns.
+    """
+    bill = is_kind(BILL_SHEET) & ~is_kind("单价措施") & width(8)
+    kind = (F.when(is_kind("表-02") & width(3), "02").when(is_kind("表-03") & width(3), "03").when(bill, "08")
+            .when(is_kind("表-11") & width(6), "11").when(is_kind("表-12") & ~is_kind("表-12-") & width(3), "12")
+            .when(is_kind("表-13") & width(6), "13").when(is_kind("表-21") & width(4), "21"))
+    k = F.col("kind")
+    parsed = rows.select(*SHEET, "row_num", kind.alias("kind"), cell(0).alias("c0"), cell(1).alias("c1"),
+                         cell(2).alias("c2"), *[number(i).alias(f"n{i}") for i in (2, 3, 4, 5, 7)])
+    c0, c1, c2 = F.col("c0"), F.col("c1"), F.col("c2")
+    # the amount column of each kind of sheet
+    lines = parsed.withColumns({
+        "v": F.when(k.isin("03", "12"), F.col("n2")).when(k == "08", F.col("n7")).when(k == "21", F.col("n3")).otherwise(F.col("n5")),
+        "class": (
+            F.when(k == "03", F.when(c1.contains("合") & c1.contains("计"), None)
+                   .when(c1.contains("建筑") & (c1.contains("工程") | c1.contains("土建")), "arch")
+                   .when(c1.contains("装饰") | c1.contains("装修"), "deco").when(c1.contains("安装"), "inst"))
+            .when(k == "11", F.when(c0.contains("合计") | c1.contains("合计"), "total")
+                  .when(rules.contains_any(c1, C.SAFETY_WORDS), "safety"))
+            .when(k == "13", F.when(c1 == "规费", "regulation").when(c1.contains("税金") | c1.contains("增值税"), "tax"))
+            .when(k == "12", F.when(c1.contains("暂列") | c1.contains("暂估"), "provisional"))
+            .when((k == "08") & (c2 != "") & ~c2.contains("小计") & ~c2.contains("合计"), "item")
+            .when((k == "21") & (c1 != ""), material_class(c1)))})
+    row, order, v, cls = F.col("row_num"), F.col("sheet_order"), F.col("v"), F.col("class")
+    total02 = (k == "02") & c0.contains("合") & c0.contains("计")
+    pos = lambda c: F.greatest(F.col(c), F.lit(0.0))
+    first02 = F.struct(F.when(F.col("n2") > 0, F.col("n2")).otherwise(F.col("n4")).alias("cost"), pos("n4").alias("safety"),
+                       pos("n5").alias("regulation"))
+
+    def of(name: str) -> Column:
+        return sum_when((cls == name) & (v > 0), v)
+
+    per_sheet = lines.groupBy(*SHEET).agg(
+        first_when(total02, first02, row).alias("t02"), *[of(t).alias(t) for t in ("arch", "deco", "inst")],
+        last_when((cls == "total") & (v > 0), v, row).alias("measure11"), of("safety").alias("safety11"),
+        of("regulation").alias("regulation13"), of("tax").alias("tax13"),
+        F.count(F.when((cls == "item") & (v > 0), 1)).alias("items08"), of("item").alias("amount08"),
+        of("provisional").alias("provisional"), *[of(m).alias(m) for m in C.MATERIAL_FIELDS])
     is02, is03 = is_kind("表-02"), is_kind("表-03")
     first03 = F.min_by(F.struct("arch", "deco", "inst"), F.when(is03, order))
     return per_sheet.groupBy("project_id").agg(

@@ -13,7 +13,7 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def building_type(text: Column) -> Column:
-    return rules.first_words(text, C.DOCUMENT_TYPE_WORDS)
+    return rules.first_words_of_long_text(text, C.DOCUMENT_TYPE_WORDS)
 
 
 def structure(text: Column) -> Column:

@@ -799,14 +799,14 @@ def percentile_interval(spark, sf):
 @query
 def composition_normalised(spark, sf):
     r = estimate.estimate(S.requests(spark, sf))
-    c = r.select("request_id", F.explode("composition").alias("c"))
+    c = r.select("request_id", F.explode_outer("composition").alias("c"))
     return c.select("request_id", "c.part", "c.ratio", "c.amount")
 
 
 @query
 def trade_composition(spark, sf):
     r = estimate.estimate(S.requests(spark, sf))
-    c = r.select("request_id", F.explode("trade_composition").alias("c"))
+    c = r.select("request_id", F.explode_outer("trade_composition").alias("c"))
     return c.select("request_id", "c.part", round_half(F.col("c.ratio"), 4).alias("ratio"), "c.amount")
 
 

@@ -54,6 +54,13 @@ PHRASES = ["数据够不够？", "去哪找数据", "造价一般是多少", "
            "换成精装修", "对比两个方案", "如果是医院", "改20层", "有没有样本", "数据涵盖学校吗", "天府呢", "今天天气"]
 
 
+# sheet name and order by kind (ten) and unit (four)
+SHEETS = [(f"表-08 F.1.1 {u}", i) for _ in range(3) for i, u in enumerate(UNITS)] + [
+    ("表-02 汇总", 10)] * 4 + [(f"表-03 E.2 {i % 2}", 20 + i % 2) for i in range(4)] + [
+    (f"表-04 E.3 {i}", 30 + i) for i in range(4)] + [("表-11 措施", 40)] * 4 + [("表-12 其他", 50)] * 3 + [
+    ("表-12-1 子表", 51)] + [(f"表-13 H {i % 2}", 60 + i % 2) for i in range(4)] + [("表-21 材料", 70)] * 4
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -148,16 +155,9 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 7, row(3, c1=pick(PROVISIONS, p), c2=ext))
         .when(kind == 8, row(6, c1=pick(FEES, p), c5=ext))
         .otherwise(row(4, c1=pick(MATERIAL_ROWS, p), c3=whole(F.col("l_quantity")))))
-    name = (
-        F.when(bill, F.concat(F.lit("表-08 F.1.1 "), pick(UNITS, unit_no)))
-        .when(kind == 3, "表-02 汇总").when(kind == 4, F.concat(F.lit("表-03 E.2 "), (unit_no % 2).cast("string")))
-        .when(kind == 5, F.concat(F.lit("表-04 E.3 "), unit_no.cast("string"))).when(kind == 6, "表-11 措施")
-        .when(kind == 7, F.when(unit_no == 3, "表-12-1 子表").otherwise("表-12 其他"))
-        .when(kind == 8, F.concat(F.lit("表-13 H "), (unit_no % 2).cast("string"))).otherwise("表-21 材料"))
-    order = (
-        F.when(bill, unit_no).when(kind == 3, 10).when(kind == 4, 20 + unit_no % 2).when(kind == 5, 30 + unit_no)
-        .when(kind == 6, 40).when(kind == 7, F.when(unit_no == 3, 51).otherwise(50)).when(kind == 8, 60 + unit_no % 2)
-        .otherwise(70))
+    index = kind * 4 + unit_no
+    name = pick([n for n, _ in SHEETS], index)
+    order = F.get(F.array(*[F.lit(o) for _, o in SHEETS]), index.cast("int"))
     number = F.when(title, 2).when(bill, 8 + line.cast("bigint") * 1000000 + p % 1000000).otherwise(line + 4)
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("project_id"), F.lit("main.xlsx").alias("source_file"), name.alias("sheet_name"),
