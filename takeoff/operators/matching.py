@@ -83,13 +83,13 @@ def match_files(projects: DataFrame, files: DataFrame) -> DataFrame:
 # A project scores 2 for the same structure and 3 / 2 / 1 when its area differs
 # by less than 30 / 50 / 100 percent.  The k best of a type, ties by sequence,
 # are always among the k lowest sequence numbers of one of these sets: area
-# within a band (or any area), of the same structure (or any structure).  Areas
-# are kept in a 16-ary tree of whole hundredths: every node keeps its k lowest
-# sequence numbers, and a band is covered by a few nodes.  So a request reads
-# some hundred small nodes instead of all projects of its type.
+# on one ring of differences (or any area), of the same structure (or any
+# structure).  Areas are kept in a 4-ary tree of whole hundredths: every node
+# keeps its k lowest sequence numbers, and a ring is covered by a few nodes.  So a
+# request reads some dozens of small nodes instead of all projects of its type.
 
-LEVELS = 11
-BASE_BITS = 4
+LEVELS = 20
+BASE_BITS = 2
 BANDS = [(3, 10, 3), (5, 10, 2), (10, 10, 1)]  # numerator, denominator, score
 ANY = "*"
 
@@ -104,27 +104,29 @@ def _area_nodes(hundredths: Column) -> Column:
         lv.alias("level"), F.floor(hundredths / F.pow(F.lit(2.0), lv * BASE_BITS)).cast("bigint").alias("node")))
 
 
-def _cover(low: Column, high: Column) -> Column:
-    """Nodes that together cover the whole numbers low..high.
+def _cover(ranges: DataFrame) -> DataFrame:
+    """Nodes that together cover the whole numbers low..high of each row (columns level, node).
 
     On each level the nodes that are inside the range, but whose parent is not,
-    are taken: at most 15 at either end.
+    are taken: at most 3 at either end.
     """
-    def level_nodes(lv: Column) -> Column:
-        width = F.pow(F.lit(2.0), lv * BASE_BITS).cast("bigint")
-        first = F.ceil(low / width).cast("bigint")
-        last = (F.floor((high + 1) / width) - 1).cast("bigint")
-        p_first = F.ceil(first / (1 << BASE_BITS)).cast("bigint") * (1 << BASE_BITS)
-        p_last = F.floor((last + 1) / (1 << BASE_BITS)).cast("bigint") * (1 << BASE_BITS) - 1
-        top = lv == LEVELS
-        has_parent = (p_first <= p_last) & ~top
-        left_end = F.when(has_parent, p_first - 1).otherwise(last)
-        left = F.when(first <= left_end, F.sequence(first, left_end)).otherwise(F.array().cast("array<bigint>"))
-        right = F.when(has_parent & (p_last + 1 <= last), F.sequence(p_last + 1, last)).otherwise(
-            F.array().cast("array<bigint>"))
-        return F.transform(F.concat(left, right), lambda n: F.struct(lv.alias("level"), n.alias("node")))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), level_nodes))
+    fan = 1 << BASE_BITS
+    wide = F.pow(F.lit(2.0), F.col("level") * BASE_BITS)
+    one = ranges.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumns({
+        "first": F.ceil(F.col("low") / wide).cast("bigint"), "last": F.floor((F.col("high") + 1) / wide).cast("bigint") - 1,
+    }).filter("first <= last")
+    parents = one.withColumns({
+        "p_first": F.ceil(F.col("first") / fan).cast("bigint") * fan,
+        "p_last": F.floor((F.col("last") + 1) / fan).cast("bigint") * fan - 1})
+    inner = (F.col("p_first") <= F.col("p_last")) & (F.col("level") < LEVELS)
+    none = F.array().cast("array<bigint>")
+
+    def run(start: Column, end: Column) -> Column:
+        return F.when(start <= end, F.sequence(start, F.greatest(start, end))).otherwise(none)
+
+    nodes = F.concat(run(F.col("first"), F.when(inner, F.col("p_first") - 1).otherwise(F.col("last"))),
+                     F.when(inner, run(F.col("p_last") + 1, F.col("last"))).otherwise(none))
+    return parents.withColumn("node", F.explode(nodes)).drop("low", "high", "first", "last", "p_first", "p_last")
 
 
 def _keep_lowest(df: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -132,16 +134,20 @@ def _keep_lowest(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
-def name_restricted(projects: DataFrame) -> DataFrame:
-    """Keep only projects whose name fits their type, where the type has more than 3 projects and at least 3 fit."""
+def with_type_fit(projects: DataFrame) -> DataFrame:
+    """Flag projects that stand for their type.
+
+    Where a type has more than 3 projects and at least 3 of them have a name that
+    fits the type, only those do; else all do.
+    """
     fits = rules.chain([(F.col("building_type") == t, rules.contains_any(F.col("name"), words))
                         for t, words in C.SIMILAR_NAME_WORDS])
     sizes = projects.groupBy("building_type").agg(
         F.count(F.lit(1)).alias("_n"), F.count(F.when(fits, 1)).alias("_fit"))
     strict = F.coalesce((F.col("_n") > 3) & (F.col("_fit") >= 3), F.lit(False))
     # one row a building type; Spark decides by its size whether to broadcast it
-    return projects.join(sizes, "building_type", "left").filter(
-        ~strict | F.coalesce(fits, F.lit(False))).drop("_n", "_fit")
+    return projects.join(sizes, "building_type", "left").withColumn(
+        "fits_type", ~strict | F.coalesce(fits, F.lit(False))).drop("_n", "_fit")
 
 
 def similar_projects(requests: DataFrame, projects: DataFrame, k: int = 5) -> DataFrame:
@@ -156,14 +162,14 @@ def similar_projects(requests: DataFrame, projects: DataFrame, k: int = 5) -> Da
         "area100", cents(F.col("total_area")))
     types = known.select("building_type").distinct()
     strange = requests.join(types, "building_type", "left_anti").limit(1).select(F.lit(True)).scalar()
-    own = name_restricted(known).select(
-        "project_id", "seq", F.col("building_type").alias("t"), F.coalesce("structure_type", F.lit("")).alias("s"),
-        "area100")
-    # the index over all types is only built when some request asks for an unknown type
-    other = known.filter(F.coalesce(strange, F.lit(False))).select(
-        "project_id", "seq", F.lit(ANY).alias("t"), F.coalesce("structure_type", F.lit("")).alias("s"), "area100")
+    # a project is offered under its own type and, only when some request asks for an unknown type, under any type
+    offered = F.array_compact(F.array(
+        F.when(F.col("fits_type"), F.col("building_type")), F.when(F.coalesce(strange, F.lit(False)), F.lit(ANY))))
+    listed = with_type_fit(known).select(
+        "project_id", "seq", F.coalesce("structure_type", F.lit("")).alias("s"), "area100", F.explode(offered).alias("t"))
     # equal type, structure and area: only the k first can ever be returned
-    pool = _keep_lowest(own.unionByName(other), ["t", "s", "area100"], k)
+    pool = _keep_lowest(listed, ["t", "s", "area100"], k).repartition(
+        int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq")
     node = pool.select(
         "project_id", "seq", "t", "s", "area100", F.explode(_area_nodes(F.col("area100"))).alias("a")
     ).select("project_id", "seq", "t", "s", "area100", "a.level", "a.node")
@@ -177,17 +183,21 @@ def similar_projects(requests: DataFrame, projects: DataFrame, k: int = 5) -> Da
         F.coalesce("structure_type", F.lit("")).alias("s_req"), a100.alias("req100"))
     shapes = asked.select("t", "s_req", "req100").distinct()
     span = F.greatest(F.col("req100"), F.lit(100))
-    ranges = [F.struct(F.lit(0).cast("bigint").alias("low"), F.lit((1 << (BASE_BITS * LEVELS)) - 1).cast("bigint").alias("high"))]
-    for num, den, _ in BANDS:
-        # |x - a| * den < span * num, in whole hundredths
-        reach = F.ceil(span * num / den).cast("bigint") - 1
-        low, high = F.greatest(F.col("req100") - reach, F.lit(1)), F.col("req100") + reach
-        ranges.append(F.when(F.col("req100") > 0, F.struct(low.alias("low"), high.alias("high"))))
-    probes = shapes.select(
-        "*", F.explode(F.array_distinct(F.flatten(F.transform(
-            F.array_compact(F.array(*ranges)), lambda r: _cover(r["low"], r["high"]))))).alias("a"))
-    probes = probes.select("t", "s_req", "req100", "a.level", "a.node",
-                           F.explode(F.array(F.col("s_req"), F.lit(ANY))).alias("s_key"))
+    # |x - a| * den < span * num, in whole hundredths
+    reaches = [F.ceil(span * num / den).cast("bigint") - 1 for num, den, _ in BANDS]
+    asked100 = F.col("req100")
+    edges = [(asked100 - reaches[0], asked100 + reaches[0])]
+    for inner, outer in zip(reaches, reaches[1:]):
+        edges += [(asked100 - outer, asked100 - inner - 1), (asked100 + inner + 1, asked100 + outer)]
+    everything = F.struct(F.lit(0).cast("bigint").alias("low"), F.lit((1 << (BASE_BITS * LEVELS)) - 1).cast("bigint").alias("high"))
+    ranges = [everything] + [
+        F.when((asked100 > 0) & (high >= 1), F.struct(F.greatest(low, F.lit(1)).alias("low"), high.alias("high")))
+        for low, high in edges]
+    # a shape fans out into dozens of rows, so the shapes are dealt out to all tasks first
+    spread = shapes.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "req100")
+    asked_ranges = spread.withColumn("r", F.explode(F.array(*ranges))).filter("r is not null").select(
+        "t", "s_req", "req100", "r.low", "r.high")
+    probes = _cover(asked_ranges).withColumn("s_key", F.explode(F.array(F.col("s_req"), F.lit(ANY))))
     hits = probes.join(index, ["t", "s_key", "level", "node"]).select(
         "t", "s_req", "req100", "project_id", "seq", "s", "area100").distinct()
     gap = F.abs(F.col("area100") - F.col("req100"))

@@ -14,13 +14,17 @@ BINS = 4096
 
 def exact_quantiles(df: DataFrame, col: Column, probs: list[float]) -> list[float | None]:
     """Quantiles with linear interpolation between neighbouring values; nulls and NaN are left out."""
-    values = df.select(col.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if not n:
-        return [None] * len(probs)
-    places = [p * (n - 1) for p in probs]
-    ranks = sorted({math.floor(x) for x in places} | {math.ceil(x) for x in places})
-    found = _select(values, ranks, low, high)
+    # one number a row is kept (memory, then disk), as every round reads it again
+    values = df.select(col.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")).persist()
+    try:
+        n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+        if not n:
+            return [None] * len(probs)
+        places = [p * (n - 1) for p in probs]
+        ranks = sorted({math.floor(x) for x in places} | {math.ceil(x) for x in places})
+        found = _select(values, ranks, low, high)
+    finally:
+        values.unpersist()
     out = []
     for x in places:
         a, b = found[math.floor(x)], found[math.ceil(x)]

@@ -55,3 +55,9 @@ def admit_files(files: DataFrame, path: Column, size: Column) -> DataFrame:
         rules.chain([(~ext.isin(C.ALLOWED_EXTENSIONS), F.lit("extension")),
                      (size > C.MAX_FILE_BYTES, F.lit("size"))]),
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a few small files out to all cores; a scan with enough tasks is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
