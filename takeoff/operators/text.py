@@ -81,7 +81,7 @@ FIELDS = ["project_name", "building_type", "structure_type", "total_area", "land
 
 
 def fuzzy_contains(text: Column, word: Column) -> Column:
-    """Word contained, or its characters found in order with at most one missing; look-alikes count as equal."""
+    """Word contained, or all its characters but the last found in order; look-alikes count as equal."""
     alike = [a + b for a, b in C.OCR_PAIRS] + [b + a for a, b in C.OCR_PAIRS]
 
     def step(i: Column, ch: Column) -> Column:
