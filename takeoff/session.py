@@ -44,16 +44,15 @@ def local_session(cpus: str = "*", name: str = "takeoff", shuffle_partitions: in
     return configure(spark)
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a fresh local one only when none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """Set the context's checkpoint folder: the shared one the cluster names, a fresh one only on a local master.
+
+    Returns None, and sets nothing, on a cluster that names no folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
+    if folder is not None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
