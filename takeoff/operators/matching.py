@@ -54,7 +54,7 @@ def match_folders(projects: DataFrame, folders: DataFrame) -> DataFrame:
     offered = F.concat(key("one", F.col("fw")), key("two", token_pairs(F.col("fw"))), key("in", F.array_distinct(contained)))
     first = _first_folder(f, offered)
     return (
-        p.select("project_id", "name", F.explode(wanted).alias("k")).join(first, "k")
+        p.select("project_id", "name", F.explode(wanted).alias("k")).join(first.hint("merge"), "k")
         .groupBy("project_id", "name").agg(F.min("folder").alias("folder"))
     )
 
@@ -198,7 +198,8 @@ def similar_projects(requests: DataFrame, projects: DataFrame, k: int = 5) -> Da
     asked_ranges = spread.withColumn("r", F.explode(F.array(*ranges))).filter("r is not null").select(
         "t", "s_req", "req100", "r.low", "r.high")
     probes = _cover(asked_ranges).withColumn("s_key", F.explode(F.array(F.col("s_req"), F.lit(ANY))))
-    hits = probes.join(index, ["t", "s_key", "level", "node"]).select(
+    # both sides grow by fan-out, which size estimates before the fan-out do not see: never broadcast them
+    hits = probes.join(index.hint("merge"), ["t", "s_key", "level", "node"]).select(
         "t", "s_req", "req100", "project_id", "seq", "s", "area100").distinct()
     gap = F.abs(F.col("area100") - F.col("req100"))
     ring = rules.chain([(gap * den < span * num, F.lit(score)) for num, den, score in BANDS], 0)

@@ -34,6 +34,7 @@ def local_session(cpus: str = "*", name: str = "takeoff", shuffle_partitions: in
         .config("spark.driver.memory", os.environ.get("TAKEOFF_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site lookup for every column
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
     )
