@@ -615,7 +615,7 @@ _comp = {"直接工程费": _direct, "间接费": _indirect, "利润": "composit
 add("composition_normalised", "est coef coef_type", f"""
 WITH k AS ({coefficients('requests', 'request_id', 'project_type', 'structure_type', 'coalesce(floors, 10)')}),
  s AS ({" UNION ALL ".join(f"SELECT request_id, whole, '{n}' AS part, {rnd(f'{x} / {_csum}', 4)} AS ratio FROM est JOIN k USING (request_id)" for n, x in _comp.items())})
-SELECT request_id, part, ratio, {rnd(rnd('whole', 2) + ' * ratio', 2)} AS amount FROM s""")
+SELECT request_id, part, ratio, {rnd('whole * ratio', 2)} AS amount FROM s""")
 add("trade_composition", "est", f"""
 WITH r AS (SELECT request_id, whole, greatest(0.35::DOUBLE, least(0.75::DOUBLE, 0.55::DOUBLE + 0.10::DOUBLE * residential_ratio - 0.05::DOUBLE * commercial_ratio)) AS a,
    greatest(0.05::DOUBLE, least(0.30::DOUBLE, 0.15::DOUBLE + 0.10::DOUBLE * commercial_ratio)) AS i FROM est),

@@ -171,16 +171,28 @@ def cost_shares(composition: Column, mixed: Column, decoration: Column) -> Colum
     return normalised([direct, indirect, composition[2], composition[3], composition[4]])
 
 
-def division_shares(correction: Column) -> Column:
-    """Default divisions with the foundation scaled by its empirical factor, summing to 1."""
-    values = [F.lit(v) for _, v in C.DIVISION_DEFAULTS]
+def division_shares(correction: Column, predicted: Column | None = None) -> Column:
+    """Predicted or default divisions with the foundation scaled by its empirical factor, summing to 1."""
+    values = [F.lit(v) if predicted is None else F.coalesce(predicted[i], F.lit(v))
+              for i, (_, v) in enumerate(C.DIVISION_DEFAULTS)]
     values[0] = values[0] * F.coalesce(correction, F.lit(1.0))
     return normalised(values)
 
 
-def material_use(area: Column) -> Column:
-    return F.array(*[F.struct(F.lit(n).alias("material"), F.lit(v).alias("per_m2"), F.lit(u).alias("unit"),
-                              round_half(area * v, 2).alias("total")) for n, v, u in C.MATERIAL_DEFAULTS])
+def material_use(area: Column, predicted: Column | None = None) -> Column:
+    """Use per square metre, predicted or usual, and the total for the area."""
+    def entry(i: int, name: str, usual: float, unit: str) -> Column:
+        per_m2 = F.lit(usual) if predicted is None else F.coalesce(predicted[i], F.lit(usual))
+        return F.struct(F.lit(name).alias("material"), per_m2.alias("per_m2"), F.lit(unit).alias("unit"),
+                        round_half(area * per_m2, 2).alias("total"))
+
+    return F.array(*[entry(i, *row) for i, row in enumerate(C.MATERIAL_DEFAULTS)])
+
+
+def indicator_shares(predicted: Column | None = None) -> Column:
+    """Labour, foundation and structure indicators, summing to 1."""
+    return normalised([F.lit(v) if predicted is None else F.coalesce(predicted[i], F.lit(v))
+                       for i, (_, v) in enumerate(C.INDICATOR_DEFAULTS)])
 
 
 # -- confidence --------------------------------------------------------------
@@ -326,14 +338,24 @@ def cost_levels(df: DataFrame, keys: list[str], total: Column) -> DataFrame:
                       round_half(F.col("_total") * F.col("e.ratio"), 2).alias("amount"))
 
 
-def estimate(requests: DataFrame, fused: DataFrame | None = None) -> DataFrame:
-    """One result row a request: unit price, total, compositions, materials.
+PREDICTED = ["trades", "divisions", "materials", "indicators"]
+
+
+def estimate(requests: DataFrame, fused: DataFrame | None = None, predicted: DataFrame | None = None) -> DataFrame:
+    """One result row a request: unit price, total, compositions, materials, indicators.
 
     requests: request_id, project_type, structure_type, total_area, floors, location, decoration_level, buildings.
     fused: request_id, fused (a model price) - a request without one is priced from the base table.
+    predicted: request_id and, as arrays in the order of the fixed lists, any of trades, divisions, materials and
+    indicators - what is missing takes the usual values.
     """
     df = requests if fused is None else requests.join(fused.select("request_id", "fused"), "request_id", "left")
     model_price = F.lit(None).cast("double") if fused is None else F.col("fused")
+    told = {}
+    if predicted is not None:
+        given = [c for c in PREDICTED if c in predicted.columns]
+        df = df.join(predicted.select("request_id", *[F.col(c).alias(f"_p_{c}") for c in given]), "request_id", "left")
+        told = {c: F.col(f"_p_{c}") for c in given}
     area = F.coalesce("total_area", F.lit(10000.0))
     df = df.withColumns({
         "_area": area, "_b": building_features(F.col("buildings"), F.col("floors"), F.col("project_type")),
@@ -342,25 +364,31 @@ def estimate(requests: DataFrame, fused: DataFrame | None = None) -> DataFrame:
     df = df.withColumn("_scale", scale_factor(F.col("_area")) * complexity_factor(
         F.col("_b.building_count"), F.col("_b.floor_std")))
     df = df.withColumn("_price", F.col("_raw") * F.col("_scale")).withColumn("_total", F.col("_price") * F.col("_area"))
-    df = with_coefficients(df, "project_type", "structure_type", "floors")
+    df = with_coefficients(df, "project_type", "structure_type", "floors").withColumn(
+        "_rounded", round_half(F.col("_total"), 2))
     trades = trade_shares(F.col("_b.residential_ratio"), F.col("_b.commercial_ratio"))
-    fees = cost_shares(F.col("composition"), F.col("_b.mixed_types"), F.col("decoration_level"))
+    if "trades" in told:
+        trades = F.coalesce(told["trades"], trades)
     fix = correction(requests, "subsection_xgb", "基础占比")
-    df = df.withColumns({"_trades": trades, "_fees": fees, "_divisions": division_shares(fix)})
+    df = df.withColumns({
+        "_trades": trades, "_divisions": division_shares(fix, told.get("divisions")),
+        "_fees": cost_shares(F.col("composition"), F.col("_b.mixed_types"), F.col("decoration_level")),
+        "_indicators": indicator_shares(told.get("indicators"))})
 
-    def with_amounts(labels: list[str], shares: str) -> Column:
+    def with_amounts(labels: list[str], shares: str, whole: str) -> Column:
         return F.array(*[F.struct(F.lit(n).alias("part"), F.col(shares)[i].alias("ratio"),
-                                  round_half(round_half(F.col("_total"), 2) * F.col(shares)[i], 2).alias("amount"))
+                                  round_half(F.col(whole) * F.col(shares)[i], 2).alias("amount"))
                          for i, n in enumerate(labels)])
 
     return df.select(
-        "request_id", round_half(F.col("_price"), 2).alias("unit_price"), round_half(F.col("_total"), 2).alias("total_cost"),
+        "request_id", round_half(F.col("_price"), 2).alias("unit_price"), F.col("_rounded").alias("total_cost"),
         round_half(F.col("_raw"), 2).alias("unit_price_raw"), round_half(F.col("_scale"), 4).alias("scale_factor"),
         (model_price.isNotNull() if fused is not None else F.lit(False)).alias("from_models"),
-        with_amounts(["建筑工程", "装饰工程", "安装工程"], "_trades").alias("trade_composition"),
-        with_amounts(C.MAIN_DIVISIONS, "_divisions").alias("division_composition"),
-        with_amounts(C.COEFFICIENT_ITEMS["composition"], "_fees").alias("composition"),
-        material_use(F.col("_area")).alias("materials"))
+        with_amounts(["建筑工程", "装饰工程", "安装工程"], "_trades", "_rounded").alias("trade_composition"),
+        with_amounts(C.MAIN_DIVISIONS, "_divisions", "_rounded").alias("division_composition"),
+        with_amounts(C.COEFFICIENT_ITEMS["composition"], "_fees", "_total").alias("composition"),
+        material_use(F.col("_area"), told.get("materials")).alias("materials"),
+        F.map_from_arrays(F.array(*[F.lit(n) for n, _ in C.INDICATOR_DEFAULTS]), F.col("_indicators")).alias("indicators"))
 
 
 def with_references(estimates: DataFrame, similar: DataFrame, projects: DataFrame) -> DataFrame:

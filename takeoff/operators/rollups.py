@@ -71,6 +71,12 @@ def global_ratios(rollup: DataFrame) -> DataFrame:
                          (F.col("i") / whole).alias("inst_ratio"))
 
 
+def active_items(items: DataFrame, project_id=None) -> DataFrame:
+    """Active items of all projects or of one."""
+    active = items.filter(F.col("is_active") == 1)
+    return active if project_id is None else active.filter(F.col("project_id") == F.lit(project_id))
+
+
 def item_training_rows(items: DataFrame) -> DataFrame:
     """Active priced items with the division filled from the code prefix and neutral project features."""
     return quality.active_priced(items).select(

@@ -63,6 +63,30 @@ def first_when(condition: Column, value: Column, *order: Column) -> Column:
     return F.min_by(F.when(condition, value), F.when(condition, F.struct(*order, value)))
 
 
+# -- merged cells ------------------------------------------------------------
+
+def expand_merged(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Null cells inside a merged range take its top-left value.
+
+    ranges: project_id, sheet_name, sheet_order, min_row, max_row, min_col, max_col (columns counted from 1).
+    A range is spread over the cells it covers, so rows and ranges meet by equality of the row number.
+    """
+    corner = rows.select(*SHEET, F.col("row_num").alias("min_row"), F.col("cells").alias("_corner"))
+    covered = (
+        ranges.join(corner, [*SHEET, "min_row"])
+        .select(*SHEET, F.get("_corner", (F.col("min_col") - 1).cast("int")).alias("value"), "min_col", "max_col",
+                F.explode(F.sequence("min_row", "max_row")).alias("row_num"))
+        .select(*SHEET, F.col("row_num").cast("bigint").alias("row_num"), "value",
+                F.explode(F.sequence("min_col", "max_col")).alias("col"))
+    )
+    # at most one entry a cell of the row
+    per_row = covered.groupBy(*SHEET, "row_num").agg(
+        F.map_from_entries(F.array_distinct(F.collect_list(F.struct((F.col("col") - 1).cast("int").alias("k"), "value")))).alias("_m"))
+    filled = F.transform("cells", lambda c, i: F.coalesce(c, F.try_element_at("_m", i)))
+    return rows.join(per_row, [*SHEET, "row_num"], "left").withColumn(
+        "cells", F.when(F.col("_m").isNull(), F.col("cells")).otherwise(filled)).select(*rows.columns)
+
+
 # -- bill items --------------------------------------------------------------
 
 def bill_items(rows: DataFrame, chunk: int = ordered.CHUNK) -> DataFrame:

@@ -172,19 +172,18 @@ ROW_CHUNK = 1000  # bill rows of the stand-in are numbered line * 1e6 + part
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimate requests from customers."""
     k = F.col("c_custkey")
-    blank = lambda c: c
     area = F.round(F.col("c_acctbal").cast("decimal(18,2)") * 15, 2).cast("double")
     floors = (k % 65).cast("int")
     b = lambda f, a, t: F.struct(f.cast("int").alias("floors"), a.cast("double").alias("area"), F.lit(t).alias("type"),
                                  F.lit(1).alias("basement"))
     buildings = F.when(k % 3 == 0, F.array(b(floors, area / 2, "住宅"), b(k % 20 + 1, area / 4, "商业"), b(k % 7 + 1, area / 4, "住宅"))) \
         .when(k % 3 == 1, F.array(b(floors, area, "住宅")))
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer")).select(
         k.alias("request_id"), F.col("c_name").alias("project_name"),
         code_of(F.col("c_mktsegment"), SEGMENT_TYPES).alias("project_type"),
         pick(REQUEST_STRUCTURES, k).alias("structure_type"), area.alias("total_area"), floors.alias("floors"),
         pick(PLACES, F.col("c_nationkey")).alias("location"), (1890 + k % 230).cast("int").alias("build_year"),
-        blank(pick(DECORATIONS, k)).alias("decoration_level"), pick(STAGES, k).alias("stage"),
+        pick(DECORATIONS, k).alias("decoration_level"), pick(STAGES, k).alias("stage"),
         pick(FOUNDATIONS, k).alias("foundation_type"), pick(SOILS, k).alias("soil_condition"),
         pick(SEISMIC_GRADES, k).alias("seismic_grade"), pick(HVACS, k).alias("hvac"), pick(WALLS, k).alias("exterior_wall"),
         buildings.alias("buildings"))

@@ -100,6 +100,13 @@ def listed(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key), key, "left_semi")
 
 
+def find(df: DataFrame, **keys) -> DataFrame:
+    """Point look-up by equality; the conditions reach the scan."""
+    for name, value in keys.items():
+        df = df.filter(F.col(name) == F.lit(value))
+    return df
+
+
 def update_where(df: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
     hit = F.coalesce(condition, F.lit(False))
     return df.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})

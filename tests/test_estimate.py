@@ -117,3 +117,15 @@ def test_references(spark):
     sim = spark.createDataFrame([(0, 1, "p1", 3, True), (1, 1, "p1", 1, False)], "request_id int, rank int, project_id string, score int, same_type boolean")
     got = {r.request_id: r for r in estimate.with_references(estimate.estimate(df), sim, p).collect()}
     assert got[0].references[0].name == "甲" and not got[0].reference_warning and got[1].reference_warning
+
+
+def test_predicted_parts_are_used(spark):
+    df = request(spark, {}, {})
+    given = spark.createDataFrame([(0, [0.7, 0.2, 0.1], [0.5, 0.5, 0.5, 0.5], [1.0, None, 0.3])], "request_id int, trades array<double>, divisions array<double>, materials array<double>")
+    got = {r.request_id: r for r in estimate.estimate(df, None, given).collect()}
+    assert [x.ratio for x in got[0].trade_composition] == [0.7, 0.2, 0.1] and [x.ratio for x in got[0].division_composition] == [0.25] * 4
+    assert [x.per_m2 for x in got[0].materials] == [1.0, 55.0, 0.3] and got[0].materials[0].total == 20000.0
+    assert [x.per_m2 for x in got[1].materials] == [0.45, 55.0, 0.25] and got[1].indicators == {"人工费占比": 0.2667, "基础占比": 0.2, "主体占比": 0.5333}
+    fused = spark.createDataFrame([(1, 5000.0)], "request_id int, fused double")
+    both = {r.request_id: r for r in estimate.estimate(df, fused).collect()}
+    assert both[1].from_models and both[1].unit_price == 5000.0 and not both[0].from_models

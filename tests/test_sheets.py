@@ -128,3 +128,11 @@ def test_text_and_coverage(spark):
     assert {r.sheet_kind: r.n for r in sheets.sheet_histogram(rows).collect()} == {"表-12-1": 1, "表-12": 1, "other": 1}
     c = sheets.sheet_coverage(rows).first()
     assert c.sheet_count == 3 and not c.has_08 and not c.has_info
+
+
+def test_merged_ranges(spark):
+    rows = rows_of(spark, ("表-08", [(1, ["分部名称", "项目编码"]), (2, ["土石方工程", "010101001001"]), (3, [None, "010101002001"]), (4, [None, None])]))
+    ranges = spark.createDataFrame([("P1", "表-08", 0, 2, 4, 1, 1)],
+                                   "project_id string, sheet_name string, sheet_order int, min_row int, max_row int, min_col int, max_col int")
+    got = [r.cells for r in sheets.expand_merged(rows, ranges).orderBy("row_num").collect()]
+    assert got == [["分部名称", "项目编码"], ["土石方工程", "010101001001"], ["土石方工程", "010101002001"], ["土石方工程", None]]
