@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from takeoff import constants as C
 from takeoff.functions import rules
-from takeoff.functions.numbers import parse_number
+from takeoff.functions.numbers import parse_number, round_half
 
 CJK = "\\x{4e00}-\\x{9fff}"
 
@@ -138,8 +138,6 @@ def type_synonym(text: Column) -> Column:
 
 
 def money_label(amount: Column) -> Column:
-    from takeoff.functions.numbers import round_half
-
     def fixed(value: Column, unit: str) -> Column:
         return F.concat(round_half(value, 2).cast("decimal(30,2)").cast("string"), F.lit(unit))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from takeoff import constants as C
 from takeoff.functions import names, rules
 from takeoff.functions.numbers import round_half
+from takeoff.operators.quality import filled_share
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -208,8 +209,6 @@ def with_confidence(df: DataFrame) -> DataFrame:
 
 
 def completeness(df: DataFrame) -> Column:
-    from takeoff.operators.quality import filled_share
-
     return filled_share([F.col(c) for c in ("building_type", "total_area", "structure_type", "location")])
 
 
@@ -227,12 +226,11 @@ def clean_ocr(text: Column) -> Column:
     mark, and the line itself opens no list entry.  m2 and its misreadings become
     a square-metre sign only behind a digit or blank.
     """
-    marks = "。；：！？、）》」』,;:!?)>.．"
     t = F.regexp_replace(text, "[^\\S\\n]+(?=\\n|\\z)", "")
     t = F.regexp_replace(t, "\\A\\n+", "")
     t = F.regexp_replace(t, "\\n+\\z", "\n")
     t = F.regexp_replace(t, "\\n{3,}", "\n\n")
-    t = F.regexp_replace(t, f"(?<=[^\\n{marks}])\\n(?=[^\\n])(?![\\d一二三四五六七八九十]+[、.．])(?!【)", "")
+    t = F.regexp_replace(t, f"(?<=[^\\n{C.LINE_END_MARKS}])\\n(?=[^\\n])(?![\\d一二三四五六七八九十]+[、.．])(?!【)", "")
     t = F.regexp_replace(t, "(?<=\\d)l(?=\\d)", "1")
     t = F.regexp_replace(t, "(?<=\\d)O(?=\\d)", "0")
     t = F.regexp_replace(t, "。。+", "。")

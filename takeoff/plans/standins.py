@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from takeoff import constants as C
 from takeoff.functions import rules
+from takeoff.sources import tables as table_ops
 from takeoff.sources.files import spread
 
 # What the driver's codes stand for
@@ -202,11 +203,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from takeoff.sources import tables
-
     e = F.col("event_id")
     name = F.concat(F.lit("file_"), e.cast("string"), pick(EXTENSIONS, e))
-    return table(spark, sf_dir, "events").select(*tables.upload_record(
+    return table(spark, sf_dir, "events").select(*table_ops.upload_record(
         F.lpad(e.cast("string"), 8, "0"), name, F.col("ts"), F.col("event_type"), F.col("value")))
 
 

@@ -1,13 +1,14 @@
 """Table snapshots on parquet: conform, upsert, delete, update, compare, list."""
 
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from takeoff import schemas
-from takeoff.functions import scalars
+from takeoff.functions import names, scalars
 
 
 def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
@@ -123,11 +124,9 @@ def keys_of(df: DataFrame, key: str) -> DataFrame:
 
 def upload_record(task_id: Column, filename: Column, uploaded_at: Column, *features: Column) -> list[Column]:
     """Columns of an upload row with its JSON payload and expiry."""
-    from takeoff.functions.names import extension
-
     return [
         task_id.cast("string").alias("task_id"), filename.alias("filename"),
-        extension(filename).alias("file_format"), uploaded_at.alias("uploaded_at"),
+        names.extension(filename).alias("file_format"), uploaded_at.alias("uploaded_at"),
         scalars.as_json(*features).alias("extracted_features"), scalars.expiry(uploaded_at).alias("expires_at"),
     ]
 
@@ -155,8 +154,6 @@ def signature(df: DataFrame) -> str:
 
 def snapshot(tables: dict[str, DataFrame]) -> DataFrame:
     """One row a table: row count and sorted name:type signature."""
-    from functools import reduce
-
     rows = [
         df.agg(F.count(F.lit(1)).alias("row_count")).select(
             F.lit(name).alias("table_name"), "row_count", F.lit(signature(df)).alias("signature"))
