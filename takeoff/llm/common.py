@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,6 +40,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Send the package's source to the executors, once an application: their Python needn't have it installed."""
+    if spark.conf.get("takeoff.shipped", None) == spark.sparkContext.applicationId:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "takeoff.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    spark.conf.set("takeoff.shipped", spark.sparkContext.applicationId)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for documents that no model may learn from; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
@@ -67,6 +85,7 @@ def text_batches(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 def per_text(df: DataFrame, measure: Callable[[list[bytes]], list], columns: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns and those that `measure` gives for a list of texts: one list or array for each of `columns`, a DDL string."""
+    shipped(df.sparkSession)
     added = T.StructType.fromDDL(columns)
     schema = T.StructType([df.schema[k] for k in keep] + added.fields)
     n = len(keep)

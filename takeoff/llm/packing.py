@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takeoff.llm.common import documents, per_text, staged
+from takeoff.llm.common import documents, per_text, shipped, staged
 
 CAPACITY = 2048
 GROUP_PIECES = 200_000
@@ -109,6 +109,7 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset to rows that have a `length` of 1 to `capacity`; needs the row count, so pass a staged table."""
+    shipped(pieces.sparkSession)
     groups = max(1, -(-pieces.where(F.col("length") < capacity).count() // group_pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
