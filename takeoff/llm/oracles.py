@@ -1,3 +1,20 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+CONTAMINATION = rf"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {WORDS} AS w FROM documents),
+i AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {WORDS} AS w FROM benchmark),
+iw AS (SELECT item_id, w, least(len(w), 10) AS l FROM i WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, l, array_to_string(list_slice(w, s + 1, s + l), ' ') AS win FROM (SELECT *, unnest(range(0, len(w) - l + 1)) AS s FROM iw)),
+dw AS (SELECT row_id, l, s, array_to_string(list_slice(w, s + 1, s + l), ' ') AS win
+       FROM (SELECT row_id, w, l, unnest(range(0, len(w) - l + 1)) AS s FROM d, (SELECT DISTINCT l FROM iw) WHERE len(w) >= l)),
+hits AS (SELECT row_id, item_id, s, dw.l AS l FROM dw JOIN wins ON dw.win = wins.win AND dw.l = wins.l),
+pos AS (SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(range(s, s + l)) AS p FROM (SELECT DISTINCT row_id, s, l FROM hits)) GROUP BY row_id),
+its AS (SELECT row_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT row_id, item_id FROM hits) GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (row_id) LEFT JOIN its USING (row_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_positional_index_decontamination": CONTAMINATION}

@@ -1,13 +1,15 @@
 """The registered queries of this subpackage and their SQL."""
 
-from takeoff.llm import language, oracles, packing, quality_classifier, quality_rules, simhash
+from takeoff.llm import decontamination, language, licenses, oracles, packing, quality_classifier, quality_rules, simhash
 
 QUERIES = {f.__name__: f for f in (
     simhash.op2_simhash_near_dedup,
     quality_rules.op3_isolation_forest_rules,
+    decontamination.op4_positional_index_decontamination,
     language.op5_string_kernel_language,
     packing.op6_sum_of_squares_packing,
     quality_classifier.op9_sparse_rule_quality,
+    licenses.op10_template_license_scan,
 )}
 
 ORACLES = {k: v for k, v in oracles.ORACLES.items() if k in QUERIES}
