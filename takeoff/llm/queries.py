@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from takeoff.llm import decontamination, language, licenses, oracles, packing, quality_classifier, quality_rules, simhash
+from takeoff.llm import decontamination, language, licenses, oracles, packing, quality_classifier, quality_rules, simhash, suffix_dedup
 
 QUERIES = {f.__name__: f for f in (
+    suffix_dedup.op1_suffix_array_dedup,
     simhash.op2_simhash_near_dedup,
     quality_rules.op3_isolation_forest_rules,
     decontamination.op4_positional_index_decontamination,

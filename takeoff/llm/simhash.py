@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takeoff.llm.common import LOWER, components, documents, per_text, staged
@@ -48,28 +48,28 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) of distinct fingerprints `fp`; two within 2 bits are joined through the least one that shares a midpoint with them."""
-    n = 64 // SEGMENT
     # each nibble of `v` counts the one bits of that nibble of the fingerprint
     v = sum((F.shiftrightunsigned("fp", b).bitwiseAND(0x1111111111111111) for b in range(1, SEGMENT)), F.col("fp").bitwiseAND(0x1111111111111111))
     counted = fps.select("fp", v.alias("v"))
 
-    def cells(j: int) -> list:
-        step = F.shiftleft(F.lit(1).cast("long"), SEGMENT * j)
+    def cell(to: Column, step: int) -> Column:  # step: 0 for the own cell, else plus or minus the segment's number from 1
+        return F.struct(to.alias("cell"), F.lit(step).cast("byte").alias("step"))
+
+    def beside(j: int) -> list[Column]:
+        one = F.shiftleft(F.lit(1).cast("long"), SEGMENT * j)
         ones = F.shiftrightunsigned("v", SEGMENT * j).bitwiseAND(15)
-        to = lambda cell, sign: F.struct(cell.alias("cell"), F.lit(j).alias("segment"), F.lit(sign).alias("sign"))
-        return [F.when(ones < SEGMENT, to(F.col("v") + step, 1)), F.when(ones > 0, to(F.col("v") - step, -1))]
+        return [F.when(ones < SEGMENT, cell(F.col("v") + one, j + 1)), F.when(ones > 0, cell(F.col("v") - one, -j - 1))]
 
-    own = F.struct(F.col("v").alias("cell"), F.lit(0).alias("segment"), F.lit(0).alias("sign"))
-    in_grid = counted.select("fp", F.explode(F.array(own, *[c for j in range(n) for c in cells(j)])).alias("c")).where("c is not null").select("fp", "c.*")
+    cells = F.array(cell(F.col("v"), 0), *[c for j in range(64 // SEGMENT) for c in beside(j)])
+    in_grid = counted.select("fp", F.explode(cells).alias("c")).where("c is not null").select("fp", "c.*")
     company = in_grid.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
-    near = in_grid.join(company, "cell")
-    one, place = F.lit(1).cast("long"), lambda b: F.col("segment") * SEGMENT + b
+    place = lambda b: (F.abs("step").cast("int") - 1) * SEGMENT + b
     # the fingerprints one flipped bit away that lie in this cell: ones to clear for a step down, zeros to set for a step up
-    flipped = F.when(F.col("sign") == 0, F.array("fp")).otherwise(F.array(*[
-        F.when((F.call_function("shiftrightunsigned", F.col("fp"), place(b)).bitwiseAND(1) == 1) == (F.col("sign") < 0),
-               F.col("fp").bitwiseXOR(F.call_function("shiftleft", one, place(b))))
+    flipped = F.when(F.col("step") == 0, F.array("fp")).otherwise(F.array(*[
+        F.when((F.call_function("shiftrightunsigned", F.col("fp"), place(b)).bitwiseAND(1) == 1) == (F.col("step") < 0),
+               F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(b))))
         for b in range(SEGMENT)]))
-    shared = near.select("fp", F.explode(flipped).alias("mid")).where("mid is not null")
+    shared = staged(in_grid.join(company, "cell").select("fp", F.explode(flipped).alias("mid")).where("mid is not null"), "midpoints")
     least = shared.groupBy("mid").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return shared.join(least, "mid").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
