@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from takeoff.llm import decontamination, language, licenses, oracles, packing, quality_classifier, quality_rules, simhash, suffix_dedup
+from takeoff.llm import decontamination, language, licenses, oracles, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, wrappers
 
 QUERIES = {f.__name__: f for f in (
     suffix_dedup.op1_suffix_array_dedup,
@@ -9,6 +9,8 @@ QUERIES = {f.__name__: f for f in (
     decontamination.op4_positional_index_decontamination,
     language.op5_string_kernel_language,
     packing.op6_sum_of_squares_packing,
+    secrets.op7_random_forest_secret_scan,
+    wrappers.op8_wrapper_html_extraction,
     quality_classifier.op9_sparse_rule_quality,
     licenses.op10_template_license_scan,
 )}
