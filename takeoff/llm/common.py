@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -106,6 +107,18 @@ def bounded(df: DataFrame, key: str, limit: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(limit)
 
 
+def few_of_each(df: DataFrame, group: str, by: list[str], limit: int) -> DataFrame:
+    """At most `limit` rows of each group that isn't null, the same in every run, spread by a hash of the columns `by`.
+
+    Groups are counted first, and only about four times `limit` rows of a large one (all of a small one) are ever gathered.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    mark = F.pmod(F.xxhash64(*by), F.lit(1 << 30))
+    some = df.join(sizes, group).where(mark * F.col("_n") < (1 << 30) * 4 * limit)
+    ranked = some.withColumn("_k", F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(*by), *by)))
+    return ranked.where(F.col("_k") <= limit).drop("_n", "_k")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component: its smallest reachable node) for an edge list (a, b) of longs; nodes without an edge don't show.
 

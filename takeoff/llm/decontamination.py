@@ -34,9 +34,9 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(key, pos, term) of every word of `text`."""
-    return docs.select(text_key(F.col("text")).alias("key"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
+def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(key, pos, term) of every word of a text."""
+    return docs.select(text_key(F.col(text)).alias("key"), F.posexplode(words(F.col(text))).alias("pos", "term"))
 
 
 def with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
@@ -45,9 +45,9 @@ def with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
     return found.join(F.broadcast(terms) if few else terms, "term")
 
 
-def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def index(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """(term, key, positions): the postings of the given terms in all documents, as a table in the shared folder."""
-    lists = with_terms(tokens(docs), terms).groupBy("term", "key").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+    lists = with_terms(tokens(docs, text), terms).groupBy("term", "key").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
     return staged(lists, "postings")
 
 
@@ -74,15 +74,15 @@ def windows_of(items: DataFrame, frequency: DataFrame, window: int = WINDOW) ->
 class Search:
     """The items' windows, their rarest terms and the postings of these."""
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW):
-        self.docs, self.window = docs, window
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text"):
+        self.docs, self.window, self.text = docs, window, text
         self.items = staged(items_of(benchmark), "items")
         vocabulary = staged(self.items.select(F.explode("words").alias("term")).distinct(), "vocabulary")
-        frequency = with_terms(tokens(docs), vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        frequency = with_terms(tokens(docs, text), vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         self.windows = staged(windows_of(self.items, frequency, window), "windows")
         self.ends = self.windows.select("item", F.explode(F.array(
             F.struct(F.col("first").alias("offset"), F.col("first_term").alias("term")), F.struct(F.col("second").alias("offset"), F.col("second_term").alias("term")))).alias("e")).select("item", "e.*").distinct()
-        self.postings = index(docs, staged(self.ends.select("term").distinct(), "terms"))
+        self.postings = index(docs, staged(self.ends.select("term").distinct(), "terms"), text)
 
     def candidates(self) -> DataFrame:
         """(key, item, shift, starts): windows of an item both of whose rarest terms stand in a text at the same shift."""
@@ -96,7 +96,8 @@ class Search:
         """A row per document: the kept columns, its `words`, and `hits`: item_id, start and end of every exact window."""
         found = self.candidates().join(self.items, "item").groupBy("key").agg(
             F.collect_list(F.struct("item_id", "shift", "starts", F.col("words").alias("item_words"))).alias("found"))
-        rows = self.docs.select(*keep, text_key(F.col("text")).alias("key"), words(F.col("text")).alias("words")).join(found, "key", "left")
+        keyed = self.docs.select(*dict.fromkeys([*keep, self.text.partition(".")[0]]), text_key(F.col(self.text)).alias("key"))
+        rows = keyed.join(found, "key", "left").select(*keep, words(F.col(self.text)).alias("words"), "found")
 
         def hits(c: Column) -> Column:
             size = F.least(F.size(c["item_words"]), F.lit(self.window))
@@ -124,9 +125,9 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"].cast("long")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, text: str = "text") -> DataFrame:
     """The kept columns, n_words, n_hit, items (sorted ids of items with an exact window) and contaminated; a row per document."""
-    out = Search(docs, benchmark, window).exact(keep)
+    out = Search(docs, benchmark, window, text).exact(keep)
     return out.select(*keep, F.size("words").cast("long").alias("n_words"), covered(F.col("hits")).alias("n_hit"),
                       F.array_sort(F.array_distinct(F.col("hits.item_id"))).alias("items"), (F.size("hits") > 0).alias("contaminated"))
 

@@ -16,10 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from takeoff.llm.common import documents, held_out, per_text
+from takeoff.llm.common import documents, few_of_each, held_out, per_text
 
 #: Training rows for each language, at most, and landmarks among them.
 ROWS_A_LANGUAGE, LANDMARKS_A_LANGUAGE = 600, 40
@@ -97,14 +96,13 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS_A_LANGUAG
 def trained(docs: DataFrame, rows: int = ROWS_A_LANGUAGE) -> Model:
     """From documents with a language that aren't held out: for each language at most `rows`, by a hash of their ids."""
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    spread = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_n", F.row_number().over(spread)).where(F.col("_n") <= rows).select("doc_id", "lang").groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    chosen = few_of_each(known, "lang", ["doc_id"], rows).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").rlike(r"\p{L}"))
     got = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "lang").collect()
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 
 
-def identified(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identified(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns, lang_pred and score (0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks' n-grams
 
@@ -115,7 +113,7 @@ def identified(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
         best = iter([(m.languages[i], float(min(1.0, max(0.0, row[i])))) for row, i in zip(p, p.argmax(axis=1) if len(p) else [])])
         return list(zip(*[next(best) if x else (UNKNOWN, 0.0) for x in told]))
 
-    return per_text(docs, measure, "lang_pred string, score double", keep)
+    return per_text(docs, measure, "lang_pred string, score double", keep, text)
 
 
 def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,10 +117,11 @@ def redacted(docs: DataFrame, path: str | None = "source", mark: str = "[SECRET]
     key = F.unhex(F.md5(F.col("text").cast("binary")))
     keyed = docs.select("text", *([path] if path else [])).withColumn("_key", key)
     secret = findings(keyed, ("_key",), path).where("secret").groupBy("_key").agg(F.collect_set("value").alias("_secrets"))
-    longest_first = F.array_sort("_secrets", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1))
-    clean = F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
-    out = docs.withColumn("_key", key).join(secret, "_key", "left").withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(clean))
-    return out.select(*docs.columns)
+    longest_first = F.array_sort("_secrets", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    clean = F.aggregate(longest_first, F.col("_row.text"), lambda t, s: F.replace(t, s, F.lit(mark)))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key")).join(secret, "_key", "left")
+    text = F.when(F.col("_secrets").isNull(), F.col("_row.text")).otherwise(clean)
+    return rows.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op7_random_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

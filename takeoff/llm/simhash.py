@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from takeoff.llm.common import LOWER, components, documents, per_text, staged
@@ -74,15 +75,31 @@ def links(fps: DataFrame) -> DataFrame:
     return shared.join(least, "mid").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach), a row per document."""
-    fps = staged(fingerprints(docs, ("doc_id",), shingle), "fingerprints")
+def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
+    """The kept columns (doc_id among them), fp, component (its least fingerprint) and component_id (its smallest doc_id), a row per document."""
+    fps = staged(fingerprints(docs, keep, shingle), "fingerprints")
     nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     reached = components(links(nodes.select("fp")))
     labelled = nodes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_fp = labelled.join(ids, "component").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(labelled.join(ids, "component").select("fp", "component", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach), a row per document."""
+    return grouped(docs, ("doc_id",), shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The documents without near-duplicates: of each component the one with the smallest doc_id, then the smallest MD5 of its text."""
+    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", key.alias("_key"))
+    marked = grouped(docs.select("doc_id", "text", key.alias("_key")), ("doc_id", "_key"), shingle)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("f")
+    kept = marked.groupBy("component").agg(first).select("f.doc_id", "f._key").distinct()
+    found = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["_key"] == kept["_key"]), "left_semi")
+    once = W.partitionBy("_key", "doc_id").orderBy("doc_id")  # repeated rows of one text and id
+    return found.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

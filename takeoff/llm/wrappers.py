@@ -21,10 +21,9 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from takeoff.llm.common import documents, per_text, shipped
+from takeoff.llm.common import documents, few_of_each, per_text, shipped
 
 #: Pages of a host that its wrapper is inferred from, at most, and hosts up to whose number wrappers are broadcast.
 PAGES_A_HOST, BROADCAST_HOSTS = 8, 2_000
@@ -223,11 +222,7 @@ def main_text(page: str, wrapper: list[Part]) -> str:
 
 def wrappers_of(pages: DataFrame, pages_a_host: int = PAGES_A_HOST) -> DataFrame:
     """(host, wrapper): from at most so many pages of each host, chosen by a hash of their html."""
-    narrow = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    mark = F.pmod(F.xxhash64("html"), F.lit(1 << 20))
-    # about three times as many pages as needed pass this, and all of a small host, before any html is shuffled
-    some = pages.join(narrow, "host").where(mark * F.col("n") < (1 << 20) * 3 * pages_a_host)
-    chosen = some.withColumn("k", F.row_number().over(W.partitionBy("host").orderBy(F.xxhash64("html"), "html"))).where(F.col("k") <= pages_a_host).select("host", "html")
+    chosen = few_of_each(pages.select("host", "html"), "host", ["html"], pages_a_host)
 
     def infer(group: pa.Table) -> pa.Table:
         texts = sorted(group.column("html").to_pylist())
