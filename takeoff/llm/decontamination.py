@@ -94,8 +94,9 @@ class Search:
 
     def exact(self, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """A row per document: the kept columns, its `words`, and `hits`: item_id, start and end of every exact window."""
-        found = self.candidates().join(self.items, "item").groupBy("key").agg(
-            F.collect_list(F.struct("item_id", "shift", "starts", F.col("words").alias("item_words"))).alias("found"))
+        # a table of its own: a small one is broadcast then, else a hot key's documents can be split for the join
+        found = staged(self.candidates().join(self.items, "item").groupBy("key").agg(
+            F.collect_list(F.struct("item_id", "shift", "starts", F.col("words").alias("item_words"))).alias("found")), "found")
         keyed = self.docs.select(*dict.fromkeys([*keep, self.text.partition(".")[0]]), text_key(F.col(self.text)).alias("key"))
         rows = keyed.join(found, "key", "left").select(*keep, words(F.col(self.text)).alias("words"), "found")
 
