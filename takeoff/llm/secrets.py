@@ -27,7 +27,7 @@ SIGNS = ("=", ":", ":=", "=>", "->")
 PLACEHOLDERS = r"(?:example|sample|dummy|placeholder|changeme|xxxx|your[_-]|test|fake|redacted)"
 DICTIONARY = r"(?:example|password|secret|token|access|private|public|server|client|value|default|string|number|user|admin|name|data|file|test|tion|ment|ing|the|and|for|key)"
 FEATURES = ("length", "transitions", "digit_share", "upper_share", "is_hex", "is_number", "variety", "coverage", "known", "assigned", "named", "quoted",
-            "placeholder", "test_path", "mail_or_url")
+            "placeholder", "placeholder_near", "test_path", "mail_or_url")
 TREES, DEPTH, CUT, SEED = 40, 6, 0.5, 5
 
 
@@ -68,7 +68,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "is_hex": number(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), "is_number": number(v.rlike("^[0-9().+/_-]+$")),
         "variety": F.size(F.array_distinct(F.split(v, ""))) / size, "coverage": 1 - F.length(F.regexp_replace(F.lower(v), DICTIONARY, "")) / size,
         "known": number(v.rlike(KNOWN)), "assigned": number(F.col("_assigned")), "named": number(F.col("before").rlike(NAMES)), "quoted": number(F.col("_quoted")),
-        "placeholder": number(F.concat_ws(" ", F.lower(v), around).rlike(PLACEHOLDERS)),
+        "placeholder": number(F.lower(v).rlike(PLACEHOLDERS)), "placeholder_near": number(around.rlike(PLACEHOLDERS)),
         "test_path": number(F.coalesce(F.lower("_path").rlike("test|example|sample|fixture|docs?/"), F.lit(False))),
         "mail_or_url": number(v.rlike("@|://|^www\\.")),
     })
@@ -82,7 +82,7 @@ def own_labels(found: DataFrame) -> DataFrame:
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (F.col("length") >= 16)
     no = (F.col("is_number") + F.col("mail_or_url") + F.col("placeholder") > 0) | (F.col("coverage") > 0.6)
     yes = (F.col("known") == 1) | ((F.col("assigned") == 1) & mixed)
-    return found.withColumn("label", F.when(yes & ~no, 1.0).when(no & ~yes, 0.0))
+    return found.withColumn("label", F.when(no, 0.0).when(yes, 1.0))
 
 
 def assembled(found: DataFrame) -> DataFrame:
