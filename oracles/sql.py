@@ -318,6 +318,8 @@ SELECT CASE WHEN g = 'A' AND c = 'high' THEN 1.0::DOUBLE WHEN g = 'B' AND c = 'm
   bad AS dropped, count(*) AS n, {total('v')} AS total FROM (
   SELECT l_returnflag AS g, CASE WHEN l_returnflag = 'A' THEN 'high' WHEN l_linestatus = 'O' THEN 'medium' ELSE 'low' END AS c, l_extendedprice AS v,
     l_extendedprice / l_quantity < 500 OR l_extendedprice / l_quantity > 50000 OR l_quantity - 1 <= 0 OR l_extendedprice <= 0 AS bad FROM lineitem) GROUP BY 1, 2""")
+add("history_round_trip", "", "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")
+add("flat_round_trip", "", "SELECT o_orderkey, 'a \"' || o_orderstatus || '\", b' || chr(10) || o_custkey AS note, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")
 add("grade_weights", "project_meta", """
 SELECT grade, label, CASE WHEN grade = 'A' THEN 'A' WHEN grade = 'B' THEN 'B' ELSE 'C' END AS mapped,
   CASE grade WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS weight,
@@ -586,7 +588,7 @@ _dsum = "(foundation_cost + structure_cost + roof_cost + wall_cost)"
 add("division_targets", "project_meta rollup coef coef_type", f"""
 SELECT project_id, {', '.join(rnd(f"CASE WHEN total_cost > 0 AND {_dsum} <> 0 THEN {c}_cost / {_dsum} ELSE division_{i} END", 6) + f' AS {c}_share' for i, c in enumerate(_dcols))}
 FROM project_meta JOIN ({coefficients('project_meta', 'project_id', 'building_type', 'structure_type', 'above_ground_floors')}) USING (project_id) LEFT JOIN rollup USING (project_id)""")
-add("scale_factor", "project_meta", f"SELECT project_id, {rnd(scale('total_area'), 4)} AS scale FROM project_meta WHERE total_area IS NOT NULL")
+add("scale_factor", "project_meta", f"SELECT project_id, {rnd(scale('total_area'), 4)} AS scale FROM (SELECT project_id, coalesce(total_area, 10000.0::DOUBLE) AS total_area FROM project_meta)")
 add("multi_building", "building_features", f"SELECT *, {rnd(_complexity, 4)} AS complexity FROM building_features")
 _base = ("({t} * {s} * {d} * {r} * (1.0::DOUBLE + (coalesce(build_year, 2026) - 2026) * 0.02::DOUBLE) * (1.0::DOUBLE + greatest(0.0::DOUBLE, (above_ground_floors - 20) * 0.005::DOUBLE)))"
          .format(t=factor("building_type", C.BASE_UNIT_PRICE, 3500.0), s=factor("structure_type", C.STRUCTURE_FACTOR, 1.0),
@@ -600,14 +602,15 @@ add("subsection_split", "project_meta", f"SELECT project_id, parent, part, ratio
 add("unit_split", "project_meta", f"SELECT project_id, part, ratio, {rnd('total_cost * 0.95::DOUBLE * ratio', 2)} AS amount FROM project_meta, {values(C.UNIT_PROJECT_SPLIT)} t(part, ratio)")
 add("item_amounts", "project_meta", f"""
 SELECT project_id, item, unit, per_m2, unit_price, {rnd('per_m2 * unit_price * total_area', 2)} AS amount
-FROM (SELECT project_id, total_area FROM project_meta WHERE total_area IS NOT NULL), {values(C.ITEM_QUANTITIES)} t(item, unit, per_m2, unit_price)""")
+FROM (SELECT project_id, coalesce(total_area, 10000.0::DOUBLE) AS total_area FROM project_meta), {values(C.ITEM_QUANTITIES)} t(item, unit, per_m2, unit_price)""")
 _levels = [(1, "项目总造价", "", 1.0), (2, "单项工程", "", 1.0), *[(3, "单位工程", p, r) for p, r in C.UNIT_PROJECT_SPLIT], *[(4, "分部工程", p, r) for p, r in C.FEE_COMPOSITION],
            (5, "分项工程", "", None), (6, "明细级别", "", None)]
 add("six_level_breakdown", "project_meta", f"SELECT project_id, level, label, part, ratio, {rnd('total_cost * ratio', 2)} AS amount FROM project_meta, {values(_levels)} t(level, label, part, ratio)")
 add("weighted_fusion", "fused", f"SELECT request_id, {rnd('fused', 2)} AS fused, model_count, average_accuracy FROM fused")
-add("percentile_interval", "predictions", f"""
-SELECT request_id, CASE WHEN count(*) >= 2 THEN {rnd('quantile_cont(value, 0.1)', 2)} END AS lower, CASE WHEN count(*) >= 2 THEN {rnd('quantile_cont(value, 0.9)', 2)} END AS upper
-FROM predictions WHERE accuracy >= 50 AND value <> 0 GROUP BY 1""")
+add("percentile_interval", "predictions fused", f"""
+SELECT o_orderkey AS request_id, {rnd('CASE WHEN n >= 2 THEN lo ELSE fused END', 2)} AS lower, {rnd('CASE WHEN n >= 2 THEN hi ELSE fused END', 2)} AS upper
+FROM orders LEFT JOIN (SELECT request_id, count(*) AS n, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM predictions WHERE accuracy >= 50 AND value <> 0 GROUP BY 1) q ON q.request_id = o_orderkey
+ LEFT JOIN fused f ON f.request_id = o_orderkey""")
 _direct = "(composition_0 + CASE WHEN mixed_types > 0 THEN 0.02::DOUBLE ELSE 0 END + CASE decoration_level WHEN '精装修' THEN 0.03::DOUBLE WHEN '豪华装修' THEN 0.06::DOUBLE ELSE 0 END)"
 _indirect = "(composition_1 - CASE decoration_level WHEN '精装修' THEN 0.02::DOUBLE WHEN '豪华装修' THEN 0.04::DOUBLE ELSE 0 END)"
 _csum = f"({_direct} + {_indirect} + composition_2 + composition_3 + composition_4)"
@@ -718,7 +721,7 @@ add("scanned_pages", "", f"""
 SELECT source, count(*) AS pages, count(*) FILTER (WHERE n < 50) AS scanned_pages, count(*) FILTER (WHERE n >= 50 AND n < 200) AS partial_pages,
   count(*) FILTER (WHERE n < 50) / CAST(count(*) AS DOUBLE) > 0.5 AS is_scanned, {rnd(total('nullif(c, 0)') + ' / count(nullif(c, 0))', 2)} AS avg_confidence,
   coalesce({total('nullif(c, 0)')} / count(nullif(c, 0)) < 60, false) AS low_confidence
-FROM (SELECT source, length(trim(CASE WHEN doc_id % 3 = 0 THEN substr(text,1,40) WHEN doc_id % 5 = 0 THEN substr(text,1,150) ELSE text END)) AS n, CAST(doc_id * 37 % 101 AS DOUBLE) AS c FROM documents) GROUP BY 1""")
+FROM (SELECT source, length(trim(text, E' \t\n\r')) AS n, CAST(doc_id * 37 % 101 AS DOUBLE) AS c FROM documents) GROUP BY 1""")
 _w = {k: has("text", v) for k, v in C.INTENT_WORDS.items()}
 _zone = has("text", C.ZONE_WORDS)
 _simple = ["check_data", "search_data", "knowledge_query", "predict", "train", "explain_term", "list_models", "find_similar", "cost_breakdown", "greeting", "thanks", "help"]
@@ -739,10 +742,10 @@ SELECT session_id, turn, coalesce(CASE WHEN contains(regexp_extract(text, {lit(C
 add("refined_regions", "messages", f"""
 SELECT coalesce(coalesce({first('text', C.TALK_CITIES)}, '') || {first('text', C.ZONE_WORDS)}, {rx('([\\x{4e00}-\\x{9fff}]{2,4}(?:高新区|新区|开发区|科技园|工业园|经开区))', 1, 'text')},
   {first('text', C.TALK_CITIES)}) AS region, {first('text', C.TERMS)} AS term, count(*) AS n FROM messages GROUP BY 1, 2""")
-add("session_summary", "messages", "SELECT session_id, arg_min(substr(text,1,30), turn) AS title, count(*) AS message_count FROM messages GROUP BY 1")
+add("session_summary", "messages", "SELECT session_id, arg_min(text, turn) AS title, count(*) AS message_count FROM messages GROUP BY 1")
 add("session_retention", "messages", """
 SELECT session_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS r FROM messages
-  WHERE session_id IN (SELECT session_id FROM messages GROUP BY 1 ORDER BY min(seq) DESC, session_id DESC LIMIT 40)) WHERE r <= 3""")
+  WHERE session_id IN (SELECT session_id FROM messages GROUP BY 1 ORDER BY min(seq) DESC, session_id DESC LIMIT 200)) WHERE r <= 200""")
 add("last_messages", "messages", "SELECT session_id, turn FROM messages ORDER BY seq DESC LIMIT 50")
 add("project_retention", "project_meta", "SELECT project_id, name FROM project_meta ORDER BY seq DESC LIMIT 500")
 

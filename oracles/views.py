@@ -144,7 +144,8 @@ VIEWS["predictions"] = """
 SELECT o_orderkey AS request_id, model_id,
   CASE WHEN (o_orderkey + i) % 5 = 0 THEN 0.0 ELSE o_totalprice / 100 * (1 + CAST(0.25 AS DOUBLE) * i) END AS value,
   CAST((o_orderkey * 7 + i * 13) % 101 AS DOUBLE) AS accuracy, CAST((o_orderkey * 7 + i * 13) % 101 AS DOUBLE) / 100 AS weight
-FROM orders, (VALUES ('total_pso_svr', 0), ('unit_gbt', 1), ('section_xgb', 2), ('subsection_xgb', 3)) m(model_id, i)"""
+FROM orders, (VALUES ('total_pso_svr', 0), ('unit_gbt', 1), ('section_xgb', 2), ('subsection_xgb', 3), ('item_xgb', 4),
+  ('indicator_rf', 5), ('boq_xgb', 6), ('boq_lr_v2', 7)) m(model_id, i)"""
 
 VIEWS["uploads"] = f"""
 SELECT lpad(CAST(event_id AS VARCHAR), 8, '0') AS task_id, lower({pick(S.EXTENSIONS, 'event_id')}) AS file_format,

@@ -424,8 +424,15 @@ REQUEST_RANGES = [("total_area", 0, False, 10_000_000), ("floors", 1, True, 500)
                   ("basement_area", 0, True, 10_000_000), ("building_height", 0, True, 2000),
                   ("duration", 0, True, 3600), ("parking_ratio", 0, True, 100), ("elevator_count", 0, True, 200),
                   ("parking_count", 0, True, 1_000_000)]
+DEFAULT_AREA = 10000.0
 REQUEST_LENGTHS = [("project_name", 200), ("project_type", 50), ("structure_type", 50), ("location", 50),
-                   ("decoration_level", 50), ("stage", 20)]
+                   ("decoration_level", 50), ("stage", 20), ("foundation_type", 100), ("seismic_grade", 100),
+                   ("concrete_grade", 100), ("steel_grade", 100), ("soil_condition", 100), ("special_equipment", 100),
+                   ("hvac", 100), ("elevator", 100), ("fire_system", 100), ("smart_building", 100), ("exterior_wall", 100),
+                   ("roof_type", 100), ("window_type", 100), ("green_rating", 100)]
+# of lists, and of the text of each building
+REQUEST_LIST_LENGTHS = [("selected_models", 20), ("buildings", 50)]
+BUILDING_LENGTHS = [("type", 50)]
 BUILDING_RANGES = [("floors", 1, True, 500), ("area", 0, False, 1_000_000), ("basement", 0, True, 20)]
 
 # Sufficiency report
@@ -507,4 +514,3 @@ TERMS = ["估算", "概算", "预算", "结算", "决算", "工程量清单", "
 MAX_SESSIONS = 200
 MAX_MESSAGES = 200
 MAX_PROJECTS = 500
-TITLE_LENGTH = 30

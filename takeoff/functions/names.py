@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from takeoff import constants as C
 from takeoff.functions import rules
-from takeoff.functions.numbers import parse_number, round_half
+from takeoff.functions.numbers import BLANKS, parse_number, round_half, strip
 
 CJK = "\\x{4e00}-\\x{9fff}"
 
@@ -17,7 +17,7 @@ def bill_code(code: Column) -> Column:
 
 
 def is_bill_code(code: Column) -> Column:
-    return F.coalesce(F.regexp_replace(F.trim(code), "[- ]", "").rlike("^[0-9]{9,}$"), F.lit(False))
+    return F.coalesce(F.regexp_replace(strip(code), "[- ]", "").rlike("^[0-9]{9,}$"), F.lit(False))
 
 
 def item_id(project: Column, code: Column, name: Column, unit: Column | None = None) -> Column:
@@ -33,11 +33,11 @@ def project_id(name: Column) -> Column:
 
 def project_key(name: Column) -> Column:
     """Name without whitespace and with ASCII brackets."""
-    return F.translate(F.regexp_replace(name, "\\s+", ""), "（）", "()")
+    return F.translate(name, "（）" + BLANKS, "()")
 
 
 def folder_title(folder: Column) -> Column:
-    return F.trim(F.regexp_replace(folder, "^\\d+\\.?\\s*", ""))
+    return strip(F.regexp_replace(folder, "^\\d+\\.?\\s*", ""))
 
 
 def is_summary(name: Column) -> Column:
@@ -75,7 +75,7 @@ def building_type(name: Column, usage: Column | None = None) -> Column:
 
 
 def structure_type(text: Column) -> Column:
-    text = F.trim(text)
+    text = strip(text)
     return F.when(text.isin(C.VALID_STRUCTURES), text).otherwise(
         rules.first_words(text, C.STRUCTURE_WORDS, C.DEFAULT_STRUCTURE)
     )
@@ -130,7 +130,7 @@ def steel_grade(price: Column) -> Column:
 
 
 def decoration_level(text: Column) -> Column:
-    return rules.lookup(F.trim(text), C.DECORATION_LEVELS, C.DEFAULT_DECORATION_LEVEL)
+    return rules.lookup(strip(text), C.DECORATION_LEVELS, C.DEFAULT_DECORATION_LEVEL)
 
 
 def type_synonym(text: Column) -> Column:
@@ -162,12 +162,12 @@ def stored_name(task_id: Column, file_name: Column) -> Column:
 def region(location: Column) -> Column:
     """One of seven regions: itself, else that of the city or province, else the default."""
     members = [(r, r) for r in C.REGIONS] + [(m, r) for r, ms in C.REGION_MEMBERS for m in ms]
-    return rules.lookup(F.trim(location), members, C.DEFAULT_REGION)
+    return rules.lookup(strip(location), members, C.DEFAULT_REGION)
 
 
 def seismic_level(location: Column) -> Column:
     """Design intensity: exact city, else longest contained city, else region, else contained region."""
-    place = F.trim(location)
+    place = strip(location)
     cities = [(c, f"{v:g}度") for c, v in sorted(C.SEISMIC_CITIES, key=lambda pair: -len(pair[0]))]
     regions = [(r, f"{v:g}度") for r, v in C.SEISMIC_REGIONS]
     return F.coalesce(rules.lookup(place, cities), rules.first_contained_value(place, cities),

@@ -4,6 +4,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,4)"
+# Fixed value: white space of Unicode, and the separators that count as such
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 NUMBER = "^\\s*([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\\s*$"
@@ -33,12 +35,13 @@ def round_half(col: Column, digits: int) -> Column:
 
 
 def money(col: Column) -> Column:
-    """Decimal amount: sums do not depend on the order of rows or partitions."""
-    return col.cast(MONEY)
+    """Decimal amount: sums do not depend on the order of rows or partitions. Null where it has over 14 digits before the point."""
+    return col.try_cast(MONEY)
 
 
-def money_sum(col: Column) -> Column:
-    return F.sum(money(col)).cast("double")
+def strip(col: Column) -> Column:
+    """Text without white space of any kind at its ends, as the readers of sheets take it."""
+    return F.trim(col, F.lit(BLANKS))
 
 
 def share(part: Column, whole: Column, digits: int = 4) -> Column:

@@ -8,8 +8,8 @@ from takeoff.functions import names, rules
 from takeoff.operators.text import found
 
 
-def intent(text: Column) -> Column:
-    """First intent whose rule fits, 'general' when none does."""
+def intent(text: Column, change_length: int = 30, question_length: int = 20) -> Column:
+    """First intent whose rule fits, 'general' when none does; changes and short questions are told in less than so many characters."""
     w = {k: rules.contains_any(text, v) for k, v in C.INTENT_WORDS.items()}
     zone = rules.contains_any(text, C.ZONE_WORDS)
     simple = ["check_data", "search_data", "knowledge_query", "predict", "train", "explain_term", "list_models",
@@ -22,10 +22,10 @@ def intent(text: Column) -> Column:
         (w["repredict"], F.lit("repredict")),
         (w["compare"] | text.rlike(C.COMPARE_PATTERN), F.lit("compare")),
         (w["change"], F.lit("repredict")),
-        (text.rlike(C.CHANGE_PATTERN) & (F.length(text) < 30), F.lit("repredict")),
+        (text.rlike(C.CHANGE_PATTERN) & (F.length(text) < change_length), F.lit("repredict")),
         (w["data_query"], F.lit("data_query")),
         (w["data_word"] & w["question_word"], F.lit("data_query")),
-        ((F.length(text) < 20) & w["short_question"] & rules.contains_any(text, C.NEAR_CITIES), F.lit("region_refine")),
+        ((F.length(text) < question_length) & w["short_question"] & rules.contains_any(text, C.NEAR_CITIES), F.lit("region_refine")),
     ]
     return rules.chain(branches, "general")
 
@@ -69,23 +69,25 @@ def tier_of(text: Column) -> Column:
     return names.floor_tier(request_params(text)["floors"])
 
 
-def session_summary(messages: DataFrame, session: str = "session_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """Title (start of the first message) and message count of every session."""
+def session_summary(messages: DataFrame, session: str = "session_id", turn: str = "turn", text: str = "text",
+                    title_length: int | None = None) -> DataFrame:
+    """Title (the first message, or its start) and message count of every session."""
+    title = F.col(text) if title_length is None else F.substring(text, 1, title_length)
     return messages.groupBy(session).agg(
-        F.min_by(F.substring(text, 1, C.TITLE_LENGTH), turn).alias("title"), F.count(F.lit(1)).alias("message_count"))
+        F.min_by(title, turn).alias("title"), F.count(F.lit(1)).alias("message_count"))
 
 
 def retain(messages: DataFrame, session: str = "session_id", turn: str = "turn", order: str = "seq",
-           sessions: int = C.MAX_SESSIONS, per_session: int = C.MAX_MESSAGES) -> DataFrame:
-    """Newest sessions by first appearance, each with its last messages.
-
-    The kept sessions are at most the limit, so their id list is broadcast.
-    """
-    first_seen = messages.groupBy(session).agg(F.min(order).alias("_seen"))
-    kept = first_seen.orderBy(F.desc("_seen"), F.desc(session)).limit(sessions).select(session)
+           sessions: int | None = None, per_session: int | None = None) -> DataFrame:
+    """The newest sessions by first appearance, each with its last messages; without a limit, all of them."""
+    if sessions is not None:
+        first_seen = messages.groupBy(session).agg(F.min(order).alias("_seen"))
+        kept = first_seen.orderBy(F.desc("_seen"), F.desc(session)).limit(sessions).select(session)
+        messages = messages.join(kept, session, "left_semi")
+    if per_session is None:
+        return messages
     w = Window.partitionBy(session).orderBy(F.desc(turn))
-    return (messages.join(F.broadcast(kept), session, "left_semi")
-            .withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_session).drop("_rank"))
+    return messages.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_session).drop("_rank")
 
 
 def last_messages(messages: DataFrame, n: int, order: str = "seq") -> DataFrame:
@@ -93,5 +95,6 @@ def last_messages(messages: DataFrame, n: int, order: str = "seq") -> DataFrame:
     return messages.orderBy(F.desc(order)).limit(n).orderBy(order)
 
 
-def retain_projects(projects: DataFrame, order: str = "seq", n: int = C.MAX_PROJECTS) -> DataFrame:
-    return projects.orderBy(F.desc(order)).limit(n)
+def retain_projects(projects: DataFrame, order: str = "seq", n: int | None = None) -> DataFrame:
+    """The newest projects, all without a limit."""
+    return projects if n is None else projects.orderBy(F.desc(order)).limit(n)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from takeoff import constants as C
 from takeoff.functions import names, rules
-from takeoff.functions.numbers import clamp, money, round_half
+from takeoff.functions.numbers import clamp, money, round_half, strip
 from takeoff.operators import quantiles
 
 # -- coefficients ------------------------------------------------------------
@@ -203,7 +203,7 @@ def filled(df: DataFrame, param: str) -> Column:
     for name in [param, *C.PARAM_ALIASES.get(param, [])]:
         if name in df.columns:
             text = F.col(name).cast("string")
-            found.append(F.when((text != "") & ~F.lower(text).isin("none", "undefined"), F.trim(text)))
+            found.append(F.when((text != "") & ~F.lower(text).isin("none", "undefined"), strip(text)))
     value = F.coalesce(*found) if found else F.lit(None).cast("string")
     return F.nullif(value, F.lit(""))
 
@@ -286,21 +286,21 @@ def fuse(predictions: DataFrame) -> DataFrame:
         "model_count", round_half(F.col("mean_w") * 100, 1).alias("average_accuracy"))
 
 
-def prediction_interval(predictions: DataFrame, model_ids: list[str], fallback: str = "fused") -> DataFrame:
-    """10th to 90th percentile of the predictions of models with enough accuracy, per request.
+def prediction_interval(requests: DataFrame, predictions: DataFrame, model_ids: list[str], fallback: Column) -> DataFrame:
+    """10th to 90th percentile of the predictions of models with enough accuracy, a row for every request.
 
     Each model gives at most one value a request (its largest, if repeated), so
-    the sorted list is as short as the model list.  Fewer than two values: null.
+    the sorted list is as short as the model list.  Fewer than two values: both
+    ends are the fallback, a column of the requests (the adjusted price).
     """
     good = predictions.filter((F.col("accuracy") >= C.INTERVAL_ACCURACY) & (F.col("value") != 0))
     wide = good.groupBy("request_id").agg(
         *[F.max(F.when(F.col("model_id") == m, F.col("value"))).alias(f"m{i}") for i, m in enumerate(model_ids)])
     values = F.array_compact(F.array(*[F.col(f"m{i}") for i in range(len(model_ids))]))
-    enough = F.size("vals") >= 2
-    return wide.select("request_id", values.alias("vals")).select(
-        "request_id",
-        F.when(enough, round_half(quantiles.in_row_quantile(F.col("vals"), 0.1), 2)).alias("lower"),
-        F.when(enough, round_half(quantiles.in_row_quantile(F.col("vals"), 0.9), 2)).alias("upper"))
+    told = wide.select("request_id", values.alias("vals"))
+    asked = requests.select("request_id", fallback.alias("_fallback")).join(told, "request_id", "left")
+    end = lambda p: F.when(F.size("vals") >= 2, quantiles.in_row_quantile(F.col("vals"), p)).otherwise(F.col("_fallback"))
+    return asked.select("request_id", round_half(end(0.1), 2).alias("lower"), round_half(end(0.9), 2).alias("upper"))
 
 
 def evidence_score(samples: Column) -> Column:
@@ -356,7 +356,7 @@ def estimate(requests: DataFrame, fused: DataFrame | None = None, predicted: Dat
         given = [c for c in PREDICTED if c in predicted.columns]
         df = df.join(predicted.select("request_id", *[F.col(c).alias(f"_p_{c}") for c in given]), "request_id", "left")
         told = {c: F.col(f"_p_{c}") for c in given}
-    area = F.coalesce("total_area", F.lit(10000.0))
+    area = F.coalesce("total_area", F.lit(C.DEFAULT_AREA))
     df = df.withColumns({
         "_area": area, "_b": building_features(F.col("buildings"), F.col("floors"), F.col("project_type")),
         "_raw": F.coalesce(model_price, base_price(F.col("project_type"), F.col("structure_type"),

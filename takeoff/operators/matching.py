@@ -84,40 +84,47 @@ def match_files(projects: DataFrame, files: DataFrame) -> DataFrame:
 # by less than 30 / 50 / 100 percent.  The k best of a type, ties by sequence,
 # are always among the k lowest sequence numbers of one of these sets: area
 # on one ring of differences (or any area), of the same structure (or any
-# structure).  Areas are kept in a 4-ary tree of whole hundredths: every node
+# structure).  Areas are kept in an 8-ary tree of whole hundredths: every node
 # keeps its k lowest sequence numbers, and a ring is covered by a few nodes.  So a
 # request reads some dozens of small nodes instead of all projects of its type.
+# The tree holds every 64-bit number; one more node above it holds any area at all.
 
 LEVELS = 20
-BASE_BITS = 2
+BASE_BITS = 3
+ALL_LEVEL = LEVELS + 1
+#: Areas beyond this, either way, count as this: their hundredths still fit into 64 bits when they are doubled.
+MAX_AREA = 4e16
 BANDS = [(3, 10, 3), (5, 10, 2), (10, 10, 1)]  # numerator, denominator, score
 ANY = "*"
 
 
 def cents(area: Column) -> Column:
-    return F.coalesce(F.round(area.cast("decimal(24,4)") * 100, 0).cast("bigint"), F.lit(0))
+    within = F.when(area.isNotNull() & ~F.isnan(area), F.greatest(F.least(area, F.lit(MAX_AREA)), F.lit(-MAX_AREA)))
+    return F.coalesce(F.round(within.cast("decimal(24,4)") * 100, 0).cast("bigint"), F.lit(0))
 
 
 def _area_nodes(hundredths: Column) -> Column:
-    """The node of the area on every level, leaf first."""
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda lv: F.struct(
-        lv.alias("level"), F.floor(hundredths / F.pow(F.lit(2.0), lv * BASE_BITS)).cast("bigint").alias("node")))
+    """The node of the area on every level, leaf first, and the node of all areas."""
+    inside = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda lv: F.struct(
+        lv.alias("level"), F.call_function("shiftright", hundredths, lv * BASE_BITS).alias("node")))
+    return F.concat(inside, F.array(F.struct(F.lit(ALL_LEVEL).alias("level"), F.lit(0).cast("bigint").alias("node"))))
 
 
 def _cover(ranges: DataFrame) -> DataFrame:
     """Nodes that together cover the whole numbers low..high of each row (columns level, node).
 
     On each level the nodes that are inside the range, but whose parent is not,
-    are taken: at most 3 at either end.
+    are taken: at most 7 at either end.
     """
     fan = 1 << BASE_BITS
-    wide = F.pow(F.lit(2.0), F.col("level") * BASE_BITS)
+    down = lambda c, bits: F.call_function("shiftright", c, bits)  # noqa: E731  floor of the division by a power of two
+    bits = F.col("level") * BASE_BITS
     one = ranges.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumns({
-        "first": F.ceil(F.col("low") / wide).cast("bigint"), "last": F.floor((F.col("high") + 1) / wide).cast("bigint") - 1,
+        "first": -down(-F.col("low"), bits), "last": down(F.col("high") + 1, bits) - 1,
     }).filter("first <= last")
     parents = one.withColumns({
-        "p_first": F.ceil(F.col("first") / fan).cast("bigint") * fan,
-        "p_last": F.floor((F.col("last") + 1) / fan).cast("bigint") * fan - 1})
+        "p_first": -down(-F.col("first"), F.lit(BASE_BITS)) * fan,
+        "p_last": down(F.col("last") + 1, F.lit(BASE_BITS)) * fan - 1})
     inner = (F.col("p_first") <= F.col("p_last")) & (F.col("level") < LEVELS)
     none = F.array().cast("array<bigint>")
 
@@ -184,25 +191,25 @@ def similar_projects(requests: DataFrame, projects: DataFrame, k: int = 5) -> Da
     shapes = asked.select("t", "s_req", "req100").distinct()
     span = F.greatest(F.col("req100"), F.lit(100))
     # |x - a| * den < span * num, in whole hundredths
-    reaches = [F.ceil(span * num / den).cast("bigint") - 1 for num, den, _ in BANDS]
+    reaches = [-F.floor(-(span.cast("decimal(20,0)") * num) / den).cast("bigint") - 1 for num, den, _ in BANDS]
     asked100 = F.col("req100")
     edges = [(asked100 - reaches[0], asked100 + reaches[0])]
     for inner, outer in zip(reaches, reaches[1:]):
         edges += [(asked100 - outer, asked100 - inner - 1), (asked100 + inner + 1, asked100 + outer)]
-    everything = F.struct(F.lit(0).cast("bigint").alias("low"), F.lit((1 << (BASE_BITS * LEVELS)) - 1).cast("bigint").alias("high"))
-    ranges = [everything] + [
+    ranges = [
         F.when((asked100 > 0) & (high >= 1), F.struct(F.greatest(low, F.lit(1)).alias("low"), high.alias("high")))
         for low, high in edges]
     # a shape fans out into dozens of rows, so the shapes are dealt out to all tasks first
     spread = shapes.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "req100")
     asked_ranges = spread.withColumn("r", F.explode(F.array(*ranges))).filter("r is not null").select(
         "t", "s_req", "req100", "r.low", "r.high")
-    probes = _cover(asked_ranges).withColumn("s_key", F.explode(F.array(F.col("s_req"), F.lit(ANY))))
+    everything = shapes.select("t", "s_req", "req100", F.lit(ALL_LEVEL).alias("level"), F.lit(0).cast("bigint").alias("node"))
+    probes = _cover(asked_ranges).unionByName(everything).withColumn("s_key", F.explode(F.array(F.col("s_req"), F.lit(ANY))))
     # both sides grow by fan-out, which size estimates before the fan-out do not see: never broadcast them
     hits = probes.join(index.hint("merge"), ["t", "s_key", "level", "node"]).select(
         "t", "s_req", "req100", "project_id", "seq", "s", "area100").distinct()
-    gap = F.abs(F.col("area100") - F.col("req100"))
-    ring = rules.chain([(gap * den < span * num, F.lit(score)) for num, den, score in BANDS], 0)
+    gap, whole = F.abs(F.col("area100") - F.col("req100")).cast("decimal(20,0)"), span.cast("decimal(20,0)")
+    ring = rules.chain([(gap * den < whole * num, F.lit(score)) for num, den, score in BANDS], 0)
     area_score = F.when((F.col("area100") > 0) & (F.col("req100") > 0), ring).otherwise(0)
     same = F.when(F.col("s") == F.col("s_req"), F.when(F.col("t") == ANY, 1).otherwise(2)).otherwise(0)
     scored = hits.withColumn("score", area_score + same).filter((F.col("t") != ANY) | (F.col("score") > 0))

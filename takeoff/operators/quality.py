@@ -232,7 +232,10 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     ranges = [r for r in C.REQUEST_RANGES if r[0] in requests.columns]
     found = range_violations(ranges)
     found += [F.when(F.length(c) > n, F.lit(c)) for c, n in C.REQUEST_LENGTHS if c in requests.columns]
+    found += [F.when(F.size(c) > n, F.lit(c)) for c, n in C.REQUEST_LIST_LENGTHS if c in requests.columns]
     if "buildings" in requests.columns:
+        too_long = lambda name, n: lambda b: F.length(b[name]) > n
+        found += [F.when(F.exists("buildings", too_long(c, n)), F.lit(f"buildings.{c}")) for c, n in C.BUILDING_LENGTHS]
         found += [F.when(F.exists("buildings", _outside(*rule)), F.lit(f"buildings.{rule[0]}")) for rule in C.BUILDING_RANGES]
         found.append(F.when(~area_consistent(F.col("buildings"), F.col("total_area")), F.lit("buildings.area_sum")))
     return requests.withColumn("violations", F.array_sort(F.array_compact(F.array(*found))))

@@ -2,6 +2,8 @@
 
 Every round counts the values of a bracket in a fixed number of bins and keeps
 the bin that holds the wanted rank, so only bin counts leave the executors.
+Brackets wider than a doubling are cut by the logarithm, others evenly: about
+seven rounds find any value, however far the values lie apart.
 """
 
 import math
@@ -13,25 +15,45 @@ BINS = 4096
 
 
 def exact_quantiles(df: DataFrame, col: Column, probs: list[float]) -> list[float | None]:
-    """Quantiles with linear interpolation between neighbouring values; nulls and NaN are left out."""
+    """Quantiles with linear interpolation between neighbouring values; nulls and NaN are left out, infinities count."""
     # one number a row is kept (memory, then disk), as every round reads it again
     values = df.select(col.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")).persist()
     try:
-        n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+        v, top = F.col("v"), F.lit(math.inf)
+        finite = F.when(F.abs(v) < top, v)
+        n, below, above, low, high = values.agg(
+            F.count(v), F.count(F.when(v == -top, 1)), F.count(F.when(v == top, 1)), F.min(finite), F.max(finite)).first()
         if not n:
             return [None] * len(probs)
         places = [p * (n - 1) for p in probs]
         ranks = sorted({math.floor(x) for x in places} | {math.ceil(x) for x in places})
-        found = _select(values, ranks, low, high)
+        found = {r: -math.inf if r < below else math.inf for r in ranks if r < below or r >= n - above}
+        inner = _select(values.select(finite.alias("v")), [r - below for r in ranks if r not in found], low, high)
+        found |= {r + below: x for r, x in inner.items()}
     finally:
         values.unpersist()
     out = []
     for x in places:
-        a, b = found[math.floor(x)], found[math.ceil(x)]
-        out.append(a + (b - a) * (x - math.floor(x)))
+        a, b, part = found[math.floor(x)], found[math.ceil(x)], x - math.floor(x)
+        out.append(a if a == b or not part else a + (b - a) * part)
     return out
 
 
+def _magnitude(v: float) -> float:
+    return 0.0 if v == 0 else math.copysign(math.log2(abs(v)) + 1080, v)
+
+
+def _bin(a: float, b: float) -> Column:
+    """Bin of a value between a and b; a falls into the first and b into the last one."""
+    v = F.col("v")
+    if a * b > 0 and abs(b / a) <= 2 and abs(a / b) <= 2:
+        part = (v - F.lit(a)) / F.lit(b - a)
+    else:
+        size = F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.log2(F.abs(v)) + 1080))
+        part = (size - F.lit(_magnitude(a))) / F.lit(_magnitude(b) - _magnitude(a))
+    return F.greatest(F.least(F.floor(part * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
+
+
 def _select(values: DataFrame, ranks: list[int], low: float, high: float) -> dict[int, float]:
     """Value at each 0-based rank.  A bracket is (lowest, highest, ranks below it)."""
     open_ranks = {r: (low, high, 0) for r in ranks}
@@ -48,9 +70,8 @@ def _select(values: DataFrame, ranks: list[int], low: float, high: float) -> dic
         bin_no = F.lit(None).cast("int")
         for i, (a, b) in reversed(list(enumerate(brackets))):
             inside = F.col("v").between(a, b)
-            pos = F.least(F.floor((F.col("v") - F.lit(a)) / F.lit(b - a) * BINS), F.lit(BINS - 1)).cast("int")
             pick = F.when(inside, F.lit(i)).otherwise(pick)
-            bin_no = F.when(inside, pos).otherwise(bin_no)
+            bin_no = F.when(inside, _bin(a, b)).otherwise(bin_no)
         counted = (
             values.select("v", pick.alias("bracket"), bin_no.alias("bin"))
             .filter(F.col("bracket").isNotNull())

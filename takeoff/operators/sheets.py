@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 
 from takeoff import constants as C
 from takeoff.functions import names, rules
-from takeoff.functions.numbers import comma_number, money, number_or, round_half, share
+from takeoff.functions.numbers import comma_number, money, number_or, round_half, share, strip
 from takeoff.operators import ordered, quality
 
-SHEET = ["project_id", "sheet_name", "sheet_order"]
+SHEET = ["project_id", "source_file", "sheet_name", "sheet_order"]
 BILL_SHEET = "表-08"
 
 
 def cell(i: int) -> Column:
     """Trimmed text of a cell, '' when blank or outside the row."""
-    return F.trim(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
+    return strip(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
 
 
 def number(i: int) -> Column:
@@ -68,20 +68,21 @@ def first_when(condition: Column, value: Column, *order: Column) -> Column:
 def expand_merged(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Null cells inside a merged range take its top-left value.
 
-    ranges: project_id, sheet_name, sheet_order, min_row, max_row, min_col, max_col (columns counted from 1).
+    ranges: project_id, source_file, sheet_name, sheet_order, min_row, max_row, min_col, max_col (columns counted from 1).
     A range is spread over the cells it covers, so rows and ranges meet by equality of the row number.
     """
     corner = rows.select(*SHEET, F.col("row_num").alias("min_row"), F.col("cells").alias("_corner"))
     covered = (
         ranges.join(corner, [*SHEET, "min_row"])
-        .select(*SHEET, F.get("_corner", (F.col("min_col") - 1).cast("int")).alias("value"), "min_col", "max_col",
+        .select(*SHEET, "min_row", F.get("_corner", (F.col("min_col") - 1).cast("int")).alias("value"), "min_col", "max_col",
                 F.explode(F.sequence("min_row", "max_row")).alias("row_num"))
-        .select(*SHEET, F.col("row_num").cast("bigint").alias("row_num"), "value",
+        .select(*SHEET, F.col("row_num").cast("bigint").alias("row_num"), F.struct("min_row", "min_col", "value").alias("v"),
                 F.explode(F.sequence("min_col", "max_col")).alias("col"))
     )
-    # at most one entry a cell of the row
-    per_row = covered.groupBy(*SHEET, "row_num").agg(
-        F.map_from_entries(F.array_distinct(F.collect_list(F.struct((F.col("col") - 1).cast("int").alias("k"), "value")))).alias("_m"))
+    # one value a cell, where ranges overlap that of the first range
+    single = covered.groupBy(*SHEET, "row_num", "col").agg(F.min("v")["value"].alias("value"))
+    per_row = single.groupBy(*SHEET, "row_num").agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("col") - 1).cast("int").alias("k"), "value"))).alias("_m"))
     filled = F.transform("cells", lambda c, i: F.coalesce(c, F.try_element_at("_m", i)))
     return rows.join(per_row, [*SHEET, "row_num"], "left").withColumn(
         "cells", F.when(F.col("_m").isNull(), F.col("cells")).otherwise(filled)).select(*rows.columns)
@@ -89,11 +90,11 @@ def expand_merged(rows: DataFrame, ranges: DataFrame) -> DataFrame:
 
 # -- bill items --------------------------------------------------------------
 
-def bill_items(rows: DataFrame, chunk: int = ordered.CHUNK) -> DataFrame:
-    """Bill items of all bill sheets with section, division, trade and flags."""
+def bill_items(rows: DataFrame, chunk: int = ordered.CHUNK, spec_length: int | None = None) -> DataFrame:
+    """Bill items of all bill sheets with section, division, trade and flags; spec texts are whole unless a length is given."""
     lines = bill_rows(rows).filter(width(8)).select(
         *SHEET, "row_num", unit_name(F.col("sheet_name")).alias("unit_project"), cell(1).alias("code"),
-        cell(2).alias("item_name"), F.substring(cell(3), 1, 500).alias("spec_text"), cell(3).alias("spec"),
+        cell(2).alias("item_name"), (cell(3) if spec_length is None else F.substring(cell(3), 1, spec_length)).alias("spec_text"), cell(3).alias("spec"),
         cell(4).alias("unit"),
         number(5).alias("quantity"), number(6).alias("comp_unit_price"), number(7).alias("total_price"),
         number(8).alias("labor_fee"),
@@ -165,10 +166,11 @@ def building_summary(units: DataFrame) -> DataFrame:
         F.when(n > 1, F.min("floors")).alias("min_floor"), ((n > 1) & (types > 1)).alias("mixed_types"))
 
 
-def building_list(units: DataFrame, segment: int = 1000) -> DataFrame:
+def building_list(units: DataFrame, segment: int = 1000, name_length: int | None = None) -> DataFrame:
     """JSON lists of the buildings in sheet order, in segments of sheet numbers so no list grows without bound."""
+    name = F.col("unit_project") if name_length is None else F.substring("unit_project", 1, name_length)
     entry = F.struct("sheet_order", F.struct(
-        F.substring("unit_project", 1, 30).alias("name"), F.coalesce("floors", F.lit(1)).alias("floors"), "type"
+        name.alias("name"), F.coalesce("floors", F.lit(1)).alias("floors"), "type"
     ).alias("b"))
     return units.groupBy("project_id", F.floor(F.col("sheet_order") / segment).alias("segment")).agg(
         F.to_json(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["b"])).alias("buildings_json"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from takeoff import constants as C
 from takeoff.functions import names, rules
-from takeoff.functions.numbers import round_half
+from takeoff.functions.numbers import round_half, strip
 from takeoff.operators.quality import filled_share
 
 
@@ -60,7 +60,7 @@ def floors_below(text: Column) -> Column:
 
 def project_name(filename: Column, text: Column) -> Column:
     """Value of the first name label, else the file name without its extension."""
-    label = F.trim(found(text, "(?:项目名称|工程名称|项目).*?[：:]\\s*(.+?)(?:\\n|$)"))
+    label = strip(found(text, "(?:项目名称|工程名称|项目).*?[：:]\\s*(.+?)(?:\\n|$)"))
     ext = F.length(names.extension(filename))
     return F.coalesce(label, F.nullif(F.substr(filename, F.lit(1), F.length(filename) - ext), F.lit("")))
 
@@ -96,10 +96,10 @@ def fuzzy_contains(text: Column, word: Column) -> Column:
 def value_after(row: Column, label: Column) -> Column:
     """Value next to a label: behind a colon in its cell, else the next cell, else the last word of its cell."""
     def at(i: Column) -> Column:
-        c = F.trim(F.coalesce(F.get(row, i), F.lit("")))
-        behind = F.trim(F.nullif(F.call_function(
+        c = strip(F.coalesce(F.get(row, i), F.lit("")))
+        behind = strip(F.nullif(F.call_function(
             "regexp_extract", c, F.concat(label, F.lit("\\s*[:：]\\s*(.+)")), F.lit(1)), F.lit("")))
-        following = F.nullif(F.trim(F.coalesce(F.get(row, i + 1), F.lit(""))), F.lit(""))
+        following = F.nullif(strip(F.coalesce(F.get(row, i + 1), F.lit(""))), F.lit(""))
         words = F.split(c, "\\s+")
         last = F.when(F.size(words) >= 2, F.get(words, F.size(words) - 1))
         return F.when(fuzzy_contains(c, label), F.coalesce(
@@ -109,17 +109,20 @@ def value_after(row: Column, label: Column) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull()), 0)
 
 
-def parse_value(field: Column, value: Column) -> Column:
-    """Text of a value read as its field wants it, null when it does not fit."""
-    value = F.trim(value)
+def parse_value(field: Column, value: Column, label_length: int = 10, place_length: int = 20) -> Column:
+    """Text of a value read as its field wants it, null when it does not fit.
+
+    An unknown structure, decoration or place counts as such up to the given lengths; longer cells are sentences.
+    """
+    value = strip(value)
     short = lambda n: F.when(F.length(value) <= n, value)
     return (
         F.when(field.isin("total_area", "land_area"), found(value, "(\\d+(?:\\.\\d+)?)"))
         .when(field.isin("floor_count", "above_ground_floors", "under_ground_floors", "build_year"), found(value, "(\\d+)"))
-        .when(field == "structure_type", F.coalesce(structure(value), short(10)))
+        .when(field == "structure_type", F.coalesce(structure(value), short(label_length)))
         .when(field == "building_type", building_type(value))
-        .when(field == "decoration_standard", F.coalesce(decoration(value), short(10)))
-        .when(field == "location", F.coalesce(location(value), short(20)))
+        .when(field == "decoration_standard", F.coalesce(decoration(value), short(label_length)))
+        .when(field == "location", F.coalesce(location(value), short(place_length)))
         .otherwise(F.nullif(value, F.lit(""))))
 
 
@@ -137,7 +140,7 @@ def table_features(df: DataFrame, tables: str = "tables") -> DataFrame:
     rows = F.filter(table_rows(F.col(tables)), lambda r: F.size(r) >= 2)
 
     def candidates(row: Column) -> Column:
-        line = F.array_join(F.filter(F.transform(row, lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != ""), " ")
+        line = F.array_join(F.filter(F.transform(row, lambda c: strip(F.coalesce(c, F.lit("")))), lambda c: c != ""), " ")
         near = F.filter(labels, lambda x: fuzzy_contains(line, x["label"]))
         read = F.transform(near, lambda x: F.struct(
             x["field"].alias("field"), parse_value(x["field"], value_after(row, x["label"])).alias("value")))
@@ -165,7 +168,7 @@ def table_features(df: DataFrame, tables: str = "tables") -> DataFrame:
 
 def cost_value(cell: Column) -> Column:
     """Amount in yuan: thousands commas, 万元 and 亿元 units; a plain number counts above 1000."""
-    text = F.trim(F.regexp_replace(cell, "[,，]", ""))
+    text = strip(F.regexp_replace(cell, "[,，]", ""))
     n = found(text, "(\\d+(?:\\.\\d+)?)").try_cast("double")
     return F.when(text.contains("亿元"), n * 1e8).when(text.contains("万元"), n * 1e4).when(n > 1000, n)
 
@@ -242,7 +245,7 @@ def clean_ocr(text: Column) -> Column:
 
 def page_scan(pages: DataFrame, doc: str, text: Column, confidence: Column) -> DataFrame:
     """Scanned pages of a document, whether it counts as scanned, and its mean page confidence."""
-    size = F.length(F.trim(F.coalesce(text, F.lit(""))))
+    size = F.length(strip(F.coalesce(text, F.lit(""))))
     band = F.when(size < 50, "scanned").when(size < 200, "partial").otherwise("text")
     seen = F.when(confidence > 0, confidence)
     tagged = pages.select(doc, band.alias("band"), seen.cast("decimal(18,4)").alias("conf"))
@@ -255,8 +258,8 @@ def page_scan(pages: DataFrame, doc: str, text: Column, confidence: Column) -> D
         round_half(mean, 2).alias("avg_confidence"), F.coalesce(mean < 60, F.lit(False)).alias("low_confidence"))
 
 
-def context_summary(docs: DataFrame) -> Column:
-    """Short description of a document and its features for a reader."""
+def context_summary(docs: DataFrame, preview_length: int | None = None) -> Column:
+    """Description of a document and its features for a reader; its text is whole unless a length is given."""
     def line(label: str, value: Column) -> Column:
         return F.when(value.isNotNull(), F.concat(F.lit(label + ": "), value.cast("string")))
 
@@ -267,8 +270,9 @@ def context_summary(docs: DataFrame) -> Column:
         F.col("above_ground_floors").isNotNull() | F.col("under_ground_floors").isNotNull(),
         F.concat(F.lit("   (地上 "), F.coalesce(F.col("above_ground_floors").cast("string"), F.lit("?")), F.lit(" 层, 地下 "),
                  F.coalesce(F.col("under_ground_floors").cast("string"), F.lit("?")), F.lit(" 层)")))
+    shown = F.col("full_text") if preview_length is None else F.substring("full_text", 1, preview_length)
     preview = F.when(F.coalesce("full_text", F.lit("")) != "", F.concat(
-        F.lit("文档摘要: "), F.regexp_replace(F.substring("full_text", 1, 500), "\\n", " "), F.lit("...")))
+        F.lit("文档摘要: "), F.regexp_replace(shown, "\\n", " "), F.lit("" if preview_length is None else "...")))
     return F.concat_ws(
         "\n", line("文件", F.col("filename")),
         F.concat(F.lit("格式: "), F.col("file_format"), F.lit(" | 页数: "), F.col("pages").cast("string"), F.lit(" | 扫描件: "),

@@ -1,5 +1,6 @@
 """Registered queries: every operator over the whole stand-in tables."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from takeoff.functions.numbers import money, round_half, share
 from takeoff.operators import (conversations, estimate, matching, ml, ordered, prices, quality, rollups, sheets, text,
                                training_set)
 from takeoff.plans import standins as S
-from takeoff.session import configure
+from takeoff.session import checkpoint_folder, configure
 from takeoff.sources import files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,10 @@ def query(fn):
     return fn
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _string_id(df: DataFrame) -> DataFrame:
     return df.withColumn("project_id", F.col("project_id").cast("string"))
 
@@ -137,14 +142,37 @@ def drop_reasons(spark, sf):
 
 @query
 def import_projects(spark, sf):
-    """Gate, grade and weight on flat rows: the read - clean - load chain."""
+    """Read, clean and load: gate, grade and weight flat rows, write kept and dropped ones apart, report what was written."""
     rows = S.table(spark, sf, "lineitem")
     flags = quality.gate_flags(F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity") - 1, F.col("l_extendedprice"))
     bad = flags["bad_unit_price"] | flags["bad_area"] | flags["bad_cost"]
     graded = rows.withColumns({"source_type": F.col("l_returnflag"), "data_confidence": F.when(
         F.col("l_returnflag") == "A", "high").when(F.col("l_linestatus") == "O", "medium").otherwise("low")})
-    return graded.select(quality.sample_weight(graded).alias("weight"), bad.alias("dropped"), money(F.col("l_extendedprice")).alias("v")) \
-        .groupBy("weight", "dropped").agg(F.count(F.lit(1)).alias("n"), F.sum("v").cast("double").alias("total"))
+    loaded = graded.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "source_type", "data_confidence",
+                           quality.sample_weight(graded).alias("weight"), bad.alias("dropped"))
+    folder = _fresh(spark, "import")
+    loaded.write.partitionBy("dropped").parquet(folder)
+    back = spark.read.schema(loaded.schema).parquet(folder)
+    return back.groupBy("weight", "dropped").agg(F.count(F.lit(1)).alias("n"), F.sum(money(F.col("l_extendedprice"))).cast("double").alias("total"))
+
+
+@query
+def history_round_trip(spark, sf):
+    """Every order exported as JSON history and read back."""
+    orders = S.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    folder = _fresh(spark, "history")
+    files.write_history(orders, folder)
+    return files.read_history(spark, folder, orders.schema)
+
+
+@query
+def flat_round_trip(spark, sf):
+    """Every order, with a text that holds quotes, commas and line breaks, exported as a flat table and read back."""
+    note = F.concat(F.lit('a "'), F.col("o_orderstatus"), F.lit('", b\n'), F.col("o_custkey").cast("string"))
+    orders = S.table(spark, sf, "orders").select("o_orderkey", note.alias("note"), F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    folder = _fresh(spark, "flat")
+    files.write_flat(orders, folder)
+    return files.read_flat(spark, folder, orders.schema)
 
 
 @query
@@ -636,7 +664,8 @@ def enriched_metadata(spark, sf):
     k = F.col("o_orderkey")
     line = F.array(S.pick(["结构：框架剪力墙", "砖混结构", "", "钢结构厂房"], k), S.pick(["采用20定额", "2019年开工 2021年竣工", ""], k),
                    F.concat((k % 30).cast("string"), F.lit(" 层，地下"), (k % 4).cast("string"), F.lit("层")), S.pick(["精装", "毛坯", ""], k), S.pick(["筏形基础", "桩承台基础", ""], k))
-    rows = S.table(spark, sf, "orders").filter(k % 3 != 0).select(
+    line = F.when(k % 3 != 0, line).otherwise(F.array_repeat(F.lit(""), 5))
+    rows = S.table(spark, sf, "orders").select(
         k.alias("project_id"), F.lit("表-01 总说明").alias("sheet_name"), F.lit(1).alias("sheet_order"), F.lit(1).cast("bigint").alias("row_num"), line.alias("cells"))
     p = S.project_meta(spark, sf, False, False).withColumns({
         "structure_type": F.when(k_mod("project_id", 2, 0), F.col("structure_type")), "under_ground_floors": F.lit(None).cast("int"),
@@ -734,8 +763,8 @@ def division_targets(spark, sf):
 
 @query
 def scale_factor(spark, sf):
-    p = S.project_meta(spark, sf, place=False).filter("total_area is not null")
-    return p.select("project_id", round_half(estimate.scale_factor(F.col("total_area")), 4).alias("scale"))
+    p = S.project_meta(spark, sf, place=False)
+    return p.select("project_id", round_half(estimate.scale_factor(F.coalesce("total_area", F.lit(C.DEFAULT_AREA))), 4).alias("scale"))
 
 
 @query
@@ -777,7 +806,7 @@ def unit_split(spark, sf):
 
 @query
 def item_amounts(spark, sf):
-    return estimate.item_amounts(S.project_meta(spark, sf, place=False).filter("total_area is not null"), ["project_id"], F.col("total_area"))
+    return estimate.item_amounts(S.project_meta(spark, sf, place=False), ["project_id"], F.coalesce("total_area", F.lit(C.DEFAULT_AREA)))
 
 
 @query
@@ -793,7 +822,9 @@ def weighted_fusion(spark, sf):
 
 @query
 def percentile_interval(spark, sf):
-    return estimate.prediction_interval(S.predictions(spark, sf), [m for m, *_ in C.MODEL_REGISTRY])
+    told = S.predictions(spark, sf)
+    asked = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id")).join(estimate.fuse(told), "request_id", "left")
+    return estimate.prediction_interval(asked, told, [m for m, *_ in C.MODEL_REGISTRY], F.col("fused"))
 
 
 @query
@@ -928,8 +959,7 @@ def ocr_cleanup(spark, sf):
 def scanned_pages(spark, sf):
     d = S.table(spark, sf, "documents")
     conf = (F.col("doc_id") * 37 % 101).cast("double")
-    return text.page_scan(d, "source", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 40)).when(
-        F.col("doc_id") % 5 == 0, F.substring("text", 1, 150)).otherwise(F.col("text")), conf)
+    return text.page_scan(d, "source", F.col("text"), conf)
 
 
 @query
@@ -957,7 +987,7 @@ def session_summary(spark, sf):
 
 @query
 def session_retention(spark, sf):
-    kept = conversations.retain(S.messages(spark, sf), sessions=40, per_session=3)
+    kept = conversations.retain(S.messages(spark, sf), sessions=C.MAX_SESSIONS, per_session=C.MAX_MESSAGES)
     return kept.select("session_id", "turn", "role")
 
 
@@ -968,7 +998,7 @@ def last_messages(spark, sf):
 
 @query
 def project_retention(spark, sf):
-    return conversations.retain_projects(S.project_meta(spark, sf, False, False)).select("project_id", "name")
+    return conversations.retain_projects(S.project_meta(spark, sf, False, False), n=C.MAX_PROJECTS).select("project_id", "name")
 
 
 # -- models ------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from takeoff import constants as C
 from takeoff.functions import rules
 from takeoff.sources import tables as table_ops
-from takeoff.sources.files import spread
+
 
 # What the driver's codes stand for
 TYPES = ["住宅", "办公楼", "学校", "医院", "工业建筑"]
@@ -92,12 +92,12 @@ def project_meta(spark: SparkSession, sf_dir: str, area: bool = True, place: boo
         "data_quality_grade": F.nullif(pick(GRADES, F.col("o_custkey")), F.lit("")),
         "extraction_date": F.to_date("o_orderdate"),
     }
-    df = spread(table(spark, sf_dir, "orders")).select(F.col("o_custkey").alias("_cust"), *[v.alias(n) for n, v in cols.items()])
+    df = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("_cust"), *[v.alias(n) for n, v in cols.items()])
     if place:
         nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_cust"), "c_nationkey")
         df = df.join(nation, "_cust").withColumn("location", pick(PLACES, F.col("c_nationkey"))).drop("c_nationkey")
     if area:
-        size = spread(table(spark, sf_dir, "lineitem")).groupBy(F.col("l_orderkey").alias("project_id")).agg(
+        size = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("project_id")).agg(
             F.sum("l_quantity").alias("_q"))  # whole numbers: exact in any order
         df = df.join(size, "project_id", "left").withColumn("total_area", F.col("_q") * 200).withColumn(
             "unit_price", F.col("total_cost") / F.col("total_area")).drop("_q")
@@ -111,7 +111,7 @@ def boq_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(TRADES, F.element_at(F.split("p_brand", "#"), 2).cast("int")).alias("trade"))
     item = F.concat_ws(" ", code_of(F.element_at(F.split("p_name", " "), 2), ITEMS), F.col("p_name"))
     p = F.col("l_partkey")
-    return spread(table(spark, sf_dir, "lineitem")).join(part, "l_partkey").select(
+    return table(spark, sf_dir, "lineitem").join(part, "l_partkey").select(
         F.col("l_orderkey").alias("project_id"), F.col("l_suppkey").alias("supplier"),
         F.concat(pick(CODE_HEADS, p), F.lpad(p.cast("string"), 8, "0")).alias("boq_code"), item.alias("item_name"),
         "division", "trade", F.when(F.col("l_linestatus") == "O", "m3").otherwise("t").alias("unit"),
@@ -164,7 +164,7 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("project_id"), F.lit("main.xlsx").alias("source_file"), name.alias("sheet_name"),
         order.cast("int").alias("sheet_order"), number.cast("bigint").alias("row_num"), cells.alias("cells"))
     # a generator: later filters then read the made row instead of working it out again
-    return spread(table(spark, sf_dir, "lineitem")).select(F.explode(F.array(made)).alias("r")).select("r.*")
+    return table(spark, sf_dir, "lineitem").select(F.explode(F.array(made)).alias("r")).select("r.*")
 
 
 ROW_CHUNK = 1000  # bill rows of the stand-in are numbered line * 1e6 + part
@@ -179,7 +179,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.lit(1).alias("basement"))
     buildings = F.when(k % 3 == 0, F.array(b(floors, area / 2, "住宅"), b(k % 20 + 1, area / 4, "商业"), b(k % 7 + 1, area / 4, "住宅"))) \
         .when(k % 3 == 1, F.array(b(floors, area, "住宅")))
-    return spread(table(spark, sf_dir, "customer")).select(
+    return table(spark, sf_dir, "customer").select(
         k.alias("request_id"), F.col("c_name").alias("project_name"),
         code_of(F.col("c_mktsegment"), SEGMENT_TYPES).alias("project_type"),
         pick(REQUEST_STRUCTURES, k).alias("structure_type"), area.alias("total_area"), floors.alias("floors"),
@@ -193,8 +193,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model predictions per order: each model's price and its effective accuracy."""
     k = F.col("o_orderkey")
-    models = F.array(*[F.struct(F.lit(m).alias("model_id"), F.lit(i).alias("i")) for i, (m, *_) in enumerate(C.MODEL_REGISTRY[:4])])
-    return spread(table(spark, sf_dir, "orders")).select(k.alias("request_id"), F.col("o_totalprice").alias("t"), F.explode(models).alias("m")) \
+    models = F.array(*[F.struct(F.lit(m).alias("model_id"), F.lit(i).alias("i")) for i, (m, *_) in enumerate(C.MODEL_REGISTRY)])
+    return table(spark, sf_dir, "orders").select(k.alias("request_id"), F.col("o_totalprice").alias("t"), F.explode(models).alias("m")) \
         .select("request_id", "m.model_id",
                 F.when((F.col("request_id") + F.col("m.i")) % 5 == 0, 0.0).otherwise(
                     F.col("t") / 100 * (1 + 0.25 * F.col("m.i"))).alias("value"),
@@ -223,7 +223,7 @@ def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda *xs: F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])
     tables = F.array(F.array(s("序号", "名称"), s("建筑总面积", (n * 3).cast("string")), s("楼层数：12", "x")),
                      F.array(s("建造年份", (1990 + d % 40).cast("string")), s("合计", pick(COST_CELLS, d), "12000")))
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc_"), d.cast("string"), F.lit(".pdf")).alias("filename"), F.lit(".pdf").alias("file_format"),
         text.alias("full_text"), tables.alias("tables"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"),
         (n / 2000 + 1).cast("int").alias("pages"), (n < 50).alias("is_scanned"),

@@ -45,15 +45,17 @@ def local_session(cpus: str = "*", name: str = "takeoff", shuffle_partitions: in
     return configure(spark)
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """Set the context's checkpoint folder: the shared one the cluster names, a fresh one only on a local master.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir, set as the context's checkpoint folder.
 
-    Returns None, and sets nothing, on a cluster that names no folder.
+    Where it is unset, a local master (tests, bench) gets a folder of its own; a cluster must name one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("takeoff.checkpoint.folder", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if folder is not None and spark.sparkContext.getCheckpointDir() is None:
+        spark.conf.set("takeoff.checkpoint.folder", folder)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -10,23 +10,30 @@ from takeoff import constants as C
 from takeoff.functions import names, rules
 
 
-def read_flat(spark: SparkSession, path: str, schema: T.StructType, not_null: str, kind: str = "csv") -> DataFrame:
-    """Flat table with a header row; bad cells become null, blank rows are dropped, reading goes on behind them."""
+def read_flat(spark: SparkSession, path: str, schema: T.StructType, kind: str = "csv", line_breaks: bool = True) -> DataFrame:
+    """Flat table with a header row; bad cells become null, rows without any value are dropped, reading goes on behind them.
+
+    A quoted cell may hold line breaks. Files known to have none can be read without `line_breaks`: Spark splits such files.
+    """
     if kind == "csv":
-        df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+        options = {"header": True, "mode": "PERMISSIVE", "multiLine": line_breaks, "quote": '"', "escape": '"'}
+        df = spark.read.schema(schema).options(**options).csv(path)
     else:
         df = spark.read.schema(schema).format(kind).load(path)
-    return df.filter(F.col(not_null).isNotNull())
+    return df.dropna("all")
 
 
 def write_flat(df: DataFrame, path: str, kind: str = "csv") -> None:
     writer = df.write.mode("overwrite")
-    writer.option("header", True).csv(path) if kind == "csv" else writer.format(kind).save(path)
+    writer.options(header=True, quote='"', escape='"').csv(path) if kind == "csv" else writer.format(kind).save(path)
+
 
+def read_history(spark: SparkSession, path: str, schema: T.StructType | None = None, array: bool = False) -> DataFrame:
+    """JSON history: one record a line, as `write_history` leaves it, or files that hold one array each.
 
-def read_history(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """JSON history, one array file or one record a line."""
-    reader = spark.read.option("multiLine", True)
+    Files of lines are split among tasks; an array file is one task's, since its records end nowhere in particular.
+    """
+    reader = spark.read.option("multiLine", array)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
@@ -56,8 +63,3 @@ def admit_files(files: DataFrame, path: Column, size: Column) -> DataFrame:
                      (size > C.MAX_FILE_BYTES, F.lit("size"))]),
     )
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a few small files out to all cores; a scan with enough tasks is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

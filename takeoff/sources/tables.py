@@ -55,19 +55,30 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(schemas.TABLES[name][0]).parquet(os.path.join(folder, name))
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    target, aside = os.path.join(folder, name), os.path.join(folder, f"_{name}_last")
+    fs = Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = aside if fs.exists(Path(aside)) and not fs.exists(Path(target)) else target
+    return spark.read.schema(schemas.TABLES[name][0]).parquet(found)
 
 
 def save(df: DataFrame, folder: str, name: str) -> None:
-    """Write a new snapshot; readers of the old files are not disturbed as the write goes to a fresh folder first."""
+    """Write a new snapshot to a fresh folder, move the old one aside, move the new one in, then drop the old one.
+
+    A crash at any point leaves a whole snapshot: `load` falls back to the one set aside.
+    """
     spark = df.sparkSession
-    target, staged = os.path.join(folder, name), os.path.join(folder, f"_{name}_next")
+    target, staged, aside = (os.path.join(folder, x) for x in (name, f"_{name}_next", f"_{name}_last"))
     df.write.mode("overwrite").parquet(staged)
     Path = spark._jvm.org.apache.hadoop.fs.Path
     fs = Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(Path(target), True)
+    if fs.exists(Path(target)):
+        fs.delete(Path(aside), True)
+        if not fs.rename(Path(target), Path(aside)):
+            raise OSError(f"could not set the old snapshot of {target} aside")
     if not fs.rename(Path(staged), Path(target)):
         raise OSError(f"could not move the new snapshot to {target}")
+    fs.delete(Path(aside), True)
 
 
 def append(df: DataFrame, folder: str, name: str) -> None:

@@ -62,8 +62,9 @@ def test_fusion_and_interval(spark):
     p = spark.createDataFrame(rows, "request_id int, model_id string, value double, weight double, accuracy double")
     f = {r.request_id: r for r in estimate.fuse(p).collect()}
     assert (f[1].fused, f[1].model_count, f[1].average_accuracy, f[2].fused) == (150.0, 2, 50.0, 20.0)
-    i = {r.request_id: (r.lower, r.upper) for r in estimate.prediction_interval(p, ["a", "b", "c"]).collect()}
-    assert i == {1: (110.0, 190.0), 2: (None, None)}
+    asked = spark.createDataFrame([(1, 7.0), (2, 15.5), (3, None)], "request_id int, price double")
+    i = {r.request_id: (r.lower, r.upper) for r in estimate.prediction_interval(asked, p, ["a", "b", "c"], F.col("price")).collect()}
+    assert i == {1: (110.0, 190.0), 2: (15.5, 15.5), 3: (None, None)}
     m = spark.createDataFrame([("x", True, 70.0, {"f": 1.0}), ("y", True, 80.0, {"g": 1.0}), ("z", True, 99.0, {})], "model_id string, is_trained boolean, accuracy double, importance map<string,double>")
     assert estimate.best_importance(m).first().model_id == "y"
 
@@ -80,6 +81,10 @@ def test_request_rules(spark):
     df = request(spark, {}, {"floors": 501, "total_area": 0.0}, {"buildings": [(0, 5.0, "住宅", 0), (3, 19990.0, "住宅", 30)]}, {"buildings": [(3, 15000.0, "住宅", 0)], "stage": "x" * 21})
     got = [r.violations for r in quality.validate_requests(df).orderBy("request_id").collect()]
     assert got == [[], ["floors", "total_area"], ["buildings.basement", "buildings.floors"], ["buildings.area_sum", "stage"]]
+    df = request(spark, {"buildings": [(3, 20.0, "住" * 51, 0)] * 51}, {}).withColumn("selected_models", F.array_repeat(F.lit("m"), 21))
+    df = df.withColumn("hvac", F.repeat(F.lit("x"), F.lit(101) - F.col("request_id")))
+    got = [r.violations for r in quality.validate_requests(df).orderBy("request_id").collect()]
+    assert {"hvac", "buildings", "buildings.type", "selected_models"} <= set(got[0]) and got[1] == ["selected_models"]
 
 
 def test_training_table_keeps_real_costs(spark):

@@ -32,7 +32,7 @@ def brute(request, projects, k):
 @pytest.mark.parametrize("seed,k", [(1, 3), (2, 5)])
 def test_similar_equals_brute_force(spark, seed, k):
     rnd = random.Random(seed)
-    areas = [0.0, None, 1.0, 0.5, 700.0, 1000.0, 1300.0, 1500.0, 2000.0, 1299.99]
+    areas = [0.0, None, 1.0, 0.5, 700.0, 1000.0, 1300.0, 1500.0, 2000.0, 1299.99, 2e10, 2.5e10, -5.0]
     projects = [(f"p{i}", rnd.randrange(10**6) * 100 + i, rnd.choice(["安置楼", "学校", "无名"]), rnd.choice(TYPES[:2] + [""]), rnd.choice(["甲", "乙", None]),
                  rnd.choice(areas + [round(rnd.lognormvariate(7, 2), 2)] * 5)) for i in range(150)]
     requests = [(i, rnd.choice(TYPES), rnd.choice(["甲", "乙"]), rnd.choice(areas[2:] + [round(rnd.lognormvariate(7, 2), 2)] * 5)) for i in range(40)]

@@ -9,13 +9,20 @@ from takeoff.operators import ordered, quantiles
 
 @pytest.mark.parametrize("values", [
     [3.0], [1.0, 2.0], [5.0] * 50, [random.Random(1).lognormvariate(0, 5) for _ in range(997)],
-    [0.0] * 300 + [1e-9, 1e12], [float(i % 7) for i in range(500)]])
+    [0.0] * 300 + [1e-9, 1e12], [float(i % 7) for i in range(500)], [1e300, -1e300, 5e-324, 0.0, 1.0, 1.0000000000000002, 3.0]])
 def test_quantiles_are_exact(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
     probs = [0.0, 0.1, 0.5, 0.9, 1.0]
     assert np.allclose(quantiles.exact_quantiles(df, F.col("v"), probs), np.quantile(values, probs), rtol=1e-12)
 
 
+def test_infinities_count(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in [inf, -inf, 1.0, 2.0, inf]], "v double")
+    assert quantiles.exact_quantiles(df, F.col("v"), [0.0, 0.25, 0.5, 0.75, 1.0]) == [-inf, 1.0, 2.0, inf, inf]
+    assert quantiles.exact_quantiles(df.filter("v > 5"), F.col("v"), [0.1, 0.9]) == [inf, inf]
+
+
 def test_no_values(spark):
     assert quantiles.median(spark.createDataFrame([], "v double"), F.col("v")) is None
 

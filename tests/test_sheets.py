@@ -34,7 +34,7 @@ def test_bill_items(spark):
         assert (a.boq_code, a.section, a.division, a.unit_project, a.flag_outlier, a.flag_code_error) == (
             "010101001001", "A 土石方工程", "基础工程", "土建", 0, 0)
         assert (b.boq_code, b.section, b.division, len(b.spec_text), b.flag_outlier, b.flag_code_error) == (
-            "SUB_00005", "其他零星工程", None, 500, 1, 1)
+            "SUB_00005", "其他零星工程", None, 600, 1, 1)
         assert a.item_id.startswith("P1_010101001001_") and a.item_id != b.item_id
 
 
@@ -132,7 +132,7 @@ def test_text_and_coverage(spark):
 
 def test_merged_ranges(spark):
     rows = rows_of(spark, ("表-08", [(1, ["分部名称", "项目编码"]), (2, ["土石方工程", "010101001001"]), (3, [None, "010101002001"]), (4, [None, None])]))
-    ranges = spark.createDataFrame([("P1", "表-08", 0, 2, 4, 1, 1)],
-                                   "project_id string, sheet_name string, sheet_order int, min_row int, max_row int, min_col int, max_col int")
+    ranges = spark.createDataFrame([("P1", rows.first().source_file, "表-08", 0, 2, 4, 1, 1), ("P1", rows.first().source_file, "表-08", 0, 3, 4, 1, 1)],
+                                   "project_id string, source_file string, sheet_name string, sheet_order int, min_row int, max_row int, min_col int, max_col int")
     got = [r.cells for r in sheets.expand_merged(rows, ranges).orderBy("row_num").collect()]
     assert got == [["分部名称", "项目编码"], ["土石方工程", "010101001001"], ["土石方工程", "010101002001"], ["土石方工程", None]]

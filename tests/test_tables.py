@@ -14,7 +14,7 @@ def ids(df, c="project_id"):
 def test_blank_rows_do_not_end_the_read(spark, tmp_path):
     path = tmp_path / "flat.csv"
     path.write_text("name,unit_price\nrow1,1000\n,\n,\nSENTINEL_LAST,2000\nbad,abc\n")
-    df = files.read_flat(spark, str(path), schemas._schema("name string, unit_price double"), "name")
+    df = files.read_flat(spark, str(path), schemas._schema("name string, unit_price double"))
     assert [(r.name, r.unit_price) for r in df.collect()] == [("row1", 1000.0), ("SENTINEL_LAST", 2000.0), ("bad", None)]
 
 
@@ -22,15 +22,23 @@ def test_export_round_trip_and_history(spark, tmp_path):
     df = spark.createDataFrame([("P1", "住宅", 1.5e8), ("P2", "办公", 3.6e8)], "project_id string, name string, total_cost double")
     for kind in ("csv", "parquet"):
         files.write_flat(df, str(tmp_path / kind), kind)
-        assert sorted(files.read_flat(spark, str(tmp_path / kind), df.schema, "name", kind).collect()) == sorted(df.collect())
-    files.write_history(df, str(tmp_path / "h"))
+        assert sorted(files.read_flat(spark, str(tmp_path / kind), df.schema, kind).collect()) == sorted(df.collect())
+    files.write_history(df.coalesce(1), str(tmp_path / "h"))
     assert sorted(files.read_history(spark, str(tmp_path / "h"), df.schema).collect()) == sorted(df.collect())
+    (tmp_path / "array.json").write_text("[" + ",\n".join(df.toJSON().collect()) + "]")
+    assert sorted(files.read_history(spark, str(tmp_path / "array.json"), df.schema, array=True).collect()) == sorted(df.collect())
+
+
+def test_flat_cells_with_line_breaks_and_rows_without_a_name(spark, tmp_path):
+    df = spark.createDataFrame([("a\n\"b\", c", 1.0), (None, 2.0), (None, None), ("d", None)], "name string, unit_price double").coalesce(1)
+    files.write_flat(df, str(tmp_path / "x"))
+    assert sorted(map(repr, files.read_flat(spark, str(tmp_path / "x"), df.schema).collect())) == sorted(map(repr, df.dropna("all").collect()))
 
 
 def test_large_flat_table_keeps_every_row(spark, tmp_path):
     df = spark.range(20000).select(F.format_string("proj%06d", "id").alias("name"), (1000 + F.col("id") % 50).cast("double").alias("unit_price"))
     files.write_flat(df, str(tmp_path / "big"))
-    assert files.read_flat(spark, str(tmp_path / "big"), df.schema, "name").count() == 20000
+    assert files.read_flat(spark, str(tmp_path / "big"), df.schema).count() == 20000
 
 
 def test_tables_are_created_once_and_saved(spark, tmp_path):

@@ -99,7 +99,7 @@ def test_sessions(spark):
     rows = [(s, t, f"消息{t}" + "长" * 40, s * 100 + t) for s in (1, 2, 3) for t in range(5)]
     df = spark.createDataFrame(rows, "session_id int, turn int, text string, seq int")
     s = {r.session_id: r for r in conversations.session_summary(df).collect()}
-    assert len(s[1].title) == 30 and s[1].message_count == 5
+    assert len(s[1].title) == 43 and s[1].message_count == 5
     kept = sorted((r.session_id, r.turn) for r in conversations.retain(df, sessions=2, per_session=2).collect())
     assert kept == [(2, 3), (2, 4), (3, 3), (3, 4)]
     assert [r.seq for r in conversations.last_messages(df, 2).collect()] == [303, 304]
