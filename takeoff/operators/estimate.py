@@ -42,8 +42,11 @@ def adjusted_division(division: Column, floors: Column) -> Column:
 
 def normalised(values: list[Column], digits: int = 4) -> Column:
     """Array of the values as shares of their sum."""
-    whole = reduce(lambda a, b: a + b, values)
-    return F.array(*[F.when(whole > 0, round_half(v / whole, digits)).otherwise(v) for v in values])
+    given = F.array(*[v.cast("double") for v in values])
+    # the sum is bound once, in a field of a one-element array
+    bound = F.array(F.struct(given.alias("v"), reduce(lambda a, b: a + b, values).cast("double").alias("s")))
+    return F.transform(bound, lambda x: F.when(
+        x["s"] > 0, F.transform(x["v"], lambda v: round_half(v / x["s"], digits))).otherwise(x["v"]))[0]
 
 
 def with_coefficients(df: DataFrame, building_type: str = "building_type", structure: str = "structure_type",
@@ -369,9 +372,10 @@ def estimate(requests: DataFrame, fused: DataFrame | None = None, predicted: Dat
     trades = trade_shares(F.col("_b.residential_ratio"), F.col("_b.commercial_ratio"))
     if "trades" in told:
         trades = F.coalesce(told["trades"], trades)
-    fix = correction(requests, "subsection_xgb", "基础占比")
+    # a column of its own: the shares name it several times, and Spark doesn't copy a costly expression into each
+    df = df.withColumn("_fix", correction(requests, "subsection_xgb", "基础占比"))
     df = df.withColumns({
-        "_trades": trades, "_divisions": division_shares(fix, told.get("divisions")),
+        "_trades": trades, "_divisions": division_shares(F.col("_fix"), told.get("divisions")),
         "_fees": cost_shares(F.col("composition"), F.col("_b.mixed_types"), F.col("decoration_level")),
         "_indicators": indicator_shares(told.get("indicators"))})
 
