@@ -717,6 +717,34 @@ add("cost_value_parse", "parsed_documents", f"""
 SELECT doc_id, cost AS total_cost, CASE WHEN area > 0 THEN {rnd('cost / area', 2)} END AS unit_price FROM (
   SELECT doc_id, {_area} AS area, CASE doc_id % 5 WHEN 0 THEN 1234.5::DOUBLE * 1e4 WHEN 1 THEN 2.5::DOUBLE * 1e8 WHEN 2 THEN 987654.0::DOUBLE WHEN 3 THEN 12000.0::DOUBLE ELSE 88000.0::DOUBLE END AS cost
   FROM parsed_documents)""")
+def _ocr() -> str:
+    """Clean-up in the order of the rules. Where a rule looks behind a match, the character is captured and put back; such rules run
+    twice, as one run can't use a character for two matches. Line breaks before list entries are hidden as chr(1) meanwhile."""
+    t = "full_text"
+
+    def sub(pattern: str, to: str, times: int = 1) -> None:
+        nonlocal t
+        for _ in range(times):
+            t = f"regexp_replace({t}, '{pattern}', {to}, 'g')"
+
+    sub(r"[^\S\n]+(\n|\z)", r"'\1'")
+    sub(r"\A\n+", "''")
+    sub(r"\n+\z", "chr(10)")
+    sub(r"\n{3,}", "chr(10) || chr(10)")
+    sub(r"\n([\d一二三四五六七八九十]+[、.．]|【)", r"chr(1) || '\1'", 2)
+    sub(r"([^\n\x01。；：！？、）》」』,;:!?)>.．])\n([^\n\x01])", r"'\1\2'", 2)
+    t = f"replace({t}, chr(1), chr(10))"
+    sub(r"(\d)l(\d)", r"'\11\2'", 2)
+    sub(r"(\d)O(\d)", r"'\10\2'", 2)
+    sub("。。+", "'。'")
+    sub("，，+", "'，'")
+    sub("  +", "' '")
+    sub(r",\n(\d)", r"',\1'")
+    sub(r"([\d ])(?:rn2|[rnm]2)([^0-9]|\z)", r"'\1㎡\2'", 2)
+    return t
+
+
+add("ocr_cleanup", "parsed_documents", f"SELECT doc_id, {_ocr()} AS text FROM parsed_documents")
 add("scanned_pages", "", f"""
 SELECT source, count(*) AS pages, count(*) FILTER (WHERE n < 50) AS scanned_pages, count(*) FILTER (WHERE n >= 50 AND n < 200) AS partial_pages,
   count(*) FILTER (WHERE n < 50) / CAST(count(*) AS DOUBLE) > 0.5 AS is_scanned, {rnd(total('nullif(c, 0)') + ' / count(nullif(c, 0))', 2)} AS avg_confidence,

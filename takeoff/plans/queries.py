@@ -1037,7 +1037,7 @@ def model_status(spark, sf):
 def ml_item_price(spark, sf):
     """Out-of-fold metrics of the linear item price model."""
     items = rollups.item_training_rows(S.boq_items(spark, sf))
-    spec = ml.ModelSpec("boq_lr_v2", ["comp_unit_price"], ml.ITEM, ml.linear(), True, 100, folds=2)
+    spec = ml.ModelSpec("boq_lr_v2", ["comp_unit_price"], ml.ITEM, ml.linear(), True, 100, folds=5)
     key = F.concat_ws("|", "project_id", "boq_code", "quantity", "comp_unit_price")
     frame = ml.item_features(items.withColumn("row_key", key), ["row_key", "comp_unit_price"])
     return ml.regression_metrics(ml.cross_predict(frame, spec, "comp_unit_price", "row_key"))
@@ -1045,10 +1045,10 @@ def ml_item_price(spark, sf):
 
 @query
 def ml_unit_price(spark, sf):
-    """Predicted unit price of every trainable project from a small boosted-tree model."""
+    """Predicted unit price of every trainable project from boosted trees."""
     p = training_set.training_rows(S.project_meta(spark, sf)).withColumns({
         "region": names.region(F.col("location")), "decoration": names.decoration_level(F.col("decoration_standard"))})
-    spec = ml.ModelSpec("unit_gbt", ["unit_price"], ml.TREE, ml.gbt(5, depth=4), True, 5)
+    spec = ml.ModelSpec("unit_gbt", ["unit_price"], ml.TREE, ml.gbt(100, depth=6), True, 5)
     frame = ml.feature_frame(p, spec.features, ["project_id", "unit_price"])
     model = ml._pipeline(spec).fit(ml.labelled(frame, spec, "unit_price"))
     return ml.score(frame, {"unit_price": model}, True).select("project_id", "unit_price", "pred_unit_price")
@@ -1058,5 +1058,5 @@ def ml_unit_price(spark, sf):
 def fp_patterns(spark, sf):
     items = S.boq_items(spark, sf)
     word = F.element_at(F.split("item_name", " "), 1)
-    sets, _ = ml.item_patterns(items, ["project_id"], word, [w for _, w in S.ITEMS], support=0.1, confidence=0.3)
+    sets, _ = ml.item_patterns(items, ["project_id"], word, support=0.1, confidence=0.3)
     return sets.select(F.array_join("items", ",").alias("items"), "freq", round_half(F.col("support"), 6).alias("support"))

@@ -13,7 +13,7 @@ def test_registry_is_consistent():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
     own = {k for k in queries if k != "pipeline" and not re.match(r"op\d+_", k)}
-    assert own - set(oracles) == {"ocr_cleanup", "document_context", "table_fields", "document_confidence", "ml_item_price", "ml_unit_price"}
+    assert own - set(oracles) == {"document_context", "table_fields", "document_confidence", "ml_item_price", "ml_unit_price"}
 
 
 @pytest.mark.parametrize("name", QUICK)
