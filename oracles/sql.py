@@ -603,6 +603,16 @@ add("unit_split", "project_meta", f"SELECT project_id, part, ratio, {rnd('total_
 add("item_amounts", "project_meta", f"""
 SELECT project_id, item, unit, per_m2, unit_price, {rnd('per_m2 * unit_price * total_area', 2)} AS amount
 FROM (SELECT project_id, coalesce(total_area, 10000.0::DOUBLE) AS total_area FROM project_meta), {values(C.ITEM_QUANTITIES)} t(item, unit, per_m2, unit_price)""")
+add("indicator_list", "project_meta", f"""
+SELECT project_id, indicator, value, unit, {rnd('value * coalesce(total_area, 10000.0::DOUBLE)', 2)} AS amount FROM project_meta,
+  (VALUES ('单方造价', 3500.0::DOUBLE, '元/m²'), ('钢材单方耗量', 55.0::DOUBLE, 'kg/m²'), ('混凝土单方耗量', 0.45::DOUBLE, 'm³/m²'), ('水泥单方耗量', 220.0::DOUBLE, 'kg/m²'),
+   ('门窗单方含量', 0.25::DOUBLE, 'm²/m²'), ('模板单方耗量', 2.8::DOUBLE, 'm²/m²')) t(indicator, value, unit)""")
+add("price_index_years", "project_meta", f"""
+SELECT year, adjustment_factor, (SELECT count(*) FROM project_meta WHERE build_year = year) AS projects FROM {values(C.SEEDED_PRICE_INDEX)} t(year, labor, material, adjustment_factor)""")
+add("first_sheets", "sheet_rows", f"""
+SELECT project_id, sheet_name, sheet_kind, CAST(place AS INTEGER) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id, sheet_kind ORDER BY sheet_order, sheet_name) AS place FROM (
+    SELECT DISTINCT project_id, sheet_name, sheet_order, {first('sheet_name', C.SHEET_HISTOGRAM_KINDS, "NULL")} AS sheet_kind FROM sheet_rows) WHERE sheet_kind IS NOT NULL) WHERE place <= 2""")
 _levels = [(1, "项目总造价", "", 1.0), (2, "单项工程", "", 1.0), *[(3, "单位工程", p, r) for p, r in C.UNIT_PROJECT_SPLIT], *[(4, "分部工程", p, r) for p, r in C.FEE_COMPOSITION],
            (5, "分项工程", "", None), (6, "明细级别", "", None)]
 add("six_level_breakdown", "project_meta", f"SELECT project_id, level, label, part, ratio, {rnd('total_cost * ratio', 2)} AS amount FROM project_meta, {values(_levels)} t(level, label, part, ratio)")

@@ -116,6 +116,13 @@ def item_amounts(df: DataFrame, keys: list[str], area: Column) -> DataFrame:
                       round_half(F.col("i.q") * F.col("i.p") * F.col("_area"), 2).alias("amount"))
 
 
+def indicator_rows(df: DataFrame, keys: list[str], area: Column) -> DataFrame:
+    """The usual economic and technical indicators of a project, with their amount for its area."""
+    parts = F.array(*[F.struct(F.lit(n).alias("indicator"), F.lit(v).alias("value"), F.lit(u).alias("unit")) for n, v, u in C.INDICATOR_LIST])
+    out = df.select(*keys, area.alias("_area"), F.explode(parts).alias("i"))
+    return out.select(*keys, "i.indicator", "i.value", "i.unit", round_half(F.col("i.value") * F.col("_area"), 2).alias("amount"))
+
+
 def concrete_per_m2(floors: Column, structure: Column) -> Column:
     step = F.when(floors > 0, F.least(floors, F.lit(5))).otherwise(1)
     return rules.lookup(step, C.CONCRETE_BY_FLOOR, 0.45) * rules.lookup(structure, C.STRUCTURE_FACTOR, 1.0)

@@ -17,15 +17,21 @@ def seeded_price_index(spark: SparkSession) -> DataFrame:
         C.SEEDED_PRICE_INDEX, "year int, labor_index double, material_index double, adjustment_factor double")
 
 
+def index_report(index: DataFrame, projects: DataFrame) -> DataFrame:
+    """The price index in year order, with the number of projects of each year."""
+    built = projects.groupBy(F.col("build_year").alias("year")).agg(F.count(F.lit(1)).alias("projects"))
+    return index.join(built, "year", "left").withColumn("projects", F.coalesce("projects", F.lit(0).cast("bigint"))).orderBy("year")
+
+
 def project_factors(projects: DataFrame, index: DataFrame, base_year: int = C.PRICE_BASE_YEAR) -> DataFrame:
     """Deflation factor of every project, 1 for an unknown year.
 
-    The index has one row a calendar year, so broadcasting it is safe at any data size.
+    The index has one row a calendar year; Spark broadcasts it by its size.
     """
     base = index.filter(F.col("year") == base_year).select("adjustment_factor").scalar()
     factors = index.select(
         F.col("year").alias("build_year"), round_half(base / F.col("adjustment_factor"), 6).alias("_factor"))
-    return projects.select("project_id", "build_year").join(F.broadcast(factors), "build_year", "left").select(
+    return projects.select("project_id", "build_year").join(factors, "build_year", "left").select(
         "project_id", "build_year", F.coalesce("_factor", F.lit(1.0)).alias("factor"),
         F.col("_factor").isNotNull().alias("year_known"))
 

@@ -8,7 +8,7 @@ running section of a bill sheet needs row order.
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeoff import constants as C
@@ -268,6 +268,14 @@ def sheet_histogram(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n")).orderBy("sheet_kind")
 
 
+def first_sheets(rows: DataFrame, n: int = 1) -> DataFrame:
+    """The first n sheets of each kind in a workbook, in sheet order; sheets of no kind are left out."""
+    kind = rules.first_contained(F.col("sheet_name"), C.SHEET_HISTOGRAM_KINDS)
+    known = rows.select(*SHEET, kind.alias("sheet_kind")).filter(F.col("sheet_kind").isNotNull()).distinct()
+    place = Window.partitionBy("project_id", "source_file", "sheet_kind").orderBy("sheet_order", "sheet_name")
+    return known.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= n)
+
+
 def sheet_text(rows: DataFrame, segment: int = 10000) -> DataFrame:
     """Non-blank rows as text, cells tab-joined and rows newline-joined, in segments of row numbers."""
     lines = rows.filter(F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != "")).select(

@@ -809,6 +809,21 @@ def item_amounts(spark, sf):
     return estimate.item_amounts(S.project_meta(spark, sf, place=False), ["project_id"], F.coalesce("total_area", F.lit(C.DEFAULT_AREA)))
 
 
+@query
+def indicator_list(spark, sf):
+    return estimate.indicator_rows(S.project_meta(spark, sf, place=False), ["project_id"], F.coalesce("total_area", F.lit(C.DEFAULT_AREA)))
+
+
+@query
+def price_index_years(spark, sf):
+    return prices.index_report(prices.seeded_price_index(spark), S.project_meta(spark, sf, False, False)).select("year", "adjustment_factor", "projects")
+
+
+@query
+def first_sheets(spark, sf):
+    return sheets.first_sheets(S.sheet_rows(spark, sf), 2).select("project_id", "sheet_name", "sheet_kind", "place")
+
+
 @query
 def six_level_breakdown(spark, sf):
     return estimate.cost_levels(S.project_meta(spark, sf, False, False), ["project_id"], F.col("total_cost"))
