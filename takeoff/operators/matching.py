@@ -84,14 +84,14 @@ def match_files(projects: DataFrame, files: DataFrame) -> DataFrame:
 # by less than 30 / 50 / 100 percent.  The k best of a type, ties by sequence,
 # are always among the k lowest sequence numbers of one of these sets: area
 # on one ring of differences (or any area), of the same structure (or any
-# structure).  Areas are kept in an 8-ary tree of whole hundredths: every node
+# structure).  Areas are kept in a tree of whole hundredths: every node
 # keeps its k lowest sequence numbers, and a ring is covered by a few nodes.  So a
 # request reads some dozens of small nodes instead of all projects of its type.
-# The tree holds every 64-bit number; one more node above it holds any area at all.
+# The tree holds every 64-bit number: below 2^40 hundredths, where areas lie, a node has 4
+# children, above it 256.  One more node on top holds any area at all.
 
-LEVELS = 20
-BASE_BITS = 3
-ALL_LEVEL = LEVELS + 1
+SHIFTS = [*range(0, 41, 2), 48, 56]  # bits that a node of each level leaves out
+ALL_LEVEL = len(SHIFTS)
 #: Areas beyond this, either way, count as this: their hundredths still fit into 64 bits when they are doubled.
 MAX_AREA = 4e16
 BANDS = [(3, 10, 3), (5, 10, 2), (10, 10, 1)]  # numerator, denominator, score
@@ -103,29 +103,35 @@ def cents(area: Column) -> Column:
     return F.coalesce(F.round(within.cast("decimal(24,4)") * 100, 0).cast("bigint"), F.lit(0))
 
 
+def _reach(span: Column, num: int, den: int) -> Column:
+    """Largest whole number below span * num / den, without leaving 64 bits (num <= den)."""
+    quotient, rest = F.call_function("div", span, F.lit(den)), span % den
+    return quotient * num + F.call_function("div", rest * num + (den - 1), F.lit(den)) - 1
+
+
 def _area_nodes(hundredths: Column) -> Column:
     """The node of the area on every level, leaf first, and the node of all areas."""
-    inside = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda lv: F.struct(
-        lv.alias("level"), F.call_function("shiftright", hundredths, lv * BASE_BITS).alias("node")))
-    return F.concat(inside, F.array(F.struct(F.lit(ALL_LEVEL).alias("level"), F.lit(0).cast("bigint").alias("node"))))
+    return F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright(hundredths, bits).alias("node")) for level, bits in enumerate(SHIFTS)],
+                   F.struct(F.lit(ALL_LEVEL).alias("level"), F.lit(0).cast("bigint").alias("node")))
 
 
 def _cover(ranges: DataFrame) -> DataFrame:
     """Nodes that together cover the whole numbers low..high of each row (columns level, node).
 
     On each level the nodes that are inside the range, but whose parent is not,
-    are taken: at most 7 at either end.
+    are taken: at most 3 at either end, 255 of the few large ones.
     """
-    fan = 1 << BASE_BITS
     down = lambda c, bits: F.call_function("shiftright", c, bits)  # noqa: E731  floor of the division by a power of two
-    bits = F.col("level") * BASE_BITS
-    one = ranges.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumns({
-        "first": -down(-F.col("low"), bits), "last": down(F.col("high") + 1, bits) - 1,
+    up = lambda c, bits: F.call_function("shiftleft", c, bits)
+    levels = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(bits).alias("bits"), F.lit(above - bits).alias("more"))
+                       for level, (bits, above) in enumerate(zip(SHIFTS, [*SHIFTS[1:], SHIFTS[-1]]))])
+    one = ranges.select("*", F.inline(levels)).withColumns({
+        "first": -down(-F.col("low"), F.col("bits")), "last": down(F.col("high") + 1, F.col("bits")) - 1,
     }).filter("first <= last")
+    more = F.col("more")
     parents = one.withColumns({
-        "p_first": -down(-F.col("first"), F.lit(BASE_BITS)) * fan,
-        "p_last": down(F.col("last") + 1, F.lit(BASE_BITS)) * fan - 1})
-    inner = (F.col("p_first") <= F.col("p_last")) & (F.col("level") < LEVELS)
+        "p_first": up(-down(-F.col("first"), more), more), "p_last": up(down(F.col("last") + 1, more), more) - 1})
+    inner = (F.col("p_first") <= F.col("p_last")) & (more > 0)
     none = F.array().cast("array<bigint>")
 
     def run(start: Column, end: Column) -> Column:
@@ -133,7 +139,7 @@ def _cover(ranges: DataFrame) -> DataFrame:
 
     nodes = F.concat(run(F.col("first"), F.when(inner, F.col("p_first") - 1).otherwise(F.col("last"))),
                      F.when(inner, run(F.col("p_last") + 1, F.col("last"))).otherwise(none))
-    return parents.withColumn("node", F.explode(nodes)).drop("low", "high", "first", "last", "p_first", "p_last")
+    return parents.withColumn("node", F.explode(nodes)).drop("low", "high", "bits", "more", "first", "last", "p_first", "p_last")
 
 
 def _keep_lowest(df: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -191,7 +197,7 @@ def similar_projects(requests: DataFrame, projects: DataFrame, k: int = 5) -> Da
     shapes = asked.select("t", "s_req", "req100").distinct()
     span = F.greatest(F.col("req100"), F.lit(100))
     # |x - a| * den < span * num, in whole hundredths
-    reaches = [-F.floor(-(span.cast("decimal(20,0)") * num) / den).cast("bigint") - 1 for num, den, _ in BANDS]
+    reaches = [_reach(span, num, den) for num, den, _ in BANDS]
     asked100 = F.col("req100")
     edges = [(asked100 - reaches[0], asked100 + reaches[0])]
     for inner, outer in zip(reaches, reaches[1:]):
@@ -208,8 +214,8 @@ def similar_projects(requests: DataFrame, projects: DataFrame, k: int = 5) -> Da
     # both sides grow by fan-out, which size estimates before the fan-out do not see: never broadcast them
     hits = probes.join(index.hint("merge"), ["t", "s_key", "level", "node"]).select(
         "t", "s_req", "req100", "project_id", "seq", "s", "area100").distinct()
-    gap, whole = F.abs(F.col("area100") - F.col("req100")).cast("decimal(20,0)"), span.cast("decimal(20,0)")
-    ring = rules.chain([(gap * den < whole * num, F.lit(score)) for num, den, score in BANDS], 0)
+    gap = F.abs(F.col("area100") - F.col("req100"))
+    ring = rules.chain([(gap <= reach, F.lit(score)) for reach, (_, _, score) in zip(reaches, BANDS)], 0)
     area_score = F.when((F.col("area100") > 0) & (F.col("req100") > 0), ring).otherwise(0)
     same = F.when(F.col("s") == F.col("s_req"), F.when(F.col("t") == ANY, 1).otherwise(2)).otherwise(0)
     scored = hits.withColumn("score", area_score + same).filter((F.col("t") != ANY) | (F.col("score") > 0))
