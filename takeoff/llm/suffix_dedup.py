@@ -174,11 +174,13 @@ def repeated_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(*keep, text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("tk"))
     found = anchor_rows(keyed)
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # a table of its own, not an aggregate below the join: so Spark can split a hot key's anchors in the join
+    often = staged(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
     found = staged(found.join(often, "key"), "anchors")
     classes = staged(found.groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "start", "starts", "rel")).alias("one")), "classes")
-    hot = classes.groupBy("key").agg((F.count(F.lit(1)) > HOT_CLASSES).alias("hot"))
-    members = classes.join(hot, "key").select("one.tk", F.struct("key", "h1", "h2", "n", "one.start", "one.starts", "one.rel", "hot").alias("m"))
+    hot = classes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_CLASSES).select("key", F.lit(True).alias("hot"))
+    split = F.coalesce("hot", F.lit(False)).alias("hot")
+    members = classes.join(hot, "key", "left").select("one.tk", F.struct("key", "h1", "h2", "n", "one.start", "one.starts", "one.rel", split).alias("m"))
     lists = members.groupBy("tk").agg(F.collect_list("m").alias("members"))
     ranges = decided(surroundings(lists.join(keyed, "tk").select("tk", "text", "members").dropDuplicates(["tk"]).select("text", "members")))
     starts = found.join(ranges, ["key", "h1", "h2"]).select("tk", F.explode("ranges").alias("d"), (F.col("start") + F.col("rel")).alias("a")).select(
