@@ -423,3 +423,19 @@ def test_pipeline(spark, docs, texts):
     pieces = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(safe)
     assert pieces.where(F.col("offset") + F.col("length") > 2048).count() == 0
+
+
+def test_few_of_each_group(spark, monkeypatch):
+    df = spark.createDataFrame([("a", i) for i in range(3000)] + [("b", i) for i in range(3)] + [(None, 1)], "g string, v long").repartition(5)
+    want = sorted(map(tuple, common.few_of_each(df, "g", ["v"], 10).collect()))
+    assert Counter(g for g, _ in want) == {"a": 10, "b": 3}
+    monkeypatch.setattr(common, "BROADCAST_GROUPS", 0)
+    assert sorted(map(tuple, common.few_of_each(df.repartition(2), "g", ["v"], 10).collect())) == want
+
+
+def test_windows_of_a_long_item_stay_linear(spark):
+    benchmark = spark.createDataFrame([(0, " ".join(f"w{i % 997}" for i in range(20_000)))], "item_id long, text string")
+    items = decontamination.items_of(benchmark)
+    frequency = spark.createDataFrame([(f"w{i}", i) for i in range(997)], "term string, n long")
+    rows = decontamination.windows_of(items, frequency).collect()
+    assert len(rows) == 20_000 - 9 and all(r["start"] <= r["first"] < r["start"] + 10 and r["first"] != r["second"] for r in rows)
