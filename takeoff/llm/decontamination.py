@@ -59,10 +59,11 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 def windows_of(items: DataFrame, frequency: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item, start, length, first, second, first_term, second_term): the offsets of each window's two rarest terms within its item."""
-    length = F.least(F.size("words"), F.lit(window))
-    offsets = items.select("item", F.posexplode("words").alias("offset", "term")).join(frequency, "term", "left")
-    spans = items.select("item", length.alias("length"), F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("start"))
-    inside = spans.join(offsets, "item").where((F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("start") + F.col("length")))
+    size = F.size("words")
+    offsets = items.select("item", size.alias("size"), F.least(size, F.lit(window)).alias("length"), F.posexplode("words").alias("offset", "term"))
+    first, last = F.greatest(F.col("offset") - F.col("length") + 1, F.lit(0)), F.least(F.col("offset"), F.col("size") - F.col("length"))
+    # each word with the windows that hold it, ten at most
+    inside = offsets.join(frequency, "term", "left").select("*", F.explode(F.sequence(first, last)).alias("start"))
     rarest = W.partitionBy("item", "start").orderBy(F.coalesce("n", F.lit(0)), "offset")
     ranked = inside.withColumn("rank", F.row_number().over(rarest)).where("rank <= 2")
     at = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(c)))
@@ -94,9 +95,8 @@ class Search:
 
     def exact(self, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """A row per document: the kept columns, its `words`, and `hits`: item_id, start and end of every exact window."""
-        # a table of its own: a small one is broadcast then, else a hot key's documents can be split for the join
-        found = staged(self.candidates().join(self.items, "item").groupBy("key").agg(
-            F.collect_list(F.struct("item_id", "shift", "starts", F.col("words").alias("item_words"))).alias("found")), "found")
+        found = self.candidates().join(self.items, "item").groupBy("key").agg(
+            F.collect_list(F.struct("item_id", "shift", "starts", F.col("words").alias("item_words"))).alias("found"))
         keyed = self.docs.select(*dict.fromkeys([*keep, self.text.partition(".")[0]]), text_key(F.col(self.text)).alias("key"))
         rows = keyed.join(found, "key", "left").select(*keep, words(F.col(self.text)).alias("words"), "found")
 
