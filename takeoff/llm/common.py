@@ -9,12 +9,15 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Sizes of so many groups are broadcast.
+BROADCAST_GROUPS = 10_000
 #: Python works on so many bytes of text at a time, whatever the size of Spark's Arrow batches.
 BATCH_BYTES = 4 << 20
 
@@ -85,21 +88,27 @@ def text_batches(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def per_text(df: DataFrame, measure: Callable[[list[bytes]], list], columns: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns and those that `measure` gives for a list of texts: one list or array for each of `columns`, a DDL string."""
+    """The kept columns and those that `measure` gives for a list of texts: one list or array for each of `columns`, a DDL string.
+
+    The text is a column, or a field `kept.field` of a kept one, which then is sent to Python once only.
+    """
     shipped(df.sparkSession)
     added = T.StructType.fromDDL(columns)
     schema = T.StructType([df.schema[k] for k in keep] + added.fields)
     n = len(keep)
+    inside = text.split(".") if text.partition(".")[0] in keep and "." in text else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(added)
         for batch in batches:
-            for start, texts in text_batches(batch.column(n)):
+            column = pc.struct_field(batch.column(keep.index(inside[0])), inside[1]) if inside else batch.column(n)
+            for start, texts in text_batches(column):
                 kept = batch.slice(start, len(texts))
                 got = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(measure(texts), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*kept.columns[:n], *got], names=[*kept.schema.names[:n], *arrow.names])
 
-    return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    sent = df.select(*keep) if inside else df.select(*keep, F.col(text).cast("string").alias("_text"))
+    return sent.mapInArrow(run, schema)
 
 
 def bounded(df: DataFrame, key: str, limit: int) -> DataFrame:
@@ -113,6 +122,8 @@ def few_of_each(df: DataFrame, group: str, by: list[str], limit: int) -> DataFra
     Groups are counted first, and only about four times `limit` rows of a large one (all of a small one) are ever gathered.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        sizes = F.broadcast(sizes)  # else the join would deal all rows out by group first
     mark = F.pmod(F.xxhash64(*by), F.lit(1 << 30))
     some = df.join(sizes, group).where(mark * F.col("_n") < (1 << 30) * 4 * limit)
     ranked = some.withColumn("_k", F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(*by), *by)))

@@ -12,11 +12,12 @@ empty host. Null page_ids and repeated rows stay. An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -28,6 +29,8 @@ from takeoff.llm.common import documents, few_of_each, per_text, shipped
 #: Pages of a host that its wrapper is inferred from, at most, and hosts up to whose number wrappers are broadcast.
 PAGES_A_HOST, BROADCAST_HOSTS = 8, 2_000
 LONGEST_GROUP = 6
+#: Parts of a path at either end that count, and cells of an alignment's table; longer streams are aligned part by part, greedily.
+DEEP, MOST_CELLS = 32, 4_000_000
 
 # HTML elements whose content isn't text, that begin a new block, that have no end, and that aren't main text.
 RAW = "script|style|noscript|template|textarea|select|svg|iframe|object|title|head|math|audio|video|canvas|button"
@@ -54,10 +57,20 @@ def element(tag: str, name: str) -> str:
     return f"{name}*" if attributes.get("role", "").lower() in ("main", "article") else name
 
 
+def label(path: list[str], marks: list[tuple[int, int]]) -> tuple[str, ...]:
+    """The path; of a very deep one both ends, with what its middle says about main text."""
+    if len(path) <= 2 * DEEP:
+        return tuple(path)
+    (a, b), (c, d) = marks[DEEP], marks[len(path) - DEEP]
+    return (*path[:DEEP], *["div!"] * (c > a), *["main"] * (d > b), *path[-DEEP:])
+
+
 def slots(page: str) -> list[tuple[tuple[str, ...], str]]:
     """(path, text) of each block with text, in page order; white space is one space, character references are decoded."""
     out: list[tuple[tuple[str, ...], str]] = []
     path: list[str] = []
+    marks = [(0, 0)]  # up to each part of the path: those that aren't main text, and main ones
+    opened: Counter[str] = Counter()
     held: list[str] = []
 
     def flush() -> None:
@@ -65,7 +78,18 @@ def slots(page: str) -> list[tuple[tuple[str, ...], str]]:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((tuple(path), text))
+                out.append((label(path, marks), text))
+
+    def push(part: str) -> None:
+        name = part.rstrip("!*")
+        path.append(part)
+        opened[name] += 1
+        marks.append((marks[-1][0] + (part[-1] == "!" or name in APART), marks[-1][1] + (name in MAIN or part[-1] == "*")))
+
+    def pop(depth: int) -> None:
+        for part in path[depth:]:
+            opened[part.rstrip("!*")] -= 1
+        del path[depth:], marks[depth + 1 :]
 
     for m in TOKEN.finditer(page):
         t = m.group()
@@ -84,14 +108,13 @@ def slots(page: str) -> list[tuple[tuple[str, ...], str]]:
             continue
         flush()
         if t[1] == "/":
-            depth = next((k for k in range(len(path) - 1, -1, -1) if path[k].rstrip("!*") == tag), None)
-            if depth is not None:
-                del path[depth:]
+            if opened[tag]:
+                pop(next(k for k in range(len(path) - 1, -1, -1) if path[k].rstrip("!*") == tag))
         else:
             if path and path[-1].rstrip("!*") == "p" or path and tag == path[-1].rstrip("!*") and tag in ("li", "td", "th", "tr", "dd", "dt"):
-                path.pop()  # a new block ends a paragraph, and an item the one before it
+                pop(len(path) - 1)  # a new block ends a paragraph, and an item the one before it
             if tag != "hr" and not t.endswith("/>"):
-                path.append(element(t, tag))
+                push(element(t, tag))
     flush()
     return out
 
@@ -133,6 +156,8 @@ def stream(page: list[tuple[tuple[str, ...], str]]) -> list[Part]:
 
 def aligned(a: list[Part], b: list[Part]) -> list[tuple[int | None, int | None]]:
     """Pairs of places in order, by a longest common subsequence of the parts' cores."""
+    if len(a) * len(b) > MOST_CELLS:
+        return greedily(a, b)
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -151,6 +176,23 @@ def aligned(a: list[Part], b: list[Part]) -> list[tuple[int | None, int | None]]
     return out
 
 
+def greedily(a: list[Part], b: list[Part]) -> list[tuple[int | None, int | None]]:
+    """Each part of b with the next part of a of its core, where there is one: a common subsequence in linear time."""
+    places: dict[tuple, list[int]] = {}
+    for i, p in enumerate(a):
+        places.setdefault(p.core, []).append(i)
+    out, at = [], 0
+    for j, p in enumerate(b):
+        own = places.get(p.core, [])
+        k = bisect.bisect_left(own, at)
+        if k < len(own):
+            out += [(i, None) for i in range(at, own[k])] + [(own[k], j)]
+            at = own[k] + 1
+        else:
+            out.append((None, j))
+    return out + [(i, None) for i in range(at, len(a))]
+
+
 def inferred(pages: list[str]) -> list[Part]:
     """The wrapper of some pages of a host."""
     wrapper: list[Part] | None = None
@@ -220,24 +262,27 @@ def main_text(page: str, wrapper: list[Part]) -> str:
     return "\n".join(found[m][1] for m in sorted(keep))
 
 
-def wrappers_of(pages: DataFrame, pages_a_host: int = PAGES_A_HOST) -> DataFrame:
-    """(host, wrapper): from at most so many pages of each host, chosen by a hash of their html."""
-    chosen = few_of_each(pages.select("host", "html"), "host", ["html"], pages_a_host)
+def wrappers_of(pages: DataFrame, pages_a_host: int = PAGES_A_HOST, few: bool = False) -> DataFrame:
+    """(host, wrapper): from at most so many different pages of each host, chosen by a hash of their html; few: of a bounded number of hosts."""
+    marked = pages.select("host", "html", F.xxhash64("html").alias("mark"))
+    marks = few_of_each(marked.select("host", "mark").distinct(), "host", ["mark"], pages_a_host)
+    # only hashes have been shuffled so far, and only the chosen pages are now
+    chosen = marked.join(F.broadcast(marks) if few else marks, ["host", "mark"]).groupBy("host", "mark").agg(F.min("html").alias("html"))
 
     def infer(group: pa.Table) -> pa.Table:
         texts = sorted(group.column("html").to_pylist())
-        return pa.table({"host": group.column("host")[:1], "wrapper": [dumped(inferred(texts), len(set(texts)))]})
+        return pa.table({"host": group.column("host")[:1], "wrapper": [dumped(inferred(texts), len(texts))]})
 
     shipped(pages.sparkSession)
-    return chosen.groupBy("host").applyInArrow(infer, "host string, wrapper string")
+    return chosen.select("host", "html").groupBy("host").applyInArrow(infer, "host string, wrapper string")
 
 
 def extracted(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), pages_a_host: int = PAGES_A_HOST) -> DataFrame:
     """The kept columns and the main `text` of every page."""
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z]+://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(*[F.col(k).alias(f"_{k}") for k in keep], F.coalesce(F.col("html"), F.lit("")).alias("html"), host.alias("host"))
-    wrappers = wrappers_of(rows.select("host", "html"), pages_a_host)
     few = rows.select("host").distinct().limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    wrappers = wrappers_of(rows.select("host", "html"), pages_a_host, few)
     both = rows.join(F.broadcast(wrappers) if few else wrappers, "host", "left")
     joined = both.withColumn("text", F.concat(F.coalesce("wrapper", F.lit("[]")), F.lit("\0"), "html"))
 
