@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -31,13 +32,19 @@ ENCODE_CHARS = 1 << 16
 
 @functools.lru_cache(2)
 def encoder(path: str):
-    """The byte-level BPE of a rank file; the same vocabulary, pattern and ids as its tokenizers file, at four times the speed."""
+    """The byte-level BPE of a rank file; the same vocabulary, pattern, added tokens and ids as its tokenizers file, at four times the speed."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the tokenizers file beside a rank file."""
+    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
 def rank_file() -> str:
@@ -48,10 +55,10 @@ def rank_file() -> str:
 
 def token_ids(text: str, path: str) -> np.ndarray:
     """Token ids and the end id 0, as unsigned 32-bit numbers."""
-    encode = encoder(path).encode_ordinary
+    encode = functools.partial(encoder(path).encode, allowed_special="all")
     parts, start = [], 0
     while len(text) - start > ENCODE_CHARS:
-        # a single space between two letters: the pattern starts a token there whatever stands around it
+        # a single space between two letters: the pattern starts a token there whatever stands around it, and no added token has one inside
         cut = start + ENCODE_CHARS
         while cut < len(text) - 1 and not (text[cut] == " " and text[cut - 1].isalpha() and text[cut + 1].isalpha()):
             cut += 1
