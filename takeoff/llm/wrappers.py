@@ -21,6 +21,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,6 +129,8 @@ class Part:
     optional: bool = False
     repeated: bool = False
     members: list[int] = field(default_factory=list)  # of a page: its slots
+    page: str = ""  # a page that has the text
+    shared: bool = False  # whether a different page has it, too
 
 
 def folded(parts: list[Part]) -> list[Part]:
@@ -193,35 +196,39 @@ def greedily(a: list[Part], b: list[Part]) -> list[tuple[int | None, int | None]
     return out + [(i, None) for i in range(at, len(a))]
 
 
+def of_page(page: str) -> list[Part]:
+    """The wrapper of a single page."""
+    name = xxhash.xxh64_hexdigest(page.encode("utf-8", "replace"))
+    return [Part(p.core, p.text, False, p.repeated, page=name) for p in stream(slots(page))]
+
+
+def merged(a: list[Part], b: list[Part]) -> list[Part]:
+    """The wrapper of the pages of two wrappers."""
+    out = []
+    for i, j in aligned(a, b):
+        if i is not None and j is not None:
+            x, y = a[i], b[j]
+            same = x.text if x.text == y.text else None
+            out.append(Part(x.core, same, x.optional or y.optional, x.repeated or y.repeated, page=x.page, shared=x.shared or y.shared or x.page != y.page))
+        else:
+            one = a[i] if i is not None else b[j]
+            out.append(Part(one.core, one.text, True, one.repeated, page=one.page, shared=one.shared))
+    return out
+
+
 def inferred(pages: list[str]) -> list[Part]:
-    """The wrapper of some pages of a host."""
-    wrapper: list[Part] | None = None
-    for page in pages:
-        new = stream(slots(page))
-        if wrapper is None:
-            wrapper = [Part(p.core, p.text, False, p.repeated) for p in new]
-            continue
-        out = []
-        for i, j in aligned(wrapper, new):
-            if i is not None and j is not None:
-                same = wrapper[i].text if wrapper[i].text == new[j].text else None
-                out.append(Part(wrapper[i].core, same, wrapper[i].optional, wrapper[i].repeated or new[j].repeated))
-            else:
-                one = wrapper[i] if i is not None else new[j]
-                out.append(Part(one.core, one.text, True, one.repeated))
-        wrapper = out
-    return wrapper or []
+    """The wrapper of pages of a host."""
+    return functools.reduce(merged, map(of_page, pages)) if pages else []
 
 
-def dumped(wrapper: list[Part], pages: int) -> str:
-    """A wrapper as JSON; a text counts as fixed only if two pages or more have it."""
-    return json.dumps([[p.core, p.text if pages > 1 else None, p.optional, p.repeated] for p in wrapper])
+def dumped(wrapper: list[Part]) -> str:
+    return json.dumps([[p.core, p.text, p.optional, p.repeated, p.page, p.shared] for p in wrapper])
 
 
 @functools.lru_cache(4096)
 def loaded(text: str) -> list[Part]:
     frozen = lambda x: tuple(map(frozen, x)) if isinstance(x, list) else x
-    return [Part(frozen(core), fixed, optional, repeated) for core, fixed, optional, repeated in json.loads(text)]
+    return [Part(frozen(core), fixed, optional, repeated, page=page, shared=shared) for core, fixed, optional, repeated, page, shared in json.loads(text)]
 
 
 def apart(path: tuple[str, ...]) -> bool:
@@ -254,7 +261,8 @@ def main_text(page: str, wrapper: list[Part]) -> str:
     for i, j in aligned(wrapper, own):
         if j is None:
             continue
-        fixed = wrapper[i].text is not None and wrapper[i].text == own[j].text if i is not None else False
+        # fixed only if two different pages have the text: one alone may be this very page
+        fixed = i is not None and wrapper[i].shared and wrapper[i].text is not None and wrapper[i].text == own[j].text
         for m in own[j].members:
             path = found[m][0]
             if not apart(path) and (in_main(path) if articles else not fixed):
@@ -271,7 +279,7 @@ def wrappers_of(pages: DataFrame, pages_a_host: int = PAGES_A_HOST, few: bool =
 
     def infer(group: pa.Table) -> pa.Table:
         texts = sorted(group.column("html").to_pylist())
-        return pa.table({"host": group.column("host")[:1], "wrapper": [dumped(inferred(texts), len(texts))]})
+        return pa.table({"host": group.column("host")[:1], "wrapper": [dumped(inferred(texts))]})
 
     shipped(pages.sparkSession)
     return chosen.select("host", "html").groupBy("host").applyInArrow(infer, "host string, wrapper string")
