@@ -1,10 +1,10 @@
 """Main text of web pages by wrappers of their hosts.
 
-A page is a stream of text slots, each with the path of its block tags. Streams of some pages of a host are aligned one after
-the other into a union-free regular expression: what repeats becomes a repeated group, what only some pages have an optional
+A page is a stream of text slots, each with the path of its block tags. Streams of all pages of a host are aligned one after
+the other, by task and then across tasks, into a union-free regular expression: what repeats becomes a repeated group, what only some pages have an optional
 one, and texts that differ a slot; texts that never differ are part of the wrapper. A page is then read by aligning its own
 stream with its host's wrapper. Slots within an article are its text, but for those whose path names other parts of a page; a
-host without articles gives the slots whose text varies.
+page without an article gives the slots whose text varies.
 
 Null html: empty, no text. A page that its host's wrapper doesn't cover is judged by its own paths, slot by slot. Null url: the
 empty host. Null page_ids and repeated rows stay. An empty table gives no rows.
@@ -18,19 +18,21 @@ import html as entities
 import json
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takeoff.llm.common import documents, few_of_each, per_text, shipped
+from takeoff.llm.common import documents, per_text, shipped, staged
 
-#: Pages of a host that its wrapper is inferred from, at most, and hosts up to whose number wrappers are broadcast.
-PAGES_A_HOST, BROADCAST_HOSTS = 8, 2_000
+#: Hosts up to whose number wrappers are broadcast, that a task holds wrappers of at a time, and groups that a host's wrappers are merged in first.
+BROADCAST_HOSTS, HELD_HOSTS, SALTS = 2_000, 500, 64
 LONGEST_GROUP = 6
-#: Parts of a path at either end that count, and cells of an alignment's table; longer streams are aligned part by part, greedily.
+#: Parts of a path at either end that count, and cells of an alignment's table; longer streams are halved first.
 DEEP, MOST_CELLS = 32, 4_000_000
 
 # HTML elements whose content isn't text, that begin a new block, that have no end, and that aren't main text.
@@ -157,25 +159,50 @@ def stream(page: list[tuple[tuple[str, ...], str]]) -> list[Part]:
     return folded([Part((path,), text, members=[i]) for i, (path, text) in enumerate(page)])
 
 
+def numbered(a: list[Part], b: list[Part]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each part: equal cores have equal ones."""
+    known: dict[tuple, int] = {}
+    x, y = ([known.setdefault(p.core, len(known)) for p in parts] for parts in (a, b))
+    return np.array(x, np.int64), np.array(y, np.int64)
+
+
+def table_rows(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+    """Lengths of the longest common subsequences of each prefix of x, from the empty one, with all prefixes of y."""
+    row = np.zeros(len(y) + 1, np.int32)
+    yield row
+    for v in x:
+        new = np.zeros_like(row)
+        new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == v)))
+        row = new
+        yield row
+
+
 def aligned(a: list[Part], b: list[Part]) -> list[tuple[int | None, int | None]]:
     """Pairs of places in order, by a longest common subsequence of the parts' cores."""
-    if len(a) * len(b) > MOST_CELLS:
-        return greedily(a, b)
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].core == b[j].core else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i].core == b[j].core:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append((i, None))
-            i += 1
-        else:
-            out.append((None, j))
-            j += 1
+    x, y = numbered(a, b)
+    out: list[tuple[int | None, int | None]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        i, k, j, m = todo.pop()
+        if (k - i) * (m - j) > MOST_CELLS and k - i > 1:
+            half = (i + k) // 2  # where the best way crosses the middle: linear space
+            *_, up = table_rows(x[i:half], y[j:m])
+            *_, down = table_rows(x[half:k][::-1], y[j:m][::-1])
+            cross = j + int((up + down[::-1]).argmax())
+            todo += [(half, k, cross, m), (i, half, j, cross)]
+            continue
+        best = [row[::-1].tolist() for row in table_rows(x[i:k][::-1], y[j:m][::-1])][::-1]
+        at, to = i, j
+        while at < k or to < m:
+            if at < k and to < m and x[at] == y[to]:
+                out.append((at, to))
+                at, to = at + 1, to + 1
+            elif to == m or at < k and best[at + 1 - i][to - j] >= best[at - i][to + 1 - j]:
+                out.append((at, None))
+                at += 1
+            else:
+                out.append((None, to))
+                to += 1
     return out
 
 
@@ -248,15 +275,10 @@ def in_main(path: tuple[str, ...]) -> bool:
     return any(e.rstrip("!*") in MAIN or e[-1] == "*" for e in path)
 
 
-def paths_of(core: tuple) -> list[tuple[str, ...]]:
-    return [core] if all(isinstance(x, str) for x in core) else [p for x in core for p in paths_of(x)]
-
-
 def main_text(page: str, wrapper: list[Part]) -> str:
     found = slots(page)
     own = stream(found)
-    articles = any(in_main(path) for path, _ in found)  # of this page, or else of its host
-    articles = articles or any(in_main(p) for w in wrapper for p in paths_of(w.core))
+    articles = any(in_main(path) for path, _ in found)
     keep: list[int] = []
     for i, j in aligned(wrapper, own):
         if j is None:
@@ -270,27 +292,47 @@ def main_text(page: str, wrapper: list[Part]) -> str:
     return "\n".join(found[m][1] for m in sorted(keep))
 
 
-def wrappers_of(pages: DataFrame, pages_a_host: int = PAGES_A_HOST, few: bool = False) -> DataFrame:
-    """(host, wrapper): from at most so many different pages of each host, chosen by a hash of their html; few: of a bounded number of hosts."""
-    marked = pages.select("host", "html", F.xxhash64("html").alias("mark"))
-    marks = few_of_each(marked.select("host", "mark").distinct(), "host", ["mark"], pages_a_host)
-    # only hashes have been shuffled so far, and only the chosen pages are now
-    chosen = marked.join(F.broadcast(marks) if few else marks, ["host", "mark"]).groupBy("host", "mark").agg(F.min("html").alias("html"))
+def wrappers_of(pages: DataFrame) -> DataFrame:
+    """(host, wrapper) from all pages: each task merges those of its pages by host, so that only wrappers are shuffled."""
+    shipped(pages.sparkSession)
 
-    def infer(group: pa.Table) -> pa.Table:
-        texts = sorted(group.column("html").to_pylist())
-        return pa.table({"host": group.column("host")[:1], "wrapper": [dumped(inferred(texts))]})
+    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[Part]] = {}
 
-    shipped(pages.sparkSession)
-    return chosen.select("host", "html").groupBy("host").applyInArrow(infer, "host string, wrapper string")
+        def taken() -> pa.RecordBatch:
+            out = pa.record_batch({"host": pa.array(list(held), pa.string()), "wrapper": pa.array([dumped(w) for w in held.values()], pa.string())})
+            held.clear()
+            return out
+
+        for batch in batches:
+            for host, page in zip(batch.column("host"), batch.column("html")):
+                new, name = of_page(page.as_py()), host.as_py()
+                held[name] = merged(held[name], new) if name in held else new
+                if len(held) >= HELD_HOSTS:
+                    yield taken()
+        if held:
+            yield taken()
+
+    def merge(final: bool):
+        def run(group: pa.Table) -> pa.Table:
+            wrapper = functools.reduce(merged, (loaded(w) for w in sorted(group.column("wrapper").to_pylist())))
+            if final:  # what only one page has is no fixed text
+                wrapper = [Part(w.core, w.text if w.shared else None, w.optional, w.repeated, shared=w.shared) for w in wrapper]
+            return pa.table({"host": group.column("host")[:1], "wrapper": [dumped(wrapper)]})
+
+        return run
+
+    schema = "host string, wrapper string"
+    some = pages.select("host", "html").mapInArrow(infer, schema).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
+    return some.groupBy("host", "salt").applyInArrow(merge(False), schema).groupBy("host").applyInArrow(merge(True), schema)
 
 
-def extracted(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), pages_a_host: int = PAGES_A_HOST) -> DataFrame:
+def extracted(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The kept columns and the main `text` of every page."""
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z]+://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(*[F.col(k).alias(f"_{k}") for k in keep], F.coalesce(F.col("html"), F.lit("")).alias("html"), host.alias("host"))
     few = rows.select("host").distinct().limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    wrappers = wrappers_of(rows.select("host", "html"), pages_a_host, few)
+    wrappers = staged(wrappers_of(rows.select("host", "html")), "wrappers")
     both = rows.join(F.broadcast(wrappers) if few else wrappers, "host", "left")
     joined = both.withColumn("text", F.concat(F.coalesce("wrapper", F.lit("[]")), F.lit("\0"), "html"))
 

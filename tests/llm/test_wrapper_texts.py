@@ -13,3 +13,21 @@ def test_text_of_one_page_is_not_fixed(spark):
     page = "<body><div>Welcome</div><p>Text {0}</p>{1}</body>"
     got = texts(spark, [page.format(0, "<h2>Only here</h2>"), page.format(1, ""), page.format(2, "<blockquote>A quote</blockquote>"), page.format(1, "")])
     assert got == {0: "Text 0\nOnly here", 1: "Text 1", 2: "Text 2\nA quote", 3: "Text 1"}
+
+
+def test_every_page_of_a_host_counts(spark):
+    """40 pages of one template and 3 of a second one, which a sample of 8 pages would hardly hold twice; one has an article."""
+    pages = [f"<body><div>Welcome</div><p>Text {i}</p></body>" for i in range(40)]
+    pages += [f"<body><blockquote>All rights reserved</blockquote><pre>Code {i}</pre></body>" for i in range(3)] + ["<article><p>Alone</p></article>"]
+    assert texts(spark, pages) == {i: f"Text {i}" for i in range(40)} | {40 + i: f"Code {i}" for i in range(3)} | {43: "Alone"}
+
+
+def test_long_streams_align_in_full(monkeypatch):
+    parts = lambda s: [wrappers.Part(((c,),)) for c in s]
+    a, b = parts("x" + "abcde" * 300), parts("abcde" * 300 + "x")  # the greedy way takes the last x first
+    whole = wrappers.aligned(a, b)
+    monkeypatch.setattr(wrappers, "MOST_CELLS", 1000)
+    halved = wrappers.aligned(a, b)
+    for pairs in (whole, halved):
+        assert [i for i, _ in pairs if i is not None] == list(range(len(a))) and [j for _, j in pairs if j is not None] == list(range(len(b)))
+        assert sum(None not in p for p in pairs) == 1500
