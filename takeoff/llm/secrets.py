@@ -1,7 +1,8 @@
 """Secret scans: rules find candidates, a random forest removes the false positives. DataFrame and Spark ML functions only.
 
-Candidates are words that look opaque (16 or more characters of a key alphabet, with a digit), follow or hold an assignment to a
-secret's name, or begin like a known provider's key. The forest sees their length, character transitions, dictionary coverage,
+Candidates are the parts of a word that look opaque (16 or more characters of a key alphabet, with a digit), every value assigned to a
+secret's name in the word or before it (a quoted one whole, its white space as one blank each), every key of a known provider and
+every password in an address. The forest sees their length, character transitions, dictionary coverage,
 path and neighbouring words. It is trained from labelled findings; `own_labels` makes these from formats that leave no doubt.
 
 Null text: no candidate. Rows are findings: a document without a candidate has none; repeated rows of one text and id repeat
@@ -19,10 +20,18 @@ from pyspark.sql import functions as F
 from takeoff.llm.common import documents, held_out, staged
 
 NAMES = r"(?:token|secret|passw|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)"
-GLUED = rf"(?i){NAMES}[a-z0-9_-]*[\"']?(?::=|=>|=|:)[\"']?([^\"'\s,;]{{6,}})"
+SIGN = r"(?::=|=>|->|=|:)"
+NAMED = rf"(?i){NAMES}[a-z0-9_-]*[\"']?"
+# a value in double or single quotes, or up to a blank, quote, comma or semicolon: one group each
+VALUE = r"(?:\"([^\"]{6,})\"|'([^']{6,})'|[\"'`(<\[{]*([^\"'`\s,;]{6,}))"
+GLUED = NAMED + SIGN + VALUE
+LOGIN = r"://[^\s/:@]*:([^\s/@]{6,})@"
 KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|sk[-_][A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}.*)"
 OPAQUE = r"[A-Za-z0-9+/_=-]{16}"
+KEYS = KNOWN.replace("^", "(?<![A-Za-z0-9])").replace(".*)", "[A-Za-z0-9_.-]*)")
 SIGNS = ("=", ":", ":=", "=>", "->")
+#: Words after one that opens a quote in which its end is looked for.
+QUOTED_WORDS = 24
 # Words that speak of examples, and common ones that a random string seldom holds.
 PLACEHOLDERS = r"(?:example|sample|dummy|placeholder|changeme|xxxx|your[_-]|test|fake|redacted)"
 DICTIONARY = r"(?:example|password|secret|token|access|private|public|server|client|value|default|string|number|user|admin|name|data|file|test|tion|ment|ing|the|and|for|key)"
@@ -37,23 +46,42 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str |
     rows = docs.select(*keep, (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("_path"), words.alias("_words"))
     at = lambda i: F.get("_words", i)
 
+    def assigned_at(i: Column) -> Column:
+        by_sign = at(i - 1).isin(*SIGNS) & at(i - 2).rlike(f"(?i){NAMES}")
+        return F.coalesce(by_sign, F.lit(False)) | F.coalesce(at(i - 1).rlike(f"{NAMED}{SIGN}$"), F.lit(False)) | F.coalesce(
+            at(i).rlike(f"^{SIGN}.") & at(i - 1).rlike(f"{NAMED}$"), F.lit(False))
+
     def wanted(i: Column) -> Column:
         w = at(i)
         opaque = (F.length(w) >= 16) & w.rlike("[0-9]") & w.rlike(OPAQUE)
-        assigned = at(i - 1).isin(*SIGNS) & (F.length(w) >= 6) & at(i - 2).rlike(f"(?i){NAMES}")
-        return F.coalesce(opaque | assigned | ((F.length(w) >= 12) & w.rlike(GLUED)), F.lit(False))
+        return F.coalesce(opaque | assigned_at(i) & ~w.isin(*SIGNS) | w.rlike(NAMED + SIGN + ".") | w.rlike(KEYS) | w.rlike(LOGIN), F.lit(False))
 
     places = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), wanted)
+    place = F.col("place")
     found = rows.select(*keep, "_path", "_words", F.explode(places).alias("place")).select(
-        *keep, "_path", "place", at(F.col("place")).alias("_word"),
-        F.lower(F.array_join(F.array_compact(F.array(*[at(F.col("place") - k) for k in (3, 2, 1)])), " ")).alias("before"),
-        F.lower(F.array_join(F.array_compact(F.array(*[at(F.col("place") + k) for k in (1, 2)])), " ")).alias("after"))
-    bare = F.regexp_extract("_word", r"^[\"'`(<\[{*]*([^\"'`()<>\[\]{},;!#$%&*|]+)", 1)
-    glued = F.regexp_extract("_word", GLUED, 1)
-    sign = r"(?:^|\s)(?:" + "|".join(SIGNS) + r")$"
-    return found.select(*keep, "_path", "place", "before", "after", F.when(glued != "", glued).otherwise(bare).alias("value"),
-                        ((glued != "") | (F.col("before").rlike(sign) & F.col("before").rlike(NAMES))).alias("_assigned"),
-                        F.col("_word").rlike(r"^[\"'`]|[=:][\"'`]").alias("_quoted")).where(F.length("value") >= 6)
+        *keep, "_path", "place", at(place).alias("_word"), assigned_at(place).alias("_follows"), F.slice("_words", place + 2, QUOTED_WORDS).alias("_next"),
+        F.lower(F.array_join(F.array_compact(F.array(*[at(place - k) for k in (3, 2, 1)])), " ")).alias("before"),
+        F.lower(F.array_join(F.array_compact(F.array(*[at(place + k) for k in (1, 2)])), " ")).alias("after"))
+    # a quote that an assigned value opens and this word doesn't close
+    opened = F.when(F.col("_follows") | F.col("_word").rlike(GLUED.split(VALUE)[0] + "[\"']"), F.regexp_extract("_word", r"(?:^|[=:>])([\"'])[^\"']*$", 1)).otherwise("")
+    rest = F.array_join("_next", " ")
+    closed = F.when(opened == '"', F.regexp_extract(rest, r"^([^\"]*\")", 1)).when(opened == "'", F.regexp_extract(rest, r"^([^']*')", 1)).otherwise("")
+    found = found.withColumn("_word", F.when(closed != "", F.concat_ws(" ", "_word", closed)).otherwise(F.col("_word")))
+    every = lambda p, g: F.regexp_extract_all("_word", F.lit(p), F.lit(g))
+    ends = lambda v: F.regexp_replace(v, r"[)\]}>]+$", "")
+    first = F.concat(*[F.regexp_extract("_word", f"^{SIGN}?{VALUE}", g) if g < 3 else ends(F.regexp_extract("_word", f"^{SIGN}?{VALUE}", g)) for g in (1, 2, 3)])
+    follows = F.when(F.col("_follows") & ~F.col("_word").rlike(NAMED + SIGN + "."), F.array(first)).otherwise(F.array().cast("array<string>"))
+    long = lambda a: F.filter(F.array_distinct(a), lambda v: F.length(v) >= 6)
+    given = long(F.concat(every(GLUED, 1), every(GLUED, 2), F.transform(every(GLUED, 3), ends), every(LOGIN, 1), follows))
+    found = found.withColumn("_given", given)
+    found = found.withColumn("_keys", F.filter(F.array_distinct(every(KEYS, 0)), lambda k: ~F.exists("_given", lambda v: v.contains(k))))
+    runs = F.transform(every(r"[^\"'`()<>\[\]{},;|=\s]+={0,2}", 0), lambda v: F.regexp_replace(v, r"^[!#$%&*:]+|[!#$%&*:]+$", ""))
+    opaque = F.filter(F.array_distinct(runs), lambda v: (F.length(v) >= 16) & v.rlike("[0-9]") & v.rlike(OPAQUE) & ~F.exists(
+        F.concat("_given", "_keys"), lambda o: o.contains(v) | v.contains(o) & ~v.rlike(LOGIN)))
+    told = lambda a, yes: F.transform(a, lambda v: F.struct(v.alias("value"), F.lit(yes).alias("_assigned")))
+    values = F.concat(told(F.col("_given"), True), told(F.col("_keys"), False), told(opaque, False))
+    return found.select(*keep, "_path", "place", "before", "after", F.col("_word").rlike(r"^[\"'`]|[=:][\"'`]").alias("_quoted"), F.explode(values).alias("_v")).select(
+        *keep, "_path", "place", "before", "after", "_v.value", "_v._assigned", "_quoted")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -70,17 +98,18 @@ def with_features(found: DataFrame) -> DataFrame:
         "known": number(v.rlike(KNOWN)), "assigned": number(F.col("_assigned")), "named": number(F.col("before").rlike(NAMES)), "quoted": number(F.col("_quoted")),
         "placeholder": number(F.lower(v).rlike(PLACEHOLDERS)), "placeholder_near": number(around.rlike(PLACEHOLDERS)),
         "test_path": number(F.coalesce(F.lower("_path").rlike("test|example|sample|fixture|docs?/"), F.lit(False))),
-        "mail_or_url": number(v.rlike("@|://|^www\\.")),
+        "mail_or_url": number(v.rlike(r"^[\w.+-]+@[\w-]+\.[\w.-]+$|://|^www\.") & ~v.rlike(LOGIN)),
     })
 
 
 def own_labels(found: DataFrame) -> DataFrame:
     """`label` of findings that leave no doubt; null for the others.
 
-    1: a known format, or a long hex or mixed string assigned to a secret's name. 0: a number, an address, a dictionary word, a placeholder.
+    1: a known format, or a hex or mixed string of 8 or more assigned to a secret's name. 0: a number, an address without a password,
+    a dictionary word, a placeholder, an unquoted word of letters alone.
     """
-    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (F.col("length") >= 16)
-    no = (F.col("is_number") + F.col("mail_or_url") + F.col("placeholder") > 0) | (F.col("coverage") > 0.6)
+    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (F.col("length") >= 8)
+    no = (F.col("is_number") + F.col("mail_or_url") + F.col("placeholder") > 0) | (F.col("coverage") > 0.6) | (~F.col("_quoted") & F.col("value").rlike("^[A-Za-z]?[a-z]+[.!?]?$"))
     yes = (F.col("known") == 1) | ((F.col("assigned") == 1) & mixed)
     return found.withColumn("label", F.when(no, 0.0).when(yes, 1.0))
 
