@@ -17,4 +17,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN pos USING (row_id) LEFT JOIN its USING (row_id)
 """
 
-ORACLES: dict[str, str] = {"op4_positional_index_decontamination": CONTAMINATION}
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, row_number() OVER () AS r FROM pages),
+q AS (SELECT page_id, h, sha1(h) AS s, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, r) AS k,
+             first_value(page_id) OVER (PARTITION BY h ORDER BY page_id NULLS LAST, r) AS f FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(s, CAST(i // 8 * 10 + 1 AS INTEGER), 10) AS BIGINT) >> CAST(35 - i % 8 * 5 AS BIGINT)) & 31 AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN f END AS refers_to
+FROM q
+"""
+
+ORACLES: dict[str, str] = {"op4_positional_index_decontamination": CONTAMINATION, "op12_warc_transactions": WARC}

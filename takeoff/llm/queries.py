@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from takeoff.llm import decontamination, language, licenses, oracles, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, wrappers
+from takeoff.llm import decontamination, language, licenses, oracles, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, warc, whitening, wrappers
 
 QUERIES = {f.__name__: f for f in (
     suffix_dedup.op1_suffix_array_dedup,
@@ -13,6 +13,8 @@ QUERIES = {f.__name__: f for f in (
     wrappers.op8_wrapper_html_extraction,
     quality_classifier.op9_sparse_rule_quality,
     licenses.op10_template_license_scan,
+    whitening.op11_chebyshev_whitening,
+    warc.op12_warc_transactions,
 )}
 
 ORACLES = {k: v for k, v in oracles.ORACLES.items() if k in QUERIES}
