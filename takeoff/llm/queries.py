@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from takeoff.llm import decontamination, language, licenses, oracles, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, warc, whitening, wrappers
+from takeoff.llm import alignment, decontamination, language, licenses, oracles, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, warc, whitening, wrappers
 
 QUERIES = {f.__name__: f for f in (
     suffix_dedup.op1_suffix_array_dedup,
@@ -15,6 +15,7 @@ QUERIES = {f.__name__: f for f in (
     licenses.op10_template_license_scan,
     whitening.op11_chebyshev_whitening,
     warc.op12_warc_transactions,
+    alignment.op13_tokenizer_alignment,
 )}
 
 ORACLES = {k: v for k, v in oracles.ORACLES.items() if k in QUERIES}
