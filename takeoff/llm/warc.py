@@ -219,9 +219,12 @@ def owners(rows: DataFrame) -> DataFrame:
 
 
 def captures(rows: DataFrame) -> DataFrame:
-    """One nested row a capture: capture_id, head (struct; null if no response claims the records), requests, metadata and others (arrays of structs)."""
+    """One nested row a capture: capture_id, head (struct; null if no response claims the records), requests, metadata and others (arrays of structs).
+
+    The structs have all columns of the records; leave out what isn't needed, payloads above all, and pass a staged table.
+    """
     owned = owners(rows)
-    inner = F.struct("record_id", "type", "uri", "date", "content_type", "header", "block", "payload")
+    inner = F.struct("record_id", *[c for c in rows.columns if c != "record_id"])
     bound = rows.where(~F.col("type").isin(*HEADS)).select("record_id", inner.alias("r")).join(owned, "record_id", "left")
     kind = lambda *t: F.sort_array(F.collect_list(F.when(F.col("r.type").isin(*t), F.col("r"))))
     apart = F.sort_array(F.collect_list(F.when(~F.col("r.type").isin("request", "metadata"), F.col("r"))))
@@ -236,12 +239,13 @@ def captures(rows: DataFrame) -> DataFrame:
 
 def page_captures(spark: SparkSession, path: str) -> DataFrame:
     """page_id (of the metadata record), payload_bytes, payload_digest, record_type and refers_to of each capture in archives that `write` made."""
-    rows = records(spark, path)
-    caps = captures(rows).where("head is not null")
+    head = F.col("type").isin(*HEADS)
+    slim = records(spark, path).select("record_id", "type", "concurrent", "refers_to", F.when(head, F.octet_length("payload")).cast("long").alias("bytes"),
+                                       F.when(head, base32_sha1(F.col("payload"))).alias("digest"), F.when(~head, F.col("payload")).alias("payload"))
+    caps = captures(staged(slim, "records")).where("head is not null")
     about = F.get("metadata", F.lit(0))["payload"].cast("string")
     page = F.expr("try_cast(_page AS bigint)")
-    found = caps.select("capture_id", F.col("head.type").alias("record_type"), F.col("head.refers_to").alias("first"), F.octet_length("head.payload").cast("long").alias("bytes"),
-                        base32_sha1(F.col("head.payload")).alias("digest"), F.regexp_extract(about, r"(?m)^page_id: (-?\d+)", 1).alias("_page"))
+    found = caps.select("capture_id", F.col("head.type").alias("record_type"), F.col("head.refers_to").alias("first"), "head.bytes", "head.digest", F.regexp_extract(about, r"(?m)^page_id: (-?\d+)", 1).alias("_page"))
     found = staged(found.select("capture_id", "record_type", "first", "bytes", "digest", page.alias("page_id")), "captures")
     firsts = found.where("record_type = 'response'").select(F.col("capture_id").alias("first"), F.col("bytes").alias("_b"), F.col("digest").alias("_d"), F.col("page_id").alias("refers_to"))
     revisit = F.col("record_type") == "revisit"
