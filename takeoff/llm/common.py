@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Sizes of so many groups are broadcast.
 BROADCAST_GROUPS = 10_000
+#: Tables of so many keys (20 bytes each or so) are broadcast, larger ones joined by a shuffle.
+BROADCAST_KEYS = 100_000
 #: Python works on so many bytes of text at a time, whatever the size of Spark's Arrow batches.
 BATCH_BYTES = 4 << 20
 
@@ -44,6 +46,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_few(keys: DataFrame) -> bool:
+    return keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has few rows."""
+    return F.broadcast(keys) if is_few(keys) else keys
+
+
 def shipped(spark: SparkSession) -> None:
     """Send the package's source to the executors, once an application: their Python needn't have it installed."""
     if spark.conf.get("takeoff.shipped", None) == spark.sparkContext.applicationId:

@@ -13,11 +13,13 @@ empty id. Items of one id are one item. An empty benchmark leaves every document
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from takeoff.llm.common import documents, lower_ascii, staged
+from takeoff.llm.common import documents, is_few, lower_ascii, staged
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -98,7 +100,13 @@ class Search:
         found = self.candidates().join(self.items, "item").groupBy("key").agg(
             F.collect_list(F.struct("item_id", "shift", "starts", F.col("words").alias("item_words"))).alias("found"))
         keyed = self.docs.select(*dict.fromkeys([*keep, self.text.partition(".")[0]]), text_key(F.col(self.text)).alias("key"))
-        rows = keyed.join(found, "key", "left").select(*keep, words(F.col(self.text)).alias("words"), "found")
+        found = staged(found, "found")
+        if is_few(found.select("key")):  # texts without a candidate stay where they are, those with one are few or copies
+            keys = F.broadcast(found.select("key"))
+            parts = [keyed.join(keys, "key", "left_anti").withColumn("found", F.lit(None).cast(found.schema["found"].dataType)), keyed.join(keys, "key", "left_semi").join(found, "key")]
+        else:
+            parts = [keyed.join(found, "key", "left")]
+        rows = functools.reduce(DataFrame.union, [p.select(*keep, words(F.col(self.text)).alias("words"), "found") for p in parts])
 
         def hits(c: Column) -> Column:
             size = F.least(F.size(c["item_words"]), F.lit(self.window))

@@ -17,21 +17,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takeoff.llm.common import documents, held_out, staged
+from takeoff.llm.common import documents, held_out, is_few, staged
 
 NAMES = r"(?:token|secret|passw|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)"
 SIGN = r"(?::=|=>|->|=|:)"
 NAMED = rf"(?i){NAMES}[a-z0-9_-]*[\"']?"
 # a value in double or single quotes, or up to a blank, quote, comma or semicolon: one group each
-VALUE = r"(?:\"([^\"]{6,})\"|'([^']{6,})'|[\"'`(<\[{]*([^\"'`\s,;]{6,}))"
+VALUE = r"(?:\"([^\"]+)\"|'([^']+)'|[\"'`(<\[{]*([^\"'`\s,;]+))"
 GLUED = NAMED + SIGN + VALUE
-LOGIN = r"://[^\s/:@]*:([^\s/@]{6,})@"
+LOGIN = r"://[^\s/:@]*:([^\s/@]+)@"
 KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|sk[-_][A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}.*)"
 OPAQUE = r"[A-Za-z0-9+/_=-]{16}"
 KEYS = KNOWN.replace("^", "(?<![A-Za-z0-9])").replace(".*)", "[A-Za-z0-9_.-]*)")
 SIGNS = ("=", ":", ":=", "=>", "->")
-#: Words after one that opens a quote in which its end is looked for.
-QUOTED_WORDS = 24
 # Words that speak of examples, and common ones that a random string seldom holds.
 PLACEHOLDERS = r"(?:example|sample|dummy|placeholder|changeme|xxxx|your[_-]|test|fake|redacted)"
 DICTIONARY = r"(?:example|password|secret|token|access|private|public|server|client|value|default|string|number|user|admin|name|data|file|test|tion|ment|ing|the|and|for|key)"
@@ -59,20 +57,20 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str |
     places = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), wanted)
     place = F.col("place")
     found = rows.select(*keep, "_path", "_words", F.explode(places).alias("place")).select(
-        *keep, "_path", "place", at(place).alias("_word"), assigned_at(place).alias("_follows"), F.slice("_words", place + 2, QUOTED_WORDS).alias("_next"),
+        *keep, "_path", "place", at(place).alias("_word"), assigned_at(place).alias("_follows"), "_words",
         F.lower(F.array_join(F.array_compact(F.array(*[at(place - k) for k in (3, 2, 1)])), " ")).alias("before"),
         F.lower(F.array_join(F.array_compact(F.array(*[at(place + k) for k in (1, 2)])), " ")).alias("after"))
     # a quote that an assigned value opens and this word doesn't close
     opened = F.when(F.col("_follows") | F.col("_word").rlike(GLUED.split(VALUE)[0] + "[\"']"), F.regexp_extract("_word", r"(?:^|[=:>])([\"'])[^\"']*$", 1)).otherwise("")
-    rest = F.array_join("_next", " ")
+    rest = F.when(opened != "", F.array_join(F.slice("_words", F.col("place") + 2, F.size("_words")), " "))
     closed = F.when(opened == '"', F.regexp_extract(rest, r"^([^\"]*\")", 1)).when(opened == "'", F.regexp_extract(rest, r"^([^']*')", 1)).otherwise("")
     found = found.withColumn("_word", F.when(closed != "", F.concat_ws(" ", "_word", closed)).otherwise(F.col("_word")))
     every = lambda p, g: F.regexp_extract_all("_word", F.lit(p), F.lit(g))
     ends = lambda v: F.regexp_replace(v, r"[)\]}>]+$", "")
     first = F.concat(*[F.regexp_extract("_word", f"^{SIGN}?{VALUE}", g) if g < 3 else ends(F.regexp_extract("_word", f"^{SIGN}?{VALUE}", g)) for g in (1, 2, 3)])
     follows = F.when(F.col("_follows") & ~F.col("_word").rlike(NAMED + SIGN + "."), F.array(first)).otherwise(F.array().cast("array<string>"))
-    long = lambda a: F.filter(F.array_distinct(a), lambda v: F.length(v) >= 6)
-    given = long(F.concat(every(GLUED, 1), every(GLUED, 2), F.transform(every(GLUED, 3), ends), every(LOGIN, 1), follows))
+    some = lambda a: F.filter(F.array_distinct(a), lambda v: F.length(v) > 0)
+    given = some(F.concat(every(GLUED, 1), every(GLUED, 2), F.transform(every(GLUED, 3), ends), every(LOGIN, 1), follows))
     found = found.withColumn("_given", given)
     found = found.withColumn("_keys", F.filter(F.array_distinct(every(KEYS, 0)), lambda k: ~F.exists("_given", lambda v: v.contains(k))))
     runs = F.transform(every(r"[^\"'`()<>\[\]{},;|=\s]+={0,2}", 0), lambda v: F.regexp_replace(v, r"^[!#$%&*:]+|[!#$%&*:]+$", ""))
@@ -147,8 +145,18 @@ def redacted(docs: DataFrame, path: str | None = "source", mark: str = "[SECRET]
     keyed = docs.select("text", *([path] if path else [])).withColumn("_key", key)
     secret = findings(keyed, ("_key",), path).where("secret").groupBy("_key").agg(F.collect_set("value").alias("_secrets"))
     longest_first = F.array_sort("_secrets", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    clean = F.aggregate(longest_first, F.col("_row.text"), lambda t, s: F.replace(t, s, F.lit(mark)))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key")).join(secret, "_key", "left")
+    # only where the value stands by itself, its blanks being any white space
+    quoted = lambda s: F.replace(F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(" "), F.lit("\\E[\\x09-\\x0D\\x20]+\\Q"))
+    bound = lambda s, p, e: F.when(s.rlike(p), F.lit(e)).otherwise(F.lit(""))
+    alone = lambda s: F.concat(bound(s, "^[A-Za-z0-9]", "(?<![A-Za-z0-9])"), F.lit("\\Q"), quoted(s), F.lit("\\E"), bound(s, "[A-Za-z0-9]$", "(?![A-Za-z0-9])"))
+    clean = F.aggregate(longest_first, F.col("_row.text"), lambda t, s: F.regexp_replace(t, alone(s), F.lit(mark.replace("\\", "\\\\").replace("$", "\\$"))))
+    rows, secret = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key")), staged(secret, "secrets")
+    if is_few(secret.select("_key")):  # texts without a secret stay where they are
+        keys = F.broadcast(secret.select("_key"))
+        marked = rows.join(keys, "_key", "left_semi").join(secret, "_key")
+        rows = rows.join(keys, "_key", "left_anti").withColumn("_secrets", F.lit(None).cast("array<string>")).select("_row", "_secrets").union(marked.select("_row", "_secrets"))
+    else:
+        rows = rows.join(secret, "_key", "left")
     text = F.when(F.col("_secrets").isNull(), F.col("_row.text")).otherwise(clean)
     return rows.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 

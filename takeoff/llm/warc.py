@@ -23,22 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takeoff.llm.common import documents, shared_folder, shipped, staged
+from takeoff.llm.common import documents, few, shared_folder, shipped, staged
 
 END, DELIMITER = "\r\n\r\n", "\nWARC/1."
 HEADS = ("response", "revisit", "resource")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
-#: Tables of so many rows (digests, names of files) are broadcast, larger ones joined by a shuffle.
-BROADCAST_ROWS = 100_000
 CHAIN_ROUNDS = 64
 
 
-def few(df: DataFrame) -> DataFrame:
-    """The table, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def base32_sha1(data: Column) -> Column:
     """Upper-case base32 of the SHA-1: each ten hex digits are eight digits of base 32."""
     digits = F.sha1(data)

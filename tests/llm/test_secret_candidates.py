@@ -10,6 +10,7 @@ CASES = [
     ('{"password":"abc123def","api_key":"Zx81kq0PLm92"}', ["abc123def", "Zx81kq0PLm92"]),
     ('password = "Tr0ub4dor&3xyz"', ["Tr0ub4dor&3xyz"]), ("password = p@ss!word12345678", ["p@ss!word12345678"]),
     ("password: hunter2secret", ["hunter2secret"]), ("pwd=hunt3r2", ["hunt3r2"]), ('password: "two w0rds 99" end', ["two w0rds 99"]),
+    ("pwd=abc12", ["abc12"]), ('password = "' + " ".join(f"word{i}" for i in range(40)) + '" end', [" ".join(f"word{i}" for i in range(40))]),
     ("see https://bob:s3cretpw77@host.example.org/x", ["s3cretpw77"]), (f"password={AWS}, token=Zx81kq0PLm92", [AWS, "Zx81kq0PLm92"]),
 ]
 
@@ -29,3 +30,10 @@ def test_found_secrets_go_whole(spark):
     left = [(i, v, clean[i]) for i, (_, values) in enumerate(CASES) for v in values if v in clean[i]]
     assert not left
     assert clean[4] == 'password = "[SECRET]"' and all(clean[200 + i] == rows[-20 + i][1] for i in range(20))
+
+
+def test_only_the_place_of_a_secret_is_replaced(spark):
+    text = 'password: monday77 and monday77x Smonday77s\nsecret = "two\t w0rds 99" two w0rds 999'
+    df = spark.createDataFrame([(0, text, "s"), (1, None, "s"), (2, "", None)], "doc_id long, text string, source string")
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert clean[0] == 'password: [SECRET] and monday77x Smonday77s\nsecret = "[SECRET]" two w0rds 999' and clean[1] is None and clean[2] == ""
