@@ -466,13 +466,17 @@ SELECT project_id, CASE WHEN n BETWEEN 2 AND 3 THEN greatest(a, b) WHEN n = 4 TH
 FROM (SELECT project_id, CAST(project_id % 30 + 1 AS INTEGER) AS a, CAST(project_id % 20 + 1 AS INTEGER) AS b, CAST(project_id % 33 AS INTEGER) AS c, project_id % 5 AS n FROM project_meta)""")
 _cjk3 = "'[\\x{4e00}-\\x{9fff}]{3,}'"
 add("fuzzy_name_match", "", f"""
-WITH p AS (SELECT c_custkey AS project_id, {pick(S.NAME_WORDS, 'c_custkey')} || '-' || {pick(['建设工程项目', '改造工程', '一期'], 'c_custkey')} || '-' ||
-             {pick(['新都片区', '高新园区', '老城'], 'c_custkey // 3')} AS name FROM customer),
- f AS (SELECT DISTINCT s_suppkey || '.' || {pick(S.NAME_WORDS, 's_suppkey')} || '（' || {pick(['建设工程项目部', '改造工程', '二期'], 's_suppkey')} || '）' ||
-         {pick(['新都片区', '高新园区', '旧城区'], 's_suppkey // 5')} AS folder FROM supplier),
- pt AS (SELECT *, list_distinct(regexp_extract_all(name, {_cjk3})) AS w FROM p), ft AS (SELECT *, list_distinct(regexp_extract_all(folder, {_cjk3})) AS w FROM f)
-SELECT project_id, min(folder) AS folder FROM pt, ft WHERE len(pt.w) > 0 AND len(ft.w) > 0 AND (
-  len(list_intersect(pt.w, ft.w)) >= least(2, len(pt.w)) OR (len(pt.w) <= 3 AND len([x FOR x IN pt.w IF length(x) >= 4 AND contains(folder, x)]) > 0)) GROUP BY 1""")
+WITH p AS (SELECT c_custkey AS project_id, CASE WHEN c_custkey % 11 = 0 THEN '甲' || c_custkey WHEN c_custkey % 13 = 0 THEN '独有名称之处' ELSE
+             {pick(S.NAME_WORDS, 'c_custkey')} || '-' || {pick(['建设工程项目', '改造工程', '一期'], 'c_custkey')} || '-' ||
+             {pick(['新都片区', '高新园区', '老城'], 'c_custkey // 3')} END AS name FROM customer),
+ f AS (SELECT s_suppkey || '.' || {pick(S.NAME_WORDS, 's_suppkey')} || '（' || {pick(['建设工程项目部', '改造工程', '二期'], 's_suppkey')} || '）' ||
+         {pick(['新都片区', '高新园区', '旧城区'], 's_suppkey // 5')} AS folder,
+       CASE WHEN s_suppkey % 3 = 0 THEN '项目信息表.xlsx' WHEN s_suppkey % 7 = 0 THEN '说明.docx' ELSE 'f' || s_suppkey || '.xlsx' END AS file FROM supplier),
+ held AS (SELECT folder, min(file) AS file FROM f WHERE file LIKE '%.xlsx' AND NOT contains(file, '项目信息') GROUP BY 1),
+ pt AS (SELECT *, list_distinct(regexp_extract_all(name, {_cjk3})) AS w FROM p), ft AS (SELECT *, list_distinct(regexp_extract_all(folder, {_cjk3})) AS w FROM held),
+ m AS (SELECT project_id, min({{'folder': folder, 'file': file}}) AS m FROM pt, ft WHERE len(pt.w) > 0 AND len(ft.w) > 0 AND (
+  len(list_intersect(pt.w, ft.w)) >= least(2, len(pt.w)) OR (len(pt.w) <= 3 AND len([x FOR x IN pt.w IF length(x) >= 4 AND contains(folder, x)]) > 0)) GROUP BY 1)
+SELECT project_id, m.folder AS folder, m.file AS file FROM p LEFT JOIN m USING (project_id)""")
 add("file_match", "", f"""
 WITH p AS (SELECT c_custkey AS project_id, {pick(S.NAME_WORDS, 'c_custkey')} || (c_custkey % 12) AS name, 'f' || (c_custkey * 3) || '.xlsx' AS source_file FROM customer),
  f AS (SELECT s_suppkey || '.' || {pick(S.NAME_WORDS, 's_suppkey')} || (s_suppkey % 12) || '号' AS folder, 'f' || s_suppkey || '.xlsx' AS file FROM supplier),
@@ -490,6 +494,17 @@ add("filled_codes", "sheet_rows", """
 SELECT project_id, count(code) AS filled, min(code) AS first, max(code) AS last FROM (
   SELECT project_id, last_value(nullif(c1,'') IGNORE NULLS) OVER (PARTITION BY project_id, sheet_name, sheet_order ORDER BY row_num
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS code FROM sheet_rows WHERE contains(sheet_name,'表-08')) GROUP BY 1""")
+add("merged_ranges", "", """
+WITH l AS (SELECT l_orderkey AS o, l_orderkey * 8 + l_linenumber AS r, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
+ rows_ AS (SELECT o, r, p, CAST(r AS VARCHAR) AS c0, CASE WHEN p % 3 = 0 THEN 'p' || p END AS c1, CASE WHEN p % 5 = 0 THEN 'v' || p END AS c2 FROM l),
+ g AS (SELECT min(r) AS lo, o * 8 + 7 AS hi, 2 AS a, 2 AS b FROM rows_ GROUP BY o
+       UNION ALL SELECT min(r), min(r) + 120000, 3, 3 FROM rows_ WHERE p % 5 = 0 GROUP BY o // 16384
+       UNION ALL SELECT min(r), min(r) + 5000, 2, 3 FROM rows_ WHERE p % 3 = 0 GROUP BY o // 3000),
+ v AS (SELECT g.*, CASE a WHEN 2 THEN c1 ELSE c2 END AS x FROM g JOIN rows_ ON r = lo),
+ n AS (SELECT rows_.r, min({'lo': lo, 'a': a, 'hi': hi, 'b': b, 'x': x}) FILTER (WHERE 2 BETWEEN a AND b) AS f1,
+              min({'lo': lo, 'a': a, 'hi': hi, 'b': b, 'x': x}) FILTER (WHERE 3 BETWEEN a AND b) AS f2
+       FROM rows_ JOIN v ON r BETWEEN lo AND hi WHERE x IS NOT NULL GROUP BY 1)
+SELECT r AS row_num, c0, coalesce(c1, f1.x) AS c1, coalesce(c2, f2.x) AS c2 FROM rows_ LEFT JOIN n USING (r)""")
 add("fee_totals", "fees", "SELECT * FROM fees")
 add("crosscheck", "bill fees", f"""
 SELECT project_id, extracted, part_fee, CASE WHEN extracted > 0 AND part_fee > 0 THEN {rnd('abs(extracted - part_fee) / part_fee * 100', 2)} END AS diff_pct

@@ -203,6 +203,7 @@ OCR_PAIRS = [("0", "O"), ("1", "l"), ("1", "I"), ("2", "Z"), ("5", "S"), ("8", "
 LINE_END_MARKS = "。；：！？、）》」』,;:!?)>..．"
 TOTAL_ROW_PATTERN = "合计|总计|总造价|招标控制价|合同价"
 FATAL_WARNING_WORDS = ["无法打开", "Cannot open", "解析失败", "出错", "failed", "empty file"]
+MAIN_WORKBOOK_SUFFIX, INFO_WORKBOOK_MARK = ".xlsx", "项目信息"
 ALLOWED_EXTENSIONS = [".docx", ".doc", ".pdf", ".xlsx", ".xls"]
 MAX_FILE_BYTES = 50 * 1024 * 1024
 UPLOAD_TTL_HOURS = 24

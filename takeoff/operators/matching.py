@@ -21,12 +21,27 @@ def token_pairs(words: Column) -> Column:
         F.filter(words, lambda b: b > a), lambda b: F.concat_ws("|", a, b))))
 
 
-def substrings(text: Column, least: int) -> Column:
-    """Distinct substrings of one name with at least so many characters."""
-    starts = F.when(F.length(text) >= least, F.sequence(F.lit(1), F.length(text) - (least - 1))).otherwise(
-        F.array().cast("array<int>"))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.transform(
-        F.sequence(F.lit(least), F.length(text) - s + 1), lambda n: F.substr(text, s, n)))))
+def grams(text: Column, size: Column | int) -> Column:
+    """Distinct substrings of one size; none of a shorter text."""
+    size = F.lit(size) if isinstance(size, int) else size
+    some = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size))
+    return F.when(F.length(text) >= size, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+
+
+def first_containing(names: DataFrame, texts: DataFrame, value: Column, q: int = 3) -> DataFrame:
+    """(name, first): the least `value` among the texts that contain each name; names without any don't show.
+
+    A name is looked for under one of its q-grams only, the one that fewest texts have (shorter names under themselves), and
+    then compared. The rows that are shuffled grow with the length of a text, not with its square.
+    """
+    offered = texts.select("text", value.alias("value"), F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("text"), k) for k in range(1, q + 1)])))).alias("gram"))
+    frequency = offered.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = names.select("name").distinct().where(F.length("name") > 0)
+    asked = asked.select("name", F.explode(grams(F.col("name"), F.least(F.length("name"), F.lit(q)))).alias("gram"))
+    # a name with a gram that no text has is in none
+    known = asked.join(frequency, "gram", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+    keyed = known.where("rarest.n > 0").select("name", F.col("rarest.gram").alias("gram"))
+    return keyed.join(offered, "gram").where(F.contains("text", "name")).groupBy("name").agg(F.min("value").alias("first"))
 
 
 def _first_folder(folders: DataFrame, keys: Column) -> DataFrame:
@@ -34,29 +49,36 @@ def _first_folder(folders: DataFrame, keys: Column) -> DataFrame:
     return folders.select("folder", F.explode(keys).alias("k")).groupBy("k").agg(F.min("folder").alias("folder"))
 
 
-def match_folders(projects: DataFrame, folders: DataFrame) -> DataFrame:
-    """First folder, in name order, that fits each project name.
+def main_workbooks(files: DataFrame) -> DataFrame:
+    """(folder, file): the first main workbook, by name, of each folder that holds one."""
+    main = F.col("file").endswith(C.MAIN_WORKBOOK_SUFFIX) & ~F.contains("file", F.lit(C.INFO_WORKBOOK_MARK))
+    return files.where(main).groupBy("folder").agg(F.min("file").alias("file"))
 
-    A folder fits when it shares min(2, n) of the name's n word runs, or when n
-    is at most 3 and it contains a run of four or more characters.  Folders are
-    reduced to the first one a key (single run, pair of runs, contained run)
+
+def match_folders(projects: DataFrame, files: DataFrame) -> DataFrame:
+    """First folder, in name order, that fits each project name and holds a main workbook; null where none does.
+
+    files: folder, file. A folder fits when it shares min(2, n) of the name's n word runs, or when n
+    is at most 3 and it contains a run of four or more characters. One that fits without a main workbook gives way to the next, so
+    only folders with one are looked at; they are reduced to the first one a key (single run, pair of runs, contained run)
     before they meet the projects, so a word that everybody uses costs one row.
     """
     words = tokens(F.col("name"))
-    p = projects.select("project_id", "name", words.alias("w")).filter(F.size("w") > 0)
-    f = folders.select("folder").distinct().withColumn("fw", tokens(F.col("folder"))).filter(F.size("fw") > 0)
+    p = projects.select("project_id", "name", words.alias("w"))
+    held = main_workbooks(files)
+    f = held.select("folder").withColumn("fw", tokens(F.col("folder"))).filter(F.size("fw") > 0)
     long_runs = F.filter("w", lambda x: F.length(x) >= 4)
     key = lambda kind, ks: F.transform(ks, lambda k: F.concat_ws(":", F.lit(kind), k))
     wanted = F.concat(
         F.when(F.size("w") == 1, key("one", F.col("w"))).otherwise(key("two", token_pairs(F.col("w")))),
         F.when(F.size("w") <= 3, key("in", long_runs)).otherwise(F.array().cast("array<string>")))
-    contained = F.flatten(F.transform("fw", lambda run: substrings(run, 4)))
-    offered = F.concat(key("one", F.col("fw")), key("two", token_pairs(F.col("fw"))), key("in", F.array_distinct(contained)))
-    first = _first_folder(f, offered)
-    return (
-        p.select("project_id", "name", F.explode(wanted).alias("k")).join(first.hint("merge"), "k")
-        .groupBy("project_id", "name").agg(F.min("folder").alias("folder"))
-    )
+    asked = p.select("project_id", F.explode(wanted).alias("k"))
+    first = _first_folder(f, F.concat(key("one", F.col("fw")), key("two", token_pairs(F.col("fw")))))
+    runs = asked.where(F.col("k").startswith("in:")).select(F.substring("k", 4, 1 << 30).alias("name"))
+    inside = first_containing(runs, f.select(F.explode("fw").alias("text"), "folder"), F.col("folder"), 4)
+    first = first.union(inside.select(F.concat(F.lit("in:"), "name"), "first"))
+    found = asked.join(first.hint("merge"), "k").groupBy("project_id").agg(F.min("folder").alias("folder"))
+    return p.select("project_id", "name").join(found, "project_id", "left").join(held, "folder", "left").select("project_id", "name", "folder", "file")
 
 
 def match_files(projects: DataFrame, files: DataFrame) -> DataFrame:
@@ -66,9 +88,7 @@ def match_files(projects: DataFrame, files: DataFrame) -> DataFrame:
     """
     by_file = files.groupBy(F.col("file").alias("source_file")).agg(F.min(F.struct("folder", "file")).alias("_exact"))
     first_file = files.groupBy("folder").agg(F.min("file").alias("file"))
-    parts = first_file.select(F.struct("folder", "file").alias("f"), F.explode(substrings(F.col("folder"), 1)).alias("name"))
-    wanted = projects.select("name").distinct()
-    by_name = parts.join(wanted, "name", "left_semi").groupBy("name").agg(F.min("f").alias("_inside"))
+    by_name = first_containing(projects, first_file.select(F.col("folder").alias("text"), F.struct("folder", "file").alias("f")), F.col("f")).withColumnRenamed("first", "_inside")
     return (
         projects.join(by_file, "source_file", "left").join(by_name, "name", "left")
         .withColumn("_f", F.coalesce("_exact", "_inside"))

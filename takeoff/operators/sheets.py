@@ -65,27 +65,51 @@ def first_when(condition: Column, value: Column, *order: Column) -> Column:
 
 # -- merged cells ------------------------------------------------------------
 
+#: Sizes of the row bins that ranges are cut into: at their ends bins of the first size, between them whole ones of the others.
+RANGE_BINS = (16, 1024, 65536)
+
+
+def _range_pieces(ranges: DataFrame) -> DataFrame:
+    """Each range as pieces (level, bin); a range has some hundred for its ends, and one for every 65,536 rows between them."""
+    lo, end = F.col("min_row").cast("bigint"), F.col("max_row").cast("bigint") + 1
+    down = lambda c, size: F.floor(c / size).cast("bigint")  # noqa: E731  bin of a row
+    up = lambda c, size: down(c + (size - 1), size)  # noqa: E731  first bin that begins at the row or later
+
+    def bins(level: int, first: Column, last: Column) -> Column:
+        """Pieces of a level from bin `first` to before bin `last`."""
+        made = F.transform(F.sequence(first, last - 1), lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
+        return F.when(last > first, made).otherwise(F.array().cast("array<struct<level: int, bin: bigint>>"))
+
+    small, middle, large = RANGE_BINS
+    in_middle, in_large = middle // small, large // middle
+    a1, b1, a2, b2 = up(lo, middle), down(end, middle), up(lo, large), down(end, large)
+    ends = F.when(b1 > a1, F.concat(bins(0, down(lo, small), a1 * in_middle), bins(0, b1 * in_middle, up(end, small)))).otherwise(bins(0, down(lo, small), up(end, small)))
+    inner = F.when(b2 > a2, F.concat(bins(1, a1, a2 * in_large), bins(1, b2 * in_large, b1))).otherwise(bins(1, a1, b1))
+    pieces = F.concat(ends, inner, bins(2, a2, b2))
+    return ranges.select("*", F.explode(pieces).alias("_p")).select(*ranges.columns, "_p.level", "_p.bin")
+
+
 def expand_merged(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Null cells inside a merged range take its top-left value.
+    """Null cells inside a merged range take its top-left value; where ranges overlap, that of the first one.
 
     ranges: project_id, source_file, sheet_name, sheet_order, min_row, max_row, min_col, max_col (columns counted from 1).
-    A range is spread over the cells it covers, so rows and ranges meet by equality of the row number.
+    Rows with a null cell meet the pieces of ranges in their bins, so a range costs some hundred rows however long it is; the
+    columns are settled inside of the row.
     """
     corner = rows.select(*SHEET, F.col("row_num").alias("min_row"), F.col("cells").alias("_corner"))
-    covered = (
-        ranges.join(corner, [*SHEET, "min_row"])
-        .select(*SHEET, "min_row", F.get("_corner", (F.col("min_col") - 1).cast("int")).alias("value"), "min_col", "max_col",
-                F.explode(F.sequence("min_row", "max_row")).alias("row_num"))
-        .select(*SHEET, F.col("row_num").cast("bigint").alias("row_num"), F.struct("min_row", "min_col", "value").alias("v"),
-                F.explode(F.sequence("min_col", "max_col")).alias("col"))
-    )
-    # one value a cell, where ranges overlap that of the first range
-    single = covered.groupBy(*SHEET, "row_num", "col").agg(F.min("v")["value"].alias("value"))
-    per_row = single.groupBy(*SHEET, "row_num").agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("col") - 1).cast("int").alias("k"), "value"))).alias("_m"))
-    filled = F.transform("cells", lambda c, i: F.coalesce(c, F.try_element_at("_m", i)))
+    valued = ranges.join(corner, [*SHEET, "min_row"]).select(
+        *SHEET, "min_row", "max_row", "min_col", "max_col", F.get("_corner", (F.col("min_col") - 1).cast("int")).alias("value"))
+    pieces = _range_pieces(valued.where(F.col("value").isNotNull()))
+    row = F.col("row_num").cast("bigint")
+    keys = F.array(*[F.struct(F.lit(i).alias("level"), F.floor(row / size).cast("bigint").alias("bin")) for i, size in enumerate(RANGE_BINS)])
+    open_rows = rows.where(F.exists("cells", lambda c: c.isNull())).select(*SHEET, "row_num", F.explode(keys).alias("_k")).select(*SHEET, "row_num", "_k.level", "_k.bin")
+    over = open_rows.join(pieces, [*SHEET, "level", "bin"]).where(row.between(F.col("min_row"), F.col("max_row")))
+    per_row = over.groupBy(*SHEET, "row_num").agg(
+        F.array_sort(F.collect_set(F.struct("min_row", "min_col", "max_row", "max_col", "value"))).alias("_over"))
+    value = lambda i: F.get(F.filter("_over", lambda o: (i + 1).between(o["min_col"], o["max_col"])), F.lit(0))["value"]
+    filled = F.transform("cells", lambda c, i: F.coalesce(c, value(i)))
     return rows.join(per_row, [*SHEET, "row_num"], "left").withColumn(
-        "cells", F.when(F.col("_m").isNull(), F.col("cells")).otherwise(filled)).select(*rows.columns)
+        "cells", F.when(F.col("_over").isNull(), F.col("cells")).otherwise(filled)).select(*rows.columns)
 
 
 # -- bill items --------------------------------------------------------------

@@ -527,14 +527,16 @@ def building_lists(spark, sf):
 
 @query
 def fuzzy_name_match(spark, sf):
-    """Projects named after customers' segments matched with folders of the suppliers."""
+    """Projects named after customers' segments matched with folders of the suppliers; some fit none, some folders lack a main workbook."""
     k, s = F.col("c_custkey"), F.col("s_suppkey")
     name = F.concat_ws("-", S.pick(S.NAME_WORDS, k), S.pick(["建设工程项目", "改造工程", "一期"], k), S.pick(["新都片区", "高新园区", "老城"], k / 3))
+    name = F.when(k % 11 == 0, F.concat(F.lit("甲"), k.cast("string"))).when(k % 13 == 0, "独有名称之处").otherwise(name)
     folder = F.concat(s.cast("string"), F.lit("."), S.pick(S.NAME_WORDS, s), F.lit("（"), S.pick(["建设工程项目部", "改造工程", "二期"], s), F.lit("）"),
                       S.pick(["新都片区", "高新园区", "旧城区"], s / 5))
+    file = F.when(s % 3 == 0, "项目信息表.xlsx").when(s % 7 == 0, "说明.docx").otherwise(F.concat(F.lit("f"), s.cast("string"), F.lit(".xlsx")))
     projects = S.table(spark, sf, "customer").select(k.alias("project_id"), name.alias("name"))
-    folders = S.table(spark, sf, "supplier").select(folder.alias("folder"))
-    return matching.match_folders(projects, folders).select("project_id", "folder")
+    listed = S.table(spark, sf, "supplier").select(folder.alias("folder"), file.alias("file"))
+    return matching.match_folders(projects, listed).select("project_id", "folder", "file")
 
 
 @query
@@ -572,6 +574,13 @@ def filled_codes(spark, sf):
     return filled.groupBy("project_id").agg(F.count("code").alias("filled"), F.min("code").alias("first"), F.max("code").alias("last"))
 
 
+@query
+def merged_ranges(spark, sf):
+    """Open cells under merged ranges, the longest over 120,000 rows."""
+    rows, ranges = S.merged_sheet(spark, sf)
+    return sheets.expand_merged(rows, ranges).select("row_num", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(3)])
+
+
 @query
 def fee_totals(spark, sf):
     return sheets.fee_totals(S.sheet_rows(spark, sf))

@@ -167,6 +167,23 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.explode(F.array(made)).alias("r")).select("r.*")
 
 
+def merged_sheet(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One sheet of all order lines with open cells, and its merged ranges: one an order, and long ones over up to 120,000 rows."""
+    row = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    at = [F.lit(0).cast("bigint").alias("project_id"), F.lit("main.xlsx").alias("source_file"), F.lit("表-08").alias("sheet_name"), F.lit(0).alias("sheet_order")]
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", row.alias("row_num")).agg(F.min("l_partkey").alias("p"))
+    p = F.col("p")
+    cells = F.array(F.col("row_num").cast("string"), F.when(p % 3 == 0, F.concat(F.lit("p"), p.cast("string"))), F.when(p % 5 == 0, F.concat(F.lit("v"), p.cast("string"))))
+    small = lines.groupBy("l_orderkey").agg(F.min("row_num").alias("min_row")).select("min_row", (F.col("l_orderkey") * 8 + 7).alias("max_row"), F.lit(2).alias("min_col"), F.lit(2).alias("max_col"))
+
+    def long(orders: int, rows: int, divisor: int, first: int, last: int) -> DataFrame:
+        starts = lines.where(p % divisor == 0).groupBy(F.floor(F.col("l_orderkey") / orders)).agg(F.min("row_num").alias("min_row"))
+        return starts.select("min_row", (F.col("min_row") + rows).alias("max_row"), F.lit(first).alias("min_col"), F.lit(last).alias("max_col"))
+
+    ranges = small.union(long(16384, 120000, 5, 3, 3)).union(long(3000, 5000, 3, 2, 3))
+    return lines.select(*at, "row_num", cells.alias("cells")), ranges.select(*at, "min_row", "max_row", "min_col", "max_col")
+
+
 ROW_CHUNK = 1000  # bill rows of the stand-in are numbered line * 1e6 + part
 
 

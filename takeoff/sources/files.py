@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,14 +10,50 @@ from takeoff import constants as C
 from takeoff.functions import names, rules
 
 
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first, record): the records of flat files whose quoted cells may hold line breaks, with files read by many tasks.
+
+    Lines are read in splits, each with its number of quotes. Whether a line begins inside of a cell is the parity of all
+    quotes before it: counted within the split, and carried over from the splits before, one row a split. Lines that begin and end
+    outside are records; the others are joined, each piece under the line where its cell began. `first` is true for a file's first record.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), "value",
+        F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'))), F.lit(2)).alias("odd"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file", "split").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    counted = lines.withColumn("_odd", F.coalesce(F.sum("odd").over(inside), F.lit(0)) % 2)
+    # of each split: parity, and its last line that begins outside of a cell, for either parity before the split
+    ends = counted.groupBy("file", "split").agg(
+        F.min("place").alias("_head"), F.pmod(F.sum("odd"), F.lit(2)).alias("_parity"), *[F.max(F.when(F.col("_odd") == p, F.col("place"))).alias(f"_last{p}") for p in (0, 1)])
+    over = before.partitionBy("file").orderBy("split")
+    carried = ends.withColumn("_carry", F.coalesce(F.sum("_parity").over(over), F.lit(0)) % 2)
+    carried = carried.withColumn("_last", F.when(F.col("_carry") == 0, F.col("_last0")).otherwise(F.col("_last1")))
+    carried = carried.withColumn("_open", F.last(F.when(F.col("_last").isNotNull(), F.struct("split", F.col("_last").alias("place"))), ignorenulls=True).over(over))
+    carried = carried.withColumn("_head", F.first("_head").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    known = counted.join(carried.select("file", "split", "_carry", "_open", "_head"), ["file", "split"])
+    starts = (F.col("_odd") + F.col("_carry")) % 2 == 0
+    own = F.last(F.when(starts, F.struct("split", "place")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    known = known.withColumn("_whole", starts & (F.col("odd") == 0)).withColumn("_at", F.coalesce(own, "_open")).withColumn("first", F.col("_at.place") == F.col("_head"))
+    single = known.where("_whole").select("file", "first", F.col("value").alias("record"))
+    pieces = known.where("not _whole").groupBy("file", "_at").agg(
+        F.max("first").alias("first"), F.array_sort(F.collect_list(F.struct("split", "place", "value"))).alias("_v"))
+    joined = pieces.select("file", "first", F.array_join(F.transform("_v", lambda v: v["value"]), "\n").alias("record"))
+    return single.union(joined).withColumn("record", F.regexp_replace("record", "\r$", ""))
+
+
 def read_flat(spark: SparkSession, path: str, schema: T.StructType, kind: str = "csv", line_breaks: bool = True) -> DataFrame:
     """Flat table with a header row; bad cells become null, rows without any value are dropped, reading goes on behind them.
 
-    A quoted cell may hold line breaks. Files known to have none can be read without `line_breaks`: Spark splits such files.
+    Quoted cells may hold line breaks, commas and doubled quotes; a quote stands in quoted cells only. Files are read by many
+    tasks either way; those known to hold no line breaks are read straight, without joining lines.
     """
-    if kind == "csv":
-        options = {"header": True, "mode": "PERMISSIVE", "multiLine": line_breaks, "quote": '"', "escape": '"'}
-        df = spark.read.schema(schema).options(**options).csv(path)
+    options = {"mode": "PERMISSIVE", "quote": '"', "escape": '"'}
+    if kind == "csv" and line_breaks:
+        records = quoted_records(spark, path).where(~F.col("first") & (F.trim("record") != ""))
+        df = records.select(F.from_csv("record", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), options).alias("_r")).select("_r.*")
+    elif kind == "csv":
+        df = spark.read.schema(schema).options(header=True, **options).csv(path)
     else:
         df = spark.read.schema(schema).format(kind).load(path)
     return df.dropna("all")

@@ -61,8 +61,32 @@ def test_folders_equal_brute_force(spark):
                 return f
 
     got = {r.project_id: r.folder for r in matching.match_folders(
-        spark.createDataFrame(projects, "project_id int, name string"), spark.createDataFrame([(f,) for f in folders], "folder string")).collect()}
-    assert got == {i: want(n) for i, n in projects if want(n)}
+        spark.createDataFrame(projects, "project_id int, name string"), spark.createDataFrame([(f, "a.xlsx") for f in folders], "folder string, file string")).collect()}
+    assert got == {i: want(n) for i, n in projects}
+
+
+def test_a_folder_without_a_main_workbook_gives_way(spark):
+    projects = spark.createDataFrame([(1, "安置小区工程"), (2, "文化中心大楼"), (3, "x")], "project_id int, name string")
+    listed = spark.createDataFrame([("1.安置小区工程", "项目信息.xlsx"), ("1.安置小区工程", "a.docx"), ("2.安置小区工程二期", "b.xlsx"), ("2.安置小区工程二期", "a.xlsx")], "folder string, file string")
+    got = sorted(tuple(r) for r in matching.match_folders(projects, listed).select("project_id", "folder", "file").collect())
+    assert got == [(1, "2.安置小区工程二期", "a.xlsx"), (2, None, None), (3, None, None)]
+
+
+@pytest.mark.parametrize("q", [1, 2, 3])
+def test_contained_names_by_brute_force(spark, q):
+    rnd = random.Random(q)
+    word = lambda a, b: "".join(rnd.choice("ab甲乙") for _ in range(rnd.randint(a, b)))
+    names, texts = sorted({word(0, 6) for _ in range(80)}), [word(0, 25) for _ in range(60)]
+    got = {r.name: r.first for r in matching.first_containing(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(t,) for t in texts], "text string"),
+                                                              matching.F.col("text"), q).collect()}
+    assert got == {n: min(t for t in texts if n in t) for n in names if n and any(n in t for t in texts)}
+
+
+def test_the_rows_of_a_long_folder_name_grow_with_its_length(spark):
+    long = "".join(chr(0x4E00 + i) for i in range(3000))
+    made = spark.createDataFrame([(long,)], "text string")
+    assert made.select(matching.F.size(matching.grams(matching.F.col("text"), 3))).first()[0] == 2998
+    assert matching.first_containing(spark.createDataFrame([(long[1000:2000],), (long[:-1] + "x",)], "name string"), made, matching.F.col("text")).count() == 1
 
 
 def test_two_stage_file_match(spark):

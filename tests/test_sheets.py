@@ -1,3 +1,4 @@
+import random
 import json
 
 from pyspark.sql import functions as F
@@ -136,3 +137,28 @@ def test_merged_ranges(spark):
                                    "project_id string, source_file string, sheet_name string, sheet_order int, min_row int, max_row int, min_col int, max_col int")
     got = [r.cells for r in sheets.expand_merged(rows, ranges).orderBy("row_num").collect()]
     assert got == [["分部名称", "项目编码"], ["土石方工程", "010101001001"], ["土石方工程", "010101002001"], ["土石方工程", None]]
+
+
+def test_merged_ranges_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sheets, "RANGE_BINS", (2, 8, 32))
+    rng = random.Random(3)
+    table = {r: [rng.choice([None, f"{r}.{c}"]) for c in range(4)] for r in rng.sample(range(1, 300), 220)}
+    ranges = []
+    for _ in range(60):
+        lo, a = rng.choice(sorted(table)), rng.randint(1, 4)
+        ranges.append((lo, lo + rng.choice([0, 1, 5, 40, 200]), a, rng.randint(a, 4)))
+    rows = spark.createDataFrame([("P1", "f", "s", 0, r, c) for r, c in table.items()], "project_id string, source_file string, sheet_name string, sheet_order int, row_num bigint, cells array<string>")
+    df = spark.createDataFrame([("P1", "f", "s", 0, *r) for r in ranges], "project_id string, source_file string, sheet_name string, sheet_order int, min_row int, max_row int, min_col int, max_col int")
+    got = {r.row_num: r.cells for r in sheets.expand_merged(rows, df).collect()}
+
+    def filled(r, c):
+        over = sorted((lo, a, hi, b, table[lo][a - 1]) for lo, hi, a, b in ranges if lo <= r <= hi and a <= c + 1 <= b and table[lo][a - 1] is not None)
+        return table[r][c] if table[r][c] is not None else over[0][4] if over else None
+
+    assert got == {r: [filled(r, c) for c in range(4)] for r in table}
+
+
+def test_a_long_merged_range_costs_some_hundred_rows(spark):
+    one = spark.createDataFrame([(17, 100_000_017)], "min_row int, max_row int")
+    pieces = sheets._range_pieces(one).groupBy("level").count().collect()
+    assert {r["level"] for r in pieces} == {0, 1, 2} and sum(r["count"] for r in pieces if r["level"] < 2) < 260

@@ -1,4 +1,6 @@
+import csv
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -35,6 +37,29 @@ def test_flat_cells_with_line_breaks_and_rows_without_a_name(spark, tmp_path):
     assert sorted(map(repr, files.read_flat(spark, str(tmp_path / "x"), df.schema).collect())) == sorted(map(repr, df.dropna("all").collect()))
 
 
+def test_one_flat_file_is_read_by_many_tasks(spark, tmp_path):
+    rng, want = random.Random(1), []
+    for k, eol in enumerate(("\n", "\r\n")):
+        with open(tmp_path / f"{k}.csv", "w", newline="") as f:
+            w = csv.writer(f, lineterminator=eol)
+            w.writerow(["a", "b"])
+            for i in range(300):
+                t = "".join(rng.choices(["x", ",", '"', "\n", "\r\n", "é", " y"], k=rng.randint(0, 30))).strip()
+                w.writerow([t, i])
+                want.append((t or None, float(i)))
+    schema = schemas._schema("a string, b double")
+    try:
+        for size in ("128m", "2000", "300"):  # with 300 bytes a split, cells lie over several splits
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            df = files.read_flat(spark, str(tmp_path), schema)
+            assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_large_flat_table_keeps_every_row(spark, tmp_path):
     df = spark.range(20000).select(F.format_string("proj%06d", "id").alias("name"), (1000 + F.col("id") % 50).cast("double").alias("unit_price"))
     files.write_flat(df, str(tmp_path / "big"))
