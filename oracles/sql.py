@@ -738,6 +738,72 @@ SELECT doc_id, coalesce(trim({rx('(?:项目名称|工程名称|项目).*?[：:]\
   list_max([try_cast(x AS INTEGER) FOR x IN regexp_extract_all(full_text, '(\\d+)\\s*(?:层|楼)', 1)]) AS floor_count,
   try_cast({rx('地上\\s*(\\d+)\\s*(?:层|楼)')} AS INTEGER) AS above_ground_floors, try_cast({rx('地下\\s*(\\d+)\\s*(?:层|楼)')} AS INTEGER) AS under_ground_floors,
   {patterns('full_text', C.DOCUMENT_DECORATION_PATTERNS)} AS decoration_standard, {patterns('full_text', C.FOUNDATION_PATTERNS)} AS foundation FROM parsed_documents""")
+
+# Labels of table cells with their fields, and characters that look alike
+_LABELS = [("建筑面积", "total_area"), ("总建筑面积", "total_area"), ("建筑总面积", "total_area"), ("占地面积", "land_area"), ("用地面积", "land_area"),
+           ("楼层数", "floor_count"), ("总层数", "floor_count"), ("地上层数", "above_ground_floors"), ("地下层数", "under_ground_floors"),
+           ("建造年份", "build_year"), ("建设年份", "build_year"), ("竣工年份", "build_year"), ("装修标准", "decoration_standard"),
+           ("装修等级", "decoration_standard"), ("所在地区", "location"), ("建设地点", "location"), ("项目地点", "location"),
+           ("结构类型", "structure_type"), ("建筑类型", "building_type"), ("工程类型", "building_type"), ("项目名称", "project_name"), ("工程名称", "project_name")]
+_ALIKE = ["0O", "1l", "1I", "2Z", "5S", "8B", "：:", "，,"]
+
+
+def _near(text: str, label: str) -> str:
+    """All characters of the label but the last stand in the text in order; the state is the number found so far."""
+    alike = ", ".join(lit(p) for a, b in _ALIKE for p in (a + b, b + a))
+    return (f"list_reduce(list_prepend(0, list_transform(string_split({text}, ''), lambda ch: unicode(ch))), lambda n, ch: CASE WHEN n < length({label}) AND "
+            f"(chr(ch) = substr({label}, n + 1, 1) OR (chr(ch) || substr({label}, n + 1, 1)) IN ({alike})) THEN n + 1 ELSE n END) >= length({label}) - 1")
+
+
+VIEWS["document_table"] = f"""
+SELECT p.doc_id, field, nullif(regexp_extract(value, CASE WHEN field IN ('total_area', 'land_area') THEN '(\\d+(?:\\.\\d+)?)' ELSE '(\\d+)' END, 1), '') AS value, r, i
+FROM (
+  SELECT doc_id, r, i, label, field, arg_min(v, j) FILTER (WHERE v IS NOT NULL) AS value FROM (
+    SELECT doc_id, r, i, label, field, j, CASE WHEN {_near('c', 'label')} THEN
+        coalesce(nullif(trim(regexp_extract(c, label || '\\s*[:：]\\s*(.+)', 1)), ''), CASE WHEN nullif(f, '') IS DISTINCT FROM label THEN nullif(f, '') END,
+                 CASE WHEN len(string_split_regex(c, '\\s+')) >= 2 THEN string_split_regex(c, '\\s+')[-1] END) END AS v
+    FROM (SELECT *, cells[j] AS c, coalesce(cells[j + 1], '') AS f FROM (SELECT *, unnest(range(1, len(cells) + 1)) AS j FROM (
+      SELECT doc_id, r, cells, array_to_string(cells, ' ') AS line FROM (
+        SELECT doc_id, unnest([1, 2, 3, 4, 5]) AS r, unnest([['序号', '名称'], ['建筑总面积', CAST(n_chars * 3 AS VARCHAR)], ['楼层数：12', 'x'],
+          [CASE WHEN doc_id % 7 = 0 THEN '建造年' ELSE '建造年份' END, CAST(1990 + doc_id % 40 AS VARCHAR)],
+          ['合计', ['1,234.5万元', '2.5亿元', '987654', '900', '合同 88,000 元'][doc_id % 5 + 1], '12000']]) AS cells FROM documents)),
+      {values([(i, x, f) for i, (x, f) in enumerate(_LABELS)])} l(i, label, field) WHERE {_near('line', 'label')}))) GROUP BY ALL) AS p"""
+VIEWS["text_fields"] = f"""
+SELECT doc_id, coalesce(trim({rx('(?:项目名称|工程名称|项目).*?[：:]\\s*(.+?)(?:\\n|$)')}), 'doc_' || doc_id) AS project_name,
+  {words('full_text', C.DOCUMENT_TYPE_WORDS)} AS building_type, {patterns('full_text', C.STRUCTURE_PATTERNS)} AS structure_type, {_area} AS total_area, {_land} AS land_area,
+  {first('full_text', C.DOCUMENT_CITIES)} AS location, CASE WHEN {_year} BETWEEN 1950 AND 2030 THEN {_year} END AS build_year,
+  list_max([try_cast(x AS INTEGER) FOR x IN regexp_extract_all(full_text, '(\\d+)\\s*(?:层|楼)', 1)]) AS floor_count,
+  try_cast({rx('地上\\s*(\\d+)\\s*(?:层|楼)')} AS INTEGER) AS above_ground_floors, try_cast({rx('地下\\s*(\\d+)\\s*(?:层|楼)')} AS INTEGER) AS under_ground_floors,
+  {patterns('full_text', C.DOCUMENT_DECORATION_PATTERNS)} AS decoration_standard FROM parsed_documents"""
+# of each row of a table the first label whose field the text left empty; no field stands in two rows
+VIEWS["document_facts"] = """
+SELECT t.* REPLACE (coalesce(t.total_area, try_cast(a.m['total_area'][1] AS DOUBLE)) AS total_area, coalesce(t.build_year, try_cast(a.m['build_year'][1] AS INTEGER)) AS build_year,
+    coalesce(t.floor_count, try_cast(a.m['floor_count'][1] AS INTEGER)) AS floor_count), coalesce(a.from_table, '') AS from_table,
+  CASE t.doc_id % 5 WHEN 0 THEN 1234.5::DOUBLE * 1e4 WHEN 1 THEN 2.5::DOUBLE * 1e8 WHEN 2 THEN 987654.0::DOUBLE WHEN 3 THEN 12000.0::DOUBLE ELSE 88000.0::DOUBLE END AS total_cost
+FROM text_fields t LEFT JOIN (
+  SELECT doc_id, MAP_FROM_ENTRIES(list((field, [value]))) AS m, string_agg(field, ',' ORDER BY field) AS from_table FROM (
+    SELECT d.doc_id, r, arg_min(field, i) AS field, arg_min(value, i) AS value FROM document_table d JOIN text_fields t USING (doc_id)
+    WHERE value IS NOT NULL AND CASE field WHEN 'total_area' THEN t.total_area IS NULL WHEN 'land_area' THEN t.land_area IS NULL WHEN 'floor_count' THEN t.floor_count IS NULL
+      WHEN 'build_year' THEN t.build_year IS NULL ELSE false END GROUP BY 1, 2) GROUP BY 1) a ON a.doc_id = t.doc_id"""
+NEEDS["document_facts"] = ["parsed_documents", "document_table", "text_fields"]
+_unit = rnd("total_cost / total_area", 2)
+_unit = f"CASE WHEN total_area > 0 THEN {_unit} END"
+_complete = "((building_type IS NOT NULL)::INT + (total_area IS NOT NULL)::INT + (structure_type IS NOT NULL)::INT + (location IS NOT NULL)::INT) / 4.0::DOUBLE"
+add("table_fields", "document_facts", "SELECT doc_id, total_area, build_year, floor_count, from_table FROM document_facts")
+_known = ["above_ground_floors", "build_year", "building_type", "decoration_standard", "floor_count", "land_area", "location", "structure_type", "total_area"]
+add("document_confidence", "document_facts", f"""
+SELECT doc_id, array_to_string(list_sort(list_concat([x FOR x IN [{', '.join(f"CASE WHEN {c} IS NOT NULL THEN '{c}' END" for c in [*_known, 'under_ground_floors'])}] IF x IS NOT NULL],
+  ['total_cost'], CASE WHEN total_area > 0 THEN ['unit_price'] ELSE [] END, CASE WHEN contains(from_table, 'project_name') THEN ['project_name'] ELSE [] END)), ',') AS known,
+  {rnd(_complete, 4)} AS completeness FROM document_facts""")
+add("document_context", "document_facts", f"""
+SELECT doc_id, concat_ws(chr(10), '文件: ' || filename, '格式: .pdf | 页数: ' || (n_chars // 2000 + 1) || ' | 扫描件: ' || CASE WHEN n_chars < 50 THEN '是' ELSE '否' END,
+  '项目名称: ' || project_name, '建筑类型: ' || building_type, '结构类型: ' || structure_type,
+  '总建筑面积: ' || nullif(CAST(round(CAST(total_area AS DECIMAL(24,4)), 0) AS BIGINT), 0), '楼层数: ' || floor_count,
+  CASE WHEN above_ground_floors IS NOT NULL OR under_ground_floors IS NOT NULL THEN '   (地上 ' || coalesce(CAST(above_ground_floors AS VARCHAR), '?') || ' 层, 地下 ' || coalesce(CAST(under_ground_floors AS VARCHAR), '?') || ' 层)' END,
+  '所在地区: ' || location, '建造年份: ' || build_year, '装修标准: ' || decoration_standard, '项目总造价: ' || CAST(total_cost AS DECIMAL(24,2)),
+  '单方造价: ' || CAST({_unit} AS DECIMAL(24,2)), '特征完整度: ' || CAST({_complete} * 100 AS INTEGER) || '%',
+  CASE WHEN full_text <> '' THEN '文档摘要: ' || replace(full_text, chr(10), ' ') END, CASE WHEN doc_id % 10 = 0 THEN '解析警告: 出错: 第1页' END) AS context
+FROM document_facts JOIN parsed_documents USING (doc_id)""")
 add("cost_value_parse", "parsed_documents", f"""
 SELECT doc_id, cost AS total_cost, CASE WHEN area > 0 THEN {rnd('cost / area', 2)} END AS unit_price FROM (
   SELECT doc_id, {_area} AS area, CASE doc_id % 5 WHEN 0 THEN 1234.5::DOUBLE * 1e4 WHEN 1 THEN 2.5::DOUBLE * 1e8 WHEN 2 THEN 987654.0::DOUBLE WHEN 3 THEN 12000.0::DOUBLE ELSE 88000.0::DOUBLE END AS cost

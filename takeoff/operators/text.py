@@ -93,17 +93,62 @@ def fuzzy_contains(text: Column, word: Column) -> Column:
     return text.contains(word) | in_order
 
 
-def value_after(row: Column, label: Column) -> Column:
-    """Value next to a label: behind a colon in its cell, else the next cell, else the last word of its cell."""
+class LabelScan:
+    """All labels matched at once, with one missing last character allowed: a bit for each label and number of characters found.
+
+    A text is gone through once; each character moves the bits that wait for it, look-alikes counting as equal. The bits of all
+    labels lie in a few whole numbers, so the cost doesn't grow with the labels until a number is full.
+    """
+
+    BITS = 62
+
+    def __init__(self, labels: list[tuple[str, str]]):
+        alike: dict[str, set[str]] = {}
+        for a, b in C.OCR_PAIRS:
+            alike.setdefault(a, set()).add(b)
+            alike.setdefault(b, set()).add(a)
+        self.start, self.masks, self.entries, used = [0], {}, [], 0
+        for label, field in labels:
+            if used + len(label) + 1 > self.BITS:
+                self.start.append(0)
+                used = 0
+            word = len(self.start) - 1
+            self.start[word] |= 1 << used
+            for i, ch in enumerate(label):
+                for c in {ch} | alike.get(ch, set()):
+                    self.masks.setdefault(c, {}).setdefault(word, 0)
+                    self.masks[c][word] |= 1 << (used + i)
+            self.entries.append((label, field, word, 3 << (used + len(label) - 1)))
+            used += len(label) + 1
+
+    def labels(self) -> Column:
+        """label, field, and where the bits stand that tell of a match."""
+        return F.array(*[F.struct(F.lit(x).alias("label"), F.lit(f).alias("field"), F.lit(w).alias("word"), F.lit(bits).cast("bigint").alias("bits")) for x, f, w, bits in self.entries])
+
+    def states(self, text: Column) -> Column:
+        n = len(self.start)
+        whole = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
+        moves = F.create_map(*[x for c, m in self.masks.items() for x in (F.lit(c), whole(m.get(w, 0) for w in range(n)))])
+        move = lambda s, m: (s.bitwiseAND(F.bitwise_not(m))).bitwiseOR(F.shiftleft(s.bitwiseAND(m), 1))
+        step = lambda state, ch: F.coalesce(F.zip_with(state, F.try_element_at(moves, ch), move), state)
+        return F.aggregate(F.split(text, ""), whole(self.start), step)
+
+    @staticmethod
+    def told(states: Column, label: Column) -> Column:
+        return F.get(states, label["word"]).bitwiseAND(label["bits"]) != 0
+
+
+def value_after(row: Column, states: Column, label: Column) -> Column:
+    """Value next to a label: behind a colon in its cell, else the next cell, else the last word of its cell; `states` of each cell."""
     def at(i: Column) -> Column:
         c = strip(F.coalesce(F.get(row, i), F.lit("")))
         behind = strip(F.nullif(F.call_function(
-            "regexp_extract", c, F.concat(label, F.lit("\\s*[:：]\\s*(.+)")), F.lit(1)), F.lit("")))
+            "regexp_extract", c, F.concat(label["label"], F.lit("\\s*[:：]\\s*(.+)")), F.lit(1)), F.lit("")))
         following = F.nullif(strip(F.coalesce(F.get(row, i + 1), F.lit(""))), F.lit(""))
         words = F.split(c, "\\s+")
         last = F.when(F.size(words) >= 2, F.get(words, F.size(words) - 1))
-        return F.when(fuzzy_contains(c, label), F.coalesce(
-            behind, F.when(~following.eqNullSafe(label), following), last))
+        return F.when(LabelScan.told(F.get(states, i), label), F.coalesce(
+            behind, F.when(~following.eqNullSafe(label["label"]), following), last))
 
     values = F.transform(F.sequence(F.lit(0), F.size(row) - 1), at)
     return F.get(F.filter(values, lambda v: v.isNotNull()), 0)
@@ -136,14 +181,19 @@ def table_features(df: DataFrame, tables: str = "tables") -> DataFrame:
     Candidates are listed per row in label order; folding over the rows, the
     first candidate of a row whose field is still empty is taken.
     """
-    labels = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f).alias("field")) for label, f in C.TABLE_LABELS])
+    scan = LabelScan(C.TABLE_LABELS)
     rows = F.filter(table_rows(F.col(tables)), lambda r: F.size(r) >= 2)
 
+    def scanned(row: Column) -> Column:
+        """The row's cells with the scan's states of each and of the whole line."""
+        cells = F.transform(row, lambda c: strip(F.coalesce(c, F.lit(""))))
+        line = F.array_join(F.filter(cells, lambda c: c != ""), " ")
+        return F.struct(row.alias("cells"), F.transform(cells, scan.states).alias("states"), scan.states(line).alias("whole"))
+
     def candidates(row: Column) -> Column:
-        line = F.array_join(F.filter(F.transform(row, lambda c: strip(F.coalesce(c, F.lit("")))), lambda c: c != ""), " ")
-        near = F.filter(labels, lambda x: fuzzy_contains(line, x["label"]))
+        near = F.filter(scan.labels(), lambda x: scan.told(row["whole"], x))
         read = F.transform(near, lambda x: F.struct(
-            x["field"].alias("field"), parse_value(x["field"], value_after(row, x["label"])).alias("value")))
+            x["field"].alias("field"), parse_value(x["field"], value_after(row["cells"], row["states"], x)).alias("value")))
         return F.filter(read, lambda x: x["value"].isNotNull())
 
     given = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in FIELDS]))
@@ -154,7 +204,7 @@ def table_features(df: DataFrame, tables: str = "tables") -> DataFrame:
                         & ~F.array_contains(F.col("_given"), x["field"]))
         return F.concat(acc, F.slice(free, 1, 1))
 
-    taken = F.aggregate(F.transform(rows, candidates), empty, fold)
+    taken = F.aggregate(F.transform(F.transform(rows, scanned), candidates), empty, fold)
     out = df.withColumn("_given", given).withColumn("_taken", F.coalesce(taken, empty)).withColumn(
         "_map", F.map_from_arrays(F.transform("_taken", lambda x: x["field"]), F.transform("_taken", lambda x: x["value"])))
     kinds = dict(df.dtypes)

@@ -239,7 +239,7 @@ def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.when(d % 3 == 0, "2018年"))
     s = lambda *xs: F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])
     tables = F.array(F.array(s("序号", "名称"), s("建筑总面积", (n * 3).cast("string")), s("楼层数：12", "x")),
-                     F.array(s("建造年份", (1990 + d % 40).cast("string")), s("合计", pick(COST_CELLS, d), "12000")))
+                     F.array(s(F.when(d % 7 == 0, "建造年").otherwise("建造年份"), (1990 + d % 40).cast("string")), s("合计", pick(COST_CELLS, d), "12000")))
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc_"), d.cast("string"), F.lit(".pdf")).alias("filename"), F.lit(".pdf").alias("file_format"),
         text.alias("full_text"), tables.alias("tables"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"),

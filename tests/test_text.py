@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from takeoff import constants as C
 from takeoff import schemas
 from takeoff.operators import conversations, quality, text
 
@@ -103,3 +106,18 @@ def test_sessions(spark):
     kept = sorted((r.session_id, r.turn) for r in conversations.retain(df, sessions=2, per_session=2).collect())
     assert kept == [(2, 3), (2, 4), (3, 3), (3, 4)]
     assert [r.seq for r in conversations.last_messages(df, 2).collect()] == [303, 304]
+
+
+def test_label_scan_equals_one_label_after_another(spark):
+    """Any texts over the labels' own characters, look-alikes among them: the bits of all labels tell what each label alone does."""
+    rng = random.Random(4)
+    labels = [*C.TABLE_LABELS, ("楼1O", "x"), ("：年", "y")]
+    chars = sorted({c for x, _ in labels for c in x} | set("0OlI1：: x"))
+    texts = ["".join(rng.choices(chars, k=rng.randint(0, 12))) for _ in range(60)]
+    texts += [x[:-1] for x, _ in labels] + [x[1:] for x, _ in labels] + ["--".join(x) for x, _ in labels]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    scan = text.LabelScan(labels)
+    assert len(scan.start) > 1
+    told = F.transform(F.filter(scan.labels(), lambda x: scan.told(scan.states(F.col("t")), x)), lambda x: x["label"])
+    single = F.array_compact(F.array(*[F.when(text.fuzzy_contains(F.col("t"), F.lit(x)), F.lit(x)) for x, _ in labels]))
+    assert df.where(~told.eqNullSafe(single)).count() == 0 and df.where(F.size(told) > 0).count() > 60
