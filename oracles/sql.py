@@ -874,8 +874,15 @@ add("residual_stats", "", f"""
 SELECT count(r) AS n, {rnd('CAST(sum(CAST(r AS DECIMAL(18,6))) AS DOUBLE) / count(r)', 4)} AS residual_mean, {rnd('stddev_pop(r)', 4)} AS residual_std,
   {rnd('quantile_cont(r, 0.1)', 4)} AS residual_p10, {rnd('quantile_cont(r, 0.9)', 4)} AS residual_p90 FROM (SELECT l_extendedprice - l_quantity * 1500 AS r FROM lineitem)""")
 add("fold_metrics", "", f"""
-SELECT 0 AS repeat, CAST(l_orderkey % 5 AS INTEGER) AS fold, count(*) AS n, {rnd('1 - sum(e * e) / (var_pop(l_extendedprice) * count(*))', 6)} AS r2, {rnd('avg(abs(e))', 4)} AS mae
+SELECT 0 AS repeat, CAST(l_orderkey % 5 AS INTEGER) AS fold, count(*) AS n, {rnd('1 - sum(e * e) / (var_pop(l_extendedprice) * count(*))', 6)} AS r2, {rnd('avg(abs(e))', 4)} AS mae,
+  {rnd('avg(abs(e) / nullif(abs(l_extendedprice), 0))', 6)} AS mape
 FROM (SELECT *, l_extendedprice - l_quantity * 1500 AS e FROM lineitem) GROUP BY 2""")
+add("residual_stats_by_group", "", f"""
+SELECT l_returnflag, fold, count(r) AS n, {rnd('CAST(sum(CAST(r AS DECIMAL(18,6))) AS DOUBLE) / count(r)', 4)} AS residual_mean, {rnd('stddev_pop(r)', 4)} AS residual_std,
+  {rnd('quantile_cont(r, 0.1)', 4)} AS residual_p10, {rnd('quantile_cont(r, 0.9)', 4)} AS residual_p90
+FROM (SELECT l_returnflag, nullif(l_linenumber % 4, 0) AS fold, l_extendedprice - l_quantity * 1500 AS r FROM lineitem) GROUP BY 1, 2""")
+add("exact_folds", "", " UNION ALL ".join(f"""
+SELECT o_orderkey, CAST({r} AS INTEGER) AS repeat, CAST((row_number() OVER (ORDER BY CAST('0x' || substr(md5('{42 + r}|' || o_orderkey), 1, 15) AS BIGINT)) - 1) % 5 AS INTEGER) AS fold FROM orders""" for r in (0, 1)))
 add("accuracy_gate", "predictions", "SELECT model_id, accuracy >= 30 AS is_trained, accuracy >= 50 AS in_interval, count(*) AS n FROM predictions GROUP BY 1, 2, 3")
 add("model_status", "predictions", f"""
 SELECT model_id, layer, target, listed_accuracy, train_rows, train_rows IS NOT NULL AS fitted FROM {values(C.MODEL_REGISTRY)} t(model_id, layer, target, listed_accuracy)

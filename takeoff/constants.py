@@ -402,6 +402,7 @@ STAGE_MODELS = [
     ("budget", ["total_pso_svr", "unit_gbt", "section_xgb", "subsection_xgb", "item_xgb", "indicator_rf", "boq_xgb",
                 "boq_lr_v2"]),
 ]
+SMALL_TABLE_ROWS, SMALL_TABLE_REPEATS = 100, 10
 MIN_ACCURACY = 30.0
 INTERVAL_ACCURACY = 50.0
 

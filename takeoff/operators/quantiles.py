@@ -8,10 +8,14 @@ seven rounds find any value, however far the values lie apart.
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from takeoff.session import checkpoint_folder
+
 BINS = 4096
+#: Size of a group's sketch; a bracket around a wanted rank then holds about a thousandth of the group.
+SKETCH_SIZE, RANK_MARGIN = 4096, 0.0015
 
 
 def exact_quantiles(df: DataFrame, col: Column, probs: list[float]) -> list[float | None]:
@@ -39,6 +43,52 @@ def exact_quantiles(df: DataFrame, col: Column, probs: list[float]) -> list[floa
     return out
 
 
+def grouped_quantiles(df: DataFrame, keys: list[str], col: Column, probs: list[float], margin: float = RANK_MARGIN) -> DataFrame:
+    """Exact interpolated quantiles of every group: keys, n and q0, q1, ...; nulls and NaN are left out.
+
+    One pass makes a mergeable sketch of each group, which gives a bracket of values around every wanted rank. A second one
+    counts what lies below each bracket and each value inside of it, and so settles the exact values of all groups at once. A bracket
+    that misses its rank (the sketch's bounds hold with a probability) is the group's whole range in one more pass.
+    """
+    v = F.col("_v")
+    rows = df.select(*keys, col.cast("double").alias("_v")).where(v.isNotNull() & ~F.isnan(v))
+    sketched = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.kll_sketch_agg_double("_v", SKETCH_SIZE).alias("_s"))
+    whole = F.col("n") * margin < 1  # a bracket of a small group is all of it
+
+    def edge(p: float, d: float) -> Column:
+        return F.when(whole, F.col("_min" if d <= 0 else "_max")).otherwise(F.kll_sketch_get_quantile_double("_s", F.lit(min(max(p + d, 0.0), 1.0))))
+
+    place = lambda p, up: F.least(F.floor((F.col("n") - 1) * F.lit(p)).cast("bigint") + up, F.col("n") - 1)
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), place(p, up).alias("rank"), F.lit(bool(up)).alias("upper"), edge(p, -margin).alias("lo"), edge(p, margin).alias("hi"))
+                       for i, p in enumerate(probs) for up in (0, 1)])
+    brackets = sketched.select(*keys, "n", "_min", "_max", F.explode(wanted).alias("w")).select(*keys, "n", "_min", "_max", "w.*")
+    checkpoint_folder(df.sparkSession)
+    brackets = brackets.checkpoint()  # sketches differ from run to run
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+
+    def settle(b: DataFrame) -> DataFrame:
+        """value of each bracket's rank, null where the bracket misses it."""
+        lo_hi = F.array_sort(F.collect_set(F.struct("lo", "hi")))
+        spans = b.groupBy(*keys).agg(lo_hi.alias("spans"))
+        near = rows.alias("r").join(spans.alias("b"), same).select(*[F.col(f"r.{k}").alias(k) for k in keys], "_v", F.explode("spans").alias("span"))
+        counted = near.where(v <= F.col("span.hi")).groupBy(*keys, "span", F.when(v >= F.col("span.lo"), v).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+        upto = F.sum("c").over(Window.partitionBy(*keys, "span").orderBy(F.col("value").asc_nulls_first()))
+        ranked = counted.withColumn("upto", upto)
+        on = [F.col(f"k.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys] + [F.col("k.span") == F.struct(F.col("w.lo"), F.col("w.hi")), F.col("k.upto") > F.col("w.rank"), F.col("k.upto") - F.col("k.c") <= F.col("w.rank")]
+        return b.alias("w").join(ranked.alias("k"), on, "left").select("w.*", F.col("k.value").alias("value"))
+
+    first = settle(brackets).checkpoint()
+    all_found = first.where("value is not null")
+    missed = first.where("value is null").drop("value").withColumns({"lo": F.col("_min"), "hi": F.col("_max")})
+    if not missed.isEmpty():
+        all_found = all_found.union(settle(missed))
+    ends = all_found.groupBy(*keys, "n", "i").agg(F.max(F.when(~F.col("upper"), F.col("value"))).alias("a"), F.max(F.when(F.col("upper"), F.col("value"))).alias("b"))
+    part = F.get(F.array(*map(F.lit, probs)), F.col("i")) * (F.col("n") - 1)
+    part = part - F.floor(part)
+    value = F.when((F.col("a") == F.col("b")) | (part == 0), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * part)
+    return ends.withColumn("q", value).groupBy(*keys, "n").agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(probs))])
+
+
 def _magnitude(v: float) -> float:
     return 0.0 if v == 0 else math.copysign(math.log2(abs(v)) + 1080, v)
 

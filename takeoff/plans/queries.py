@@ -1034,13 +1034,29 @@ def residual_stats(spark, sf):
     return ml.residual_stats(items, "actual", "predicted")
 
 
+@query
+def residual_stats_by_group(spark, sf):
+    """Residual statistics of every return flag and ship mode, as of models, folds and targets."""
+    items = S.table(spark, sf, "lineitem").select("l_returnflag", F.nullif(F.col("l_linenumber") % 4, F.lit(0)).alias("fold"), F.col("l_extendedprice").alias("actual"), (F.col("l_quantity") * 1500).alias("predicted"))
+    return ml.grouped_residual_stats(items, ["l_returnflag", "fold"], "actual", "predicted")
+
+
+@query
+def exact_folds(spark, sf):
+    """Two draws of five folds over all orders."""
+    orders = S.table(spark, sf, "orders").select("o_orderkey")
+    draws = [ml.with_folds(orders, "o_orderkey", 5, r).select("o_orderkey", F.lit(r).alias("repeat"), "fold") for r in (0, 1)]
+    return draws[0].union(draws[1])
+
+
 @query
 def fold_metrics(spark, sf):
     """R² and error per fold of a price guess against the real amounts."""
     items = S.table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") % 5).cast("int").alias("fold"), F.lit(0).alias("repeat"), F.col("l_extendedprice").alias("label"),
         (F.col("l_quantity") * 1500).alias("prediction"))
-    return ml.fold_metrics(items).select("repeat", "fold", "n", round_half(F.col("r2"), 6).alias("r2"), round_half(F.col("mae"), 4).alias("mae"))
+    return ml.fold_metrics(items).select("repeat", "fold", "n", round_half(F.col("r2"), 6).alias("r2"), round_half(F.col("mae"), 4).alias("mae"),
+                                         round_half(F.col("mape"), 6).alias("mape"))
 
 
 @query

@@ -50,3 +50,21 @@ def test_fill_down(spark):
     df = spark.createDataFrame([("s", 1, "土石方工程"), ("s", 2, None), ("s", 3, ""), ("t", 1, "")], "s string, n int, name string")
     got = [(r.s, r.n, r.name) for r in ordered.fill_down(df, ["s"], "n", "name", chunk=2).orderBy("s", "n").collect()]
     assert got == [("s", 1, "土石方工程"), ("s", 2, "土石方工程"), ("s", 3, "土石方工程"), ("t", 1, None)]
+
+
+def test_grouped_quantiles_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g, values in (("a", rng.normal(0, 1e6, 9000)), ("b", rng.integers(0, 3, 500)), ("c", [1.5]), ("d", [2.0, 7.0]), (None, rng.exponential(1, 700))) for v in values]
+    rows += [("a", None), ("e", None), ("b", float("nan")), ("f", float("inf")), ("f", 1.0), ("f", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    for margin in (quantiles.RANK_MARGIN, 0.0):  # without a margin many brackets miss and are mended
+        got = {r["g"]: r for r in quantiles.grouped_quantiles(df, ["g"], F.col("v"), probs, margin).collect()}
+        assert set(got) == {"a", "b", "c", "d", None, "f"}
+        for g, r in got.items():
+            values = np.array([v for k, v in rows if k == g and v is not None and not np.isnan(v)])
+            assert r["n"] == len(values)
+            if g != "f":
+                assert np.allclose([r[f"q{i}"] for i in range(5)], np.quantile(values, probs), rtol=1e-12)
+            else:
+                assert [r["q0"], r["q2"], r["q4"]] == [1.0, 2.0, np.inf]
