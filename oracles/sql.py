@@ -320,6 +320,11 @@ SELECT CASE WHEN g = 'A' AND c = 'high' THEN 1.0::DOUBLE WHEN g = 'B' AND c = 'm
     l_extendedprice / l_quantity < 500 OR l_extendedprice / l_quantity > 50000 OR l_quantity - 1 <= 0 OR l_extendedprice <= 0 AS bad FROM lineitem) GROUP BY 1, 2""")
 add("history_round_trip", "", "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")
 add("flat_round_trip", "", "SELECT o_orderkey, 'a \"' || o_orderstatus || '\", b' || chr(10) || o_custkey AS note, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")
+add("batch_with_failures", "", """
+WITH f AS (SELECT o_orderkey // 2000 AS part, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS k FROM orders GROUP BY 1),
+ t AS (SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS keys FROM f WHERE part % 5 <> 3)
+SELECT CAST(1 AS INTEGER) AS run, reason, files, rows, n, keys FROM (
+  SELECT CASE WHEN part % 5 = 3 THEN 'json' END AS reason, count(*) AS files, CAST(sum(CASE WHEN part % 5 = 3 THEN 0 ELSE f.n END) AS BIGINT) AS rows FROM f GROUP BY 1), t""")
 add("grade_weights", "project_meta", """
 SELECT grade, label, CASE WHEN grade = 'A' THEN 'A' WHEN grade = 'B' THEN 'B' ELSE 'C' END AS mapped,
   CASE grade WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS weight,
@@ -477,6 +482,10 @@ WITH p AS (SELECT c_custkey AS project_id, CASE WHEN c_custkey % 11 = 0 THEN '
  m AS (SELECT project_id, min({{'folder': folder, 'file': file}}) AS m FROM pt, ft WHERE len(pt.w) > 0 AND len(ft.w) > 0 AND (
   len(list_intersect(pt.w, ft.w)) >= least(2, len(pt.w)) OR (len(pt.w) <= 3 AND len([x FOR x IN pt.w IF length(x) >= 4 AND contains(folder, x)]) > 0)) GROUP BY 1)
 SELECT project_id, m.folder AS folder, m.file AS file FROM p LEFT JOIN m USING (project_id)""")
+add("dictionary_lookup", "", f"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{4,}}')) AS word FROM benchmark), c AS (SELECT word, CAST('0x' || substr(md5(word), 1, 7) AS BIGINT) % 1000 AS crc FROM w),
+ d AS (SELECT doc_id, max(text) AS text FROM documents GROUP BY 1)
+SELECT doc_id, min({{'s': crc, 'w': word}}).w AS first, min({{'l': -length(word), 's': crc, 'w': word}}).w AS longest FROM d JOIN c ON contains(text, word) GROUP BY 1""")
 add("file_match", "", f"""
 WITH p AS (SELECT c_custkey AS project_id, {pick(S.NAME_WORDS, 'c_custkey')} || (c_custkey % 12) AS name, 'f' || (c_custkey * 3) || '.xlsx' AS source_file FROM customer),
  f AS (SELECT s_suppkey || '.' || {pick(S.NAME_WORDS, 's_suppkey')} || (s_suppkey % 12) || '号' AS folder, 'f' || s_suppkey || '.xlsx' AS file FROM supplier),

@@ -44,6 +44,40 @@ def first_containing(names: DataFrame, texts: DataFrame, value: Column, q: int =
     return keyed.join(offered, "gram").where(F.contains("text", "name")).groupBy("name").agg(F.min("value").alias("first"))
 
 
+#: Dictionaries of so many words are broadcast, larger ones meet the texts by a shuffle.
+BROADCAST_WORDS = 200_000
+#: Characters of a text in which words of a dictionary are looked for at a time.
+STRETCH = 256
+
+
+def dictionary_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame, q: int = 4) -> DataFrame:
+    """(key, word, place, seq) of every word of a dictionary at every place of a text; dictionary: word, seq.
+
+    The dictionary is a table, so a plan doesn't grow with it. A text offers its runs of `q` characters, and of fewer where the
+    dictionary has shorter words; words wait under the run that they begin with, and what follows is compared.
+    """
+    known = dictionary.where(F.length("word") > 0)
+    sizes, longest = known.agg(F.array_sort(F.collect_set(F.least(F.length("word"), F.lit(q)))), F.coalesce(F.max(F.length("word")), F.lit(1))).first()  # q sizes at most
+    words = known.select("word", "seq", F.substring("word", 1, q).alias("head"))
+    words = F.broadcast(words) if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else words
+    # stretches of a text, each with what a word that begins in it needs: places in a short text are found at once
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(STRETCH)))
+    parts = texts.select(key, F.col(text).alias("_t"), F.explode(starts).alias("_start")).select(key, "_start", F.substr("_t", F.col("_start"), F.lit(STRETCH + longest)).alias("_part"))
+    part = F.col("_part")
+    runs = lambda size: F.transform(F.sequence(F.lit(1), F.least(F.length(part) - (size - 1), F.lit(STRETCH))), lambda i: F.struct(i.alias("at"), F.substr(part, i, F.lit(size)).alias("head")))
+    none = F.array().cast("array<struct<at: int, head: string>>")
+    offered = F.concat(*[F.when(F.length(part) >= size, runs(size)).otherwise(none) for size in sizes or [q]])
+    each = parts.select(key, "_start", "_part", F.explode(offered).alias("r")).select(key, "_start", "_part", "r.at", "r.head")
+    hits = each.join(words, "head").where(F.substr("_part", F.col("at"), F.length("word")) == F.col("word"))
+    return hits.select(key, "word", (F.col("_start") + F.col("at") - 1).alias("place"), "seq")
+
+
+def dictionary_match(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """Per text that holds a word: key, first (the word with the lowest seq) and longest (of equal length the lowest seq)."""
+    hits = dictionary_hits(texts, key, text, dictionary)
+    return hits.groupBy(key).agg(F.min_by("word", F.struct("seq", "word")).alias("first"), F.min_by("word", F.struct(-F.length("word"), "seq", "word")).alias("longest"))
+
+
 def _first_folder(folders: DataFrame, keys: Column) -> DataFrame:
     """Key -> first folder (by name) that has the key; one row a key, combined before the shuffle."""
     return folders.select("folder", F.explode(keys).alias("k")).groupBy("k").agg(F.min("folder").alias("folder"))

@@ -13,7 +13,7 @@ from takeoff.operators import (conversations, estimate, matching, ml, ordered, p
                                training_set)
 from takeoff.plans import standins as S
 from takeoff.session import checkpoint_folder, configure
-from takeoff.sources import files, tables
+from takeoff.sources import batches, files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -175,6 +175,20 @@ def flat_round_trip(spark, sf):
     return files.read_flat(spark, folder, orders.schema)
 
 
+@query
+def batch_with_failures(spark, sf):
+    """Record files, every fifth of them cut off, read twice with one ledger; the second time there is nothing to read."""
+    folder, ledger, out = _fresh(spark, "in"), _fresh(spark, "ledger"), _fresh(spark, "out")
+    orders = S.table(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 2000).alias("part"), F.struct("o_orderkey", "o_totalprice").alias("r"))
+    text = F.to_json(F.collect_list("r"))
+    cut = F.when(F.col("part") % 5 == 3, F.concat(F.col("text"), F.lit(","))).otherwise(F.col("text"))
+    orders.groupBy("part").agg(text.alias("text")).select(cut.alias("value"), "part").write.partitionBy("part").text(folder)
+    schema = orders.schema["r"].dataType
+    runs = [batches.batch_outcome(batches.load_batch(spark, folder, ledger, out, schema)).select(F.lit(i).alias("run"), "*") for i in (1, 2)]
+    total = spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+    return runs[0].union(runs[1]).crossJoin(F.broadcast(total))
+
+
 @query
 def grade_weights(spark, sf):
     p = S.project_meta(spark, sf, False, False)
@@ -539,6 +553,15 @@ def fuzzy_name_match(spark, sf):
     return matching.match_folders(projects, listed).select("project_id", "folder", "file")
 
 
+@query
+def dictionary_lookup(spark, sf):
+    """First and longest word of the benchmark's vocabulary in every document."""
+    words = S.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("word")).distinct()
+    dictionary = words.withColumn("seq", F.conv(F.substring(F.md5("word"), 1, 7), 16, 10).cast("bigint") % 1000)
+    docs = S.table(spark, sf, "documents").groupBy("doc_id").agg(F.max("text").alias("text"))
+    return matching.dictionary_match(docs, "doc_id", "text", dictionary)
+
+
 @query
 def file_match(spark, sf):
     k, s = F.col("c_custkey"), F.col("s_suppkey")

@@ -90,12 +90,12 @@ def read_sources(sources: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def admit_files(files: DataFrame, path: Column, size: Column) -> DataFrame:
+def admit_files(files: DataFrame, path: Column, size: Column, extensions: list[str] = C.ALLOWED_EXTENSIONS) -> DataFrame:
     """Reason why a listed file is not accepted, null for accepted files."""
     ext = names.extension(path)
     return files.withColumn("extension", ext).withColumn(
         "rejected",
-        rules.chain([(~ext.isin(C.ALLOWED_EXTENSIONS), F.lit("extension")),
+        rules.chain([(~ext.isin(extensions), F.lit("extension")),
                      (size > C.MAX_FILE_BYTES, F.lit("size"))]),
     )
 

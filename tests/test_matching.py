@@ -94,3 +94,20 @@ def test_two_stage_file_match(spark):
     files = spark.createDataFrame([("02.乙楼", "a.xlsx"), ("01.甲楼项目", "c.xlsx"), ("01.甲楼项目", "b.xlsx")], "folder string, file string")
     got = {r.project_id: (r.folder, r.file, r.matched_by) for r in matching.match_files(projects, files).collect()}
     assert got == {1: ("02.乙楼", "a.xlsx", "file_name"), 2: ("01.甲楼项目", "b.xlsx", "folder_name"), 3: (None, None, "none")}
+
+
+def test_a_large_dictionary_is_a_table(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh甲乙") for _ in range(n))
+    words = sorted({word(rnd.randint(1, 9)) for _ in range(160_000)})
+    assert len(words) > 90_000
+    texts = ["", "x", None] + [word(rnd.randint(1, 80)) for _ in range(40)]
+    t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    made = [spark.createDataFrame([(w, (i * 7919) % len(words)) for i, w in enumerate(ws)], "word string, seq long") for ws in (sorted(words, key=len)[:5] + words[-40:], words)]
+    plans = [matching.dictionary_match(t, "id", "text", d)._jdf.queryExecution().optimizedPlan().toString().count("\n") for d in made]
+    assert plans[0] == plans[1]
+    seq = {w: (i * 7919) % len(words) for i, w in enumerate(words)}
+    got = {r["id"]: (r["first"], r["longest"]) for r in matching.dictionary_match(t, "id", "text", made[1]).collect()}
+    for i, x in enumerate(texts):
+        inside = {x[a:b] for a in range(len(x or "")) for b in range(a + 1, min(len(x), a + 9) + 1)} & seq.keys() if x else set()
+        assert got.get(i) == ((min(inside, key=lambda w: (seq[w], w)), min(inside, key=lambda w: (-len(w), seq[w], w))) if inside else None)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from takeoff import schemas
 from takeoff.operators import ordered, quality, training_set
-from takeoff.sources import files, tables
+from takeoff.sources import batches, files, tables
 
 
 def ids(df, c="project_id"):
@@ -60,6 +60,25 @@ def test_one_flat_file_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_a_bad_file_is_a_reason_and_read_files_are_known(spark, tmp_path):
+    folder, where = tmp_path / "in", [str(tmp_path / x) for x in ("ledger", "out")]
+    (folder / "sub").mkdir(parents=True)
+    (folder / "a.json").write_text('[{"id": 1, "name": "甲"}, {"id": 2}]')
+    (folder / "sub" / "b.json").write_text('[{"id": 3')
+    (folder / "c.json").write_bytes(b'[{"id": 4, "name": "\xff\xfe"}]')
+    (folder / "d.json").write_text("[]")
+    (folder / "e.exe").write_text("[]")
+    (folder / "f.json").write_text('[{"id": "no number", "name": "n"}]')
+    schema = schemas.T.StructType.fromDDL("id bigint, name string")
+    told = lambda df: {r["path"].rsplit("/", 1)[1]: (r["reason"], r["rows"]) for r in df.collect()}
+    first = batches.load_batch(spark, str(folder), *where, schema)
+    assert told(first) == {"a.json": (None, 2), "b.json": ("json", 0), "c.json": ("encoding", 0), "d.json": ("empty", 0), "e.exe": ("extension", 0), "f.json": (None, 1)}
+    assert batches.load_batch(spark, str(folder), *where, schema).count() == 0
+    (folder / "sub" / "b.json").write_text('[{"id": 3}]')
+    assert told(batches.load_batch(spark, str(folder), *where, schema)) == {"b.json": (None, 1)}
+    assert sorted(map(repr, spark.read.parquet(where[1]).collect())) == sorted(map(repr, spark.createDataFrame([(1, "甲"), (2, None), (3, None), (None, "n")], schema).collect()))
+
+
 def test_large_flat_table_keeps_every_row(spark, tmp_path):
     df = spark.range(20000).select(F.format_string("proj%06d", "id").alias("name"), (1000 + F.col("id") % 50).cast("double").alias("unit_price"))
     files.write_flat(df, str(tmp_path / "big"))
