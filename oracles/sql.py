@@ -464,7 +464,8 @@ SELECT project_id, CAST(CASE project_id % 4 WHEN 0 THEN greatest(project_id % 30
 add("date_rules", "", """
 SELECT strftime(o_orderdate, '%G-W%V') AS iso_week, CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start,
   try_cast(year(o_orderdate) || '-02-29' AS DATE) IS NOT NULL AS leap, count(*) AS n FROM orders GROUP BY 1, 2, 3""")
-add("text_equality", "", "SELECT lower(p_type) = lower(upper(p_type)) AS same, count(*) AS n, max(p_name) AS last_name FROM part GROUP BY 1")
+add("text_equality", "", "SELECT lower(p_type) = lower(upper(p_type)) AS same, count(*) AS n, max(p_name) AS last_name, "
+    f"max({pick(S.PLACES, 'p_partkey')}) AS last_place, min(nullif({pick(S.PLACES, 'p_partkey')}, '')) AS first_place FROM part GROUP BY 1")
 add("building_lists", "project_meta", """
 SELECT project_id, CASE WHEN n BETWEEN 2 AND 3 THEN greatest(a, b) WHEN n = 4 THEN greatest(a, b, c) END AS max_floor,
   CASE WHEN n BETWEEN 2 AND 3 THEN least(a, b) WHEN n = 4 THEN least(a, b, c) END AS min_floor, CASE WHEN n BETWEEN 2 AND 3 THEN 2 WHEN n = 4 THEN 3 END AS buildings
@@ -525,9 +526,15 @@ SELECT project_id, count(*) AS building_count, CASE WHEN count(*) > 1 THEN max(f
   SELECT project_id, CASE u WHEN '1#楼 18层' THEN 18 WHEN '2#商业楼 6F' THEN 6 WHEN '10~12#楼' THEN 12 END AS f,
     CASE u WHEN '2#商业楼 6F' THEN '商业' WHEN '地下车库' THEN '车库' ELSE '住宅' END AS t
   FROM (SELECT DISTINCT project_id, {_unit} AS u FROM sheet_rows WHERE contains(sheet_name,'表-08'))) GROUP BY 1""")
-add("cost_breakdown", "breakdown", "SELECT * EXCLUDE (l, pen) FROM breakdown")
+add("cost_breakdown", "breakdown", """SELECT * EXCLUDE (l, pen), '[' || array_to_string([x FOR x IN [CASE WHEN e2_count = 0 THEN '"no e2 sheet"' END, CASE WHEN f11_count = 0 THEN '"no f11 sheet"' END,
+  CASE WHEN e3_count = 0 THEN '"no e3 sheet"' END] IF x IS NOT NULL], ',') || ']' AS extraction_errors FROM breakdown""")
+_name = "trim(replace(replace(sheet_name,'表-08',''),'F.1.1',''))"
+add("building_json", "sheet_rows", f"""
+SELECT project_id, 0::BIGINT AS segment, '[' || string_agg('{{"name":"F.1.1 ' || u || '","floors":' || f || ',"type":"' || t || '"}}', ',' ORDER BY o) || ']' AS buildings_json FROM (
+  SELECT project_id, o, u, CASE u WHEN '1#楼 18层' THEN 18 WHEN '2#商业楼 6F' THEN 6 WHEN '10~12#楼' THEN 12 ELSE 1 END AS f, CASE u WHEN '2#商业楼 6F' THEN '商业' WHEN '地下车库' THEN '车库' ELSE '住宅' END AS t
+  FROM (SELECT DISTINCT project_id, sheet_order AS o, {_name} AS u FROM sheet_rows WHERE contains(sheet_name,'表-08'))) GROUP BY 1""")
 add("coverage_pivot", "sheet_rows", "SELECT project_id, " + ", ".join(f"bool_or(contains(sheet_name,'{k}')) AS has_{k[2:]}" for k in C.SHEET_KINDS)
-    + ", count(DISTINCT sheet_name) AS sheet_count FROM sheet_rows GROUP BY 1")
+    + ", count(DISTINCT sheet_name) AS sheet_count, false AS has_info FROM sheet_rows GROUP BY 1")
 add("source_grades", "workbook", """
 SELECT CASE WHEN project_id % 10 = 0 THEN 'A' WHEN has_all OR has21 THEN 'B' ELSE 'C' END AS grade, count(*) AS n FROM workbook GROUP BY 1""")
 add("sheet_histogram", "sheet_rows", f"""
@@ -667,6 +674,15 @@ SELECT request_id, {rnd('raw2 * sc', 2)} AS unit_price, {rnd('raw2 * sc * total_
   m AS from_models, {rnd('total_area * 0.45::DOUBLE', 2)} AS concrete, {rnd('fo / (fo + 0.40::DOUBLE + 0.05::DOUBLE + 0.10::DOUBLE)', 4)} AS foundation FROM e""")
 
 
+add("estimate_record", "est fused", f"""
+WITH e AS (SELECT request_id, coalesce(fused, raw) * sc AS price, coalesce(model_count, 0) AS model_count, average_accuracy FROM est LEFT JOIN fused USING (request_id)),
+ q AS (SELECT request_id, count(*) AS n, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM predictions WHERE accuracy >= 50 AND value <> 0 GROUP BY 1),
+ b AS (SELECT max({{'a': a, 'm': model_id}}) AS b FROM (SELECT model_id, avg(accuracy) AS a FROM predictions WHERE model_id NOT IN ('boq_xgb', 'unit_gbt') GROUP BY 1))
+SELECT request_id, {rnd('price', 2)} AS unit_price, {rnd(f"CASE WHEN n >= 2 THEN lo ELSE {rnd('price', 2)} END", 2)} AS lower, {rnd(f"CASE WHEN n >= 2 THEN hi ELSE {rnd('price', 2)} END", 2)} AS upper,
+  model_count, average_accuracy, b.m AS importance_model, {rnd('b.a / 100', 6)} AS area_importance FROM e LEFT JOIN q USING (request_id), b""")
+add("found_projects", "project_meta", "SELECT project_id, name, build_year FROM project_meta WHERE building_type = '学校' AND build_year = 2015")
+
+
 def _bonus_view() -> str:
     has_value = lambda c: f"({c} <> '' AND lower({c}) NOT IN ('none', 'undefined'))"
     present = ["foundation_type", "seismic_grade", "soil_condition", "hvac", "exterior_wall"]

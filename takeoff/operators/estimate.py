@@ -402,6 +402,20 @@ def estimate(requests: DataFrame, fused: DataFrame | None = None, predicted: Dat
         F.map_from_arrays(F.array(*[F.lit(n) for n, _ in C.INDICATOR_DEFAULTS]), F.col("_indicators")).alias("indicators"))
 
 
+def estimate_record(requests: DataFrame, predictions: DataFrame, model_ids: list[str], models: DataFrame) -> DataFrame:
+    """The estimate of every request with its interval, the number and mean accuracy of its models, and the features that weigh most.
+
+    predictions: request_id, model_id, value, weight, accuracy. models: model_id, accuracy, is_trained, importance (a map). A request
+    without models has its base price at both ends of the interval, no model and no accuracy.
+    """
+    fused = fuse(predictions)
+    record = estimate(requests, fused)
+    interval = prediction_interval(record.select("request_id", "unit_price"), predictions, model_ids, F.col("unit_price"))
+    best = best_importance(models).select(F.col("model_id").alias("importance_model"), F.col("importance").alias("feature_importance"))  # one row
+    return record.join(interval, "request_id", "left").join(fused.select("request_id", "model_count", "average_accuracy"), "request_id", "left").withColumn(
+        "model_count", F.coalesce("model_count", F.lit(0))).crossJoin(F.broadcast(best))
+
+
 def with_references(estimates: DataFrame, similar: DataFrame, projects: DataFrame) -> DataFrame:
     """Attach the (at most k) similar projects of a request and a warning when none is of its type."""
     info = projects.select("project_id", "name", "building_type", "total_area", "unit_price")

@@ -526,7 +526,8 @@ def date_rules(spark, sf):
 def text_equality(spark, sf):
     p = S.table(spark, sf, "part")
     return p.groupBy(scalars.same_text(F.upper("p_type"), F.initcap("p_type")).alias("same")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("p_name").alias("last_name"))
+        F.count(F.lit(1)).alias("n"), F.max("p_name").alias("last_name"), F.max(S.pick(S.PLACES, F.col("p_partkey"))).alias("last_place"),
+        F.min(F.nullif(S.pick(S.PLACES, F.col("p_partkey")), F.lit(""))).alias("first_place"))
 
 
 @query
@@ -622,12 +623,18 @@ def building_summary(spark, sf):
 
 @query
 def cost_breakdown(spark, sf):
-    return sheets.breakdown(S.sheet_rows(spark, sf)).drop("extraction_errors")
+    return sheets.breakdown(S.sheet_rows(spark, sf))
+
+
+@query
+def building_json(spark, sf):
+    """The buildings of every project as a JSON list."""
+    return sheets.building_list(sheets.building_units(S.sheet_rows(spark, sf))).select("project_id", "segment", "buildings_json")
 
 
 @query
 def coverage_pivot(spark, sf):
-    return sheets.sheet_coverage(S.sheet_rows(spark, sf)).drop("has_info")
+    return sheets.sheet_coverage(S.sheet_rows(spark, sf))
 
 
 @query
@@ -896,6 +903,23 @@ def full_estimate(spark, sf):
                     F.col("materials")[0]["total"].alias("concrete"), F.col("division_composition")[0]["ratio"].alias("foundation"))
 
 
+@query
+def estimate_record(spark, sf):
+    """Estimates with interval, number and accuracy of models, and the importance of the best model's features."""
+    told = S.predictions(spark, sf)
+    models = told.groupBy("model_id").agg(F.avg("accuracy").alias("accuracy")).withColumns({
+        "is_trained": F.col("model_id") != "boq_xgb", "importance": F.when(F.col("model_id") != "unit_gbt", F.create_map(F.lit("total_area"), F.col("accuracy") / 100)).otherwise(F.create_map().cast("map<string,double>"))})
+    r = estimate.estimate_record(S.requests(spark, sf), told, [m for m, *_ in C.MODEL_REGISTRY], models)
+    return r.select("request_id", "unit_price", "lower", "upper", "model_count", "average_accuracy", "importance_model",
+                    round_half(F.try_element_at("feature_importance", F.lit("total_area")), 6).alias("area_importance"))
+
+
+@query
+def found_projects(spark, sf):
+    """Point look-up by type and year."""
+    return tables.find(S.project_meta(spark, sf, False, False), building_type="学校", build_year=2015).select("project_id", "name", "build_year")
+
+
 @query
 def confidence_bonus(spark, sf):
     r = S.requests(spark, sf)
