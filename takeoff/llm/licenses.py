@@ -121,9 +121,11 @@ def phrase_places(text: list[bytes]) -> list[tuple[int, str]]:
     """(first word, label) of each place of a phrase."""
     joined, out = b" " + b" ".join(text) + b" ", []
     for phrase, label in PHRASES.items():
-        wanted, at = f" {phrase} ".encode(), -1
+        wanted, at, word, last = f" {phrase} ".encode(), -1, 0, 0
         while (at := joined.find(wanted, at + 1)) >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            word += joined.count(b" ", last, at)  # on from the last place: each blank is counted once
+            last = at
+            out.append((word, label))
     return out
 
 

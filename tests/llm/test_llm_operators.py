@@ -403,6 +403,42 @@ def test_license_templates():
 # all together
 
 
+def test_path_lengths_by_a_plain_walk():
+    rng = np.random.default_rng(4)
+    x = np.maximum(np.abs(rng.standard_normal((300, 3))), 0.8)
+    forest = quality_rules.fit(x, trees=7, subsample=64)
+
+    def path(tree, row):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = tree.below[node] + int(row[tree.feature[node]] >= tree.cut[node])
+        return tree.path[node]
+
+    want = [2 ** (-np.mean([path(t, r) for t in forest.trees]) / quality_rules.mean_path(64)) for r in x]
+    assert np.allclose(forest.scores(x), want)
+
+
+def test_statistics_far_from_good_documents_count():
+    words = "one good plain text has words like these and more of them in each of its lines".split()
+    rng = random.Random(2)
+    plain = [" ".join(rng.choices(words, k=80)) + "." for _ in range(60)]
+    table = lambda ts: np.array([statistics.counts(t.encode()) for t in ts])
+    scale = quality_rules.scale_of(table(plain))
+    usual = scale.features(table(plain))
+    odd = {"length": " ".join(["unquestionably" * 3] * 80), "symbols": plain[0].replace(" ", " # "), "digits": plain[0].replace("e", "7"), "upper": plain[0].upper()}
+    x = scale.features(table(odd.values()))
+    assert (usual == quality_rules.USUAL).mean() > 0.95 and (x.max(axis=1) > 2 * quality_rules.USUAL).all()
+    scores = quality_rules.fit(np.concatenate([usual, x])).scores(np.concatenate([usual, x]))
+    assert scores[-4:].min() > np.quantile(scores[:-4], 0.9)
+
+
+def test_many_phrases_take_linear_time():
+    text = b"mit license of cc by " * 200_000
+    found = text.split()
+    places = licenses.phrase_places(found)
+    assert len(places) == 400_000 and sorted(i for i, _ in places)[:4] == [0, 3, 5, 8] and max(i for i, _ in places) == len(found) - 2
+
+
 def test_pipeline(spark, docs, texts):
     for r in docs.collect():
         assert set(r.asDict()) >= {"doc_id", "text", "lang", "source", "n_chars"}
