@@ -2,7 +2,8 @@
 
 A page is a stream of text slots, each with the path of its block tags. Streams of all pages of a host are aligned one after
 the other, by task and then across tasks, into a union-free regular expression: what repeats becomes a repeated group, what only some pages have an optional
-one, and texts that differ a slot; texts that never differ are part of the wrapper. A page is then read by aligning its own
+one, and texts that differ a slot; texts that never differ are part of the wrapper, single ones and those of a group. Equal texts
+lead the alignment, equal paths come next. A page is then read by aligning its own
 stream with its host's wrapper. Slots within an article are its text, but for those whose path names other parts of a page; a
 page without an article gives the slots whose text varies.
 
@@ -12,7 +13,6 @@ empty host. Null page_ids and repeated rows stay. An empty table gives no rows.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import html as entities
 import json
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from takeoff.llm.common import documents, per_text, shipped, staged
 
-#: Hosts up to whose number wrappers are broadcast, that a task holds wrappers of at a time, and groups that a host's wrappers are merged in first.
-BROADCAST_HOSTS, HELD_HOSTS, SALTS = 2_000, 500, 64
+#: Characters of all wrappers up to which they are broadcast, hosts that a task holds wrappers of at a time, and groups that a host's wrappers are merged in first.
+BROADCAST_CHARS, HELD_HOSTS, SALTS = 16 << 20, 500, 64
 LONGEST_GROUP = 6
 #: Parts of a path at either end that count, and cells of an alignment's table; longer streams are halved first.
 DEEP, MOST_CELLS = 32, 4_000_000
@@ -124,16 +124,21 @@ def slots(page: str) -> list[tuple[tuple[str, ...], str]]:
 
 @dataclass
 class Part:
-    """A slot, or a group of parts: in a wrapper, with the text that all pages have there."""
+    """A slot, or a group of parts: in a wrapper, with the texts that all pages have there."""
 
     core: tuple  # the paths of a single occurrence
-    text: str | None = None
+    texts: frozenset[str] = frozenset()
     optional: bool = False
     repeated: bool = False
     members: list[int] = field(default_factory=list)  # of a page: its slots
-    page: str = ""  # a page that has the text
+    page: str = ""  # a page that has the part
     shared: bool = False  # whether a different page has it, too
 
+    @property
+    def text(self) -> str | None:
+        """The single text of a slot that is fixed."""
+        return next(iter(self.texts)) if len(self.texts) == 1 and not self.repeated else None
+
 
 def folded(parts: list[Part]) -> list[Part]:
     """Runs of equal neighbours become repeated groups, short ones first."""
@@ -146,7 +151,7 @@ def folded(parts: list[Part]) -> list[Part]:
                 n += 1
             if n > 1:
                 run = parts[i : i + n * size]
-                out.append(Part(core[0] if size == 1 else core, None, False, True, [m for p in run for m in p.members]))
+                out.append(Part(core[0] if size == 1 else core, frozenset().union(*(p.texts for p in run)), False, True, [m for p in run for m in p.members]))
                 i += n * size
             else:
                 out.append(parts[i])
@@ -156,45 +161,60 @@ def folded(parts: list[Part]) -> list[Part]:
 
 
 def stream(page: list[tuple[tuple[str, ...], str]]) -> list[Part]:
-    return folded([Part((path,), text, members=[i]) for i, (path, text) in enumerate(page)])
+    return folded([Part((path,), frozenset([text]), members=[i]) for i, (path, text) in enumerate(page)])
+
+
+#: What a pair of parts counts in an alignment: equal cores, and equal cores with an equal text.
+SAME_CORE, SAME_TEXT = 1, 2
 
 
 def numbered(a: list[Part], b: list[Part]) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each part: equal cores have equal ones."""
+    """Two numbers for each part, of its core and of its core with its texts: equal ones have equal numbers; without texts there's none (-1, -2)."""
     known: dict[tuple, int] = {}
-    x, y = ([known.setdefault(p.core, len(known)) for p in parts] for parts in (a, b))
-    return np.array(x, np.int64), np.array(y, np.int64)
+    out = []
+    for parts, none in ((a, -1), (b, -2)):
+        cores = [known.setdefault((p.core,), len(known)) for p in parts]
+        texts = [known.setdefault((p.core, p.texts), len(known)) if p.texts else none for p in parts]
+        out.append(np.array([cores, texts], np.int64).reshape(2, -1))
+    return out[0], out[1]
+
+
+def pair_scores(v: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.where(y[1] == v[1], SAME_TEXT, np.where(y[0] == v[0], SAME_CORE, 0)).astype(np.int32)
 
 
 def table_rows(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
-    """Lengths of the longest common subsequences of each prefix of x, from the empty one, with all prefixes of y."""
-    row = np.zeros(len(y) + 1, np.int32)
+    """The highest count of an alignment of each prefix of x, from the empty one, with all prefixes of y."""
+    row = np.zeros(y.shape[1] + 1, np.int32)
     yield row
-    for v in x:
+    for v in x.T:
         new = np.zeros_like(row)
-        new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == v)))
+        new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + pair_scores(v, y)))
         row = new
         yield row
 
 
 def aligned(a: list[Part], b: list[Part]) -> list[tuple[int | None, int | None]]:
-    """Pairs of places in order, by a longest common subsequence of the parts' cores."""
+    """Pairs of places in order, by a common subsequence of the parts' cores with the highest count; equal texts lead."""
     x, y = numbered(a, b)
     out: list[tuple[int | None, int | None]] = []
-    todo = [(0, len(x), 0, len(y))]
+    todo = [(0, x.shape[1], 0, y.shape[1])]
     while todo:
         i, k, j, m = todo.pop()
         if (k - i) * (m - j) > MOST_CELLS and k - i > 1:
             half = (i + k) // 2  # where the best way crosses the middle: linear space
-            *_, up = table_rows(x[i:half], y[j:m])
-            *_, down = table_rows(x[half:k][::-1], y[j:m][::-1])
+            *_, up = table_rows(x[:, i:half], y[:, j:m])
+            *_, down = table_rows(x[:, half:k][:, ::-1], y[:, j:m][:, ::-1])
             cross = j + int((up + down[::-1]).argmax())
             todo += [(half, k, cross, m), (i, half, j, cross)]
             continue
-        best = [row[::-1].tolist() for row in table_rows(x[i:k][::-1], y[j:m][::-1])][::-1]
+        best = [row[::-1].tolist() for row in table_rows(x[:, i:k][:, ::-1], y[:, j:m][:, ::-1])][::-1]
         at, to = i, j
+        (cores, texts), (to_cores, to_texts) = x.tolist(), y.tolist()
         while at < k or to < m:
-            if at < k and to < m and x[at] == y[to]:
+            both = at < k and to < m
+            score = (SAME_TEXT if texts[at] == to_texts[to] else SAME_CORE if cores[at] == to_cores[to] else 0) if both else 0
+            if score and best[at - i][to - j] == score + best[at + 1 - i][to + 1 - j]:
                 out.append((at, to))
                 at, to = at + 1, to + 1
             elif to == m or at < k and best[at + 1 - i][to - j] >= best[at - i][to + 1 - j]:
@@ -206,27 +226,10 @@ def aligned(a: list[Part], b: list[Part]) -> list[tuple[int | None, int | None]]
     return out
 
 
-def greedily(a: list[Part], b: list[Part]) -> list[tuple[int | None, int | None]]:
-    """Each part of b with the next part of a of its core, where there is one: a common subsequence in linear time."""
-    places: dict[tuple, list[int]] = {}
-    for i, p in enumerate(a):
-        places.setdefault(p.core, []).append(i)
-    out, at = [], 0
-    for j, p in enumerate(b):
-        own = places.get(p.core, [])
-        k = bisect.bisect_left(own, at)
-        if k < len(own):
-            out += [(i, None) for i in range(at, own[k])] + [(own[k], j)]
-            at = own[k] + 1
-        else:
-            out.append((None, j))
-    return out + [(i, None) for i in range(at, len(a))]
-
-
 def of_page(page: str) -> list[Part]:
     """The wrapper of a single page."""
     name = xxhash.xxh64_hexdigest(page.encode("utf-8", "replace"))
-    return [Part(p.core, p.text, False, p.repeated, page=name) for p in stream(slots(page))]
+    return [Part(p.core, p.texts, False, p.repeated, page=name) for p in stream(slots(page))]
 
 
 def merged(a: list[Part], b: list[Part]) -> list[Part]:
@@ -235,11 +238,10 @@ def merged(a: list[Part], b: list[Part]) -> list[Part]:
     for i, j in aligned(a, b):
         if i is not None and j is not None:
             x, y = a[i], b[j]
-            same = x.text if x.text == y.text else None
-            out.append(Part(x.core, same, x.optional or y.optional, x.repeated or y.repeated, page=x.page, shared=x.shared or y.shared or x.page != y.page))
+            out.append(Part(x.core, x.texts & y.texts, x.optional or y.optional, x.repeated or y.repeated, page=x.page, shared=x.shared or y.shared or x.page != y.page))
         else:
             one = a[i] if i is not None else b[j]
-            out.append(Part(one.core, one.text, True, one.repeated, page=one.page, shared=one.shared))
+            out.append(Part(one.core, one.texts, True, one.repeated, page=one.page, shared=one.shared))
     return out
 
 
@@ -249,13 +251,13 @@ def inferred(pages: list[str]) -> list[Part]:
 
 
 def dumped(wrapper: list[Part]) -> str:
-    return json.dumps([[p.core, p.text, p.optional, p.repeated, p.page, p.shared] for p in wrapper])
+    return json.dumps([[p.core, sorted(p.texts), p.optional, p.repeated, p.page, p.shared] for p in wrapper])
 
 
 @functools.lru_cache(4096)
 def loaded(text: str) -> list[Part]:
     frozen = lambda x: tuple(map(frozen, x)) if isinstance(x, list) else x
-    return [Part(frozen(core), fixed, optional, repeated, page=page, shared=shared) for core, fixed, optional, repeated, page, shared in json.loads(text)]
+    return [Part(frozen(core), frozenset(fixed), optional, repeated, page=page, shared=shared) for core, fixed, optional, repeated, page, shared in json.loads(text)]
 
 
 def apart(path: tuple[str, ...]) -> bool:
@@ -284,10 +286,10 @@ def main_text(page: str, wrapper: list[Part]) -> str:
         if j is None:
             continue
         # fixed only if two different pages have the text: one alone may be this very page
-        fixed = i is not None and wrapper[i].shared and wrapper[i].text is not None and wrapper[i].text == own[j].text
+        fixed = wrapper[i].texts if i is not None and wrapper[i].shared else ()
         for m in own[j].members:
             path = found[m][0]
-            if not apart(path) and (in_main(path) if articles else not fixed):
+            if not apart(path) and (in_main(path) if articles else found[m][1] not in fixed):
                 keep.append(m)
     return "\n".join(found[m][1] for m in sorted(keep))
 
@@ -317,7 +319,7 @@ def wrappers_of(pages: DataFrame) -> DataFrame:
         def run(group: pa.Table) -> pa.Table:
             wrapper = functools.reduce(merged, (loaded(w) for w in sorted(group.column("wrapper").to_pylist())))
             if final:  # what only one page has is no fixed text
-                wrapper = [Part(w.core, w.text if w.shared else None, w.optional, w.repeated, shared=w.shared) for w in wrapper]
+                wrapper = [Part(w.core, w.texts if w.shared else frozenset(), w.optional, w.repeated, shared=w.shared) for w in wrapper]
             return pa.table({"host": group.column("host")[:1], "wrapper": [dumped(wrapper)]})
 
         return run
@@ -331,8 +333,8 @@ def extracted(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> D
     """The kept columns and the main `text` of every page."""
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z]+://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(*[F.col(k).alias(f"_{k}") for k in keep], F.coalesce(F.col("html"), F.lit("")).alias("html"), host.alias("host"))
-    few = rows.select("host").distinct().limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     wrappers = staged(wrappers_of(rows.select("host", "html")), "wrappers")
+    few = wrappers.agg(F.coalesce(F.sum(F.length("host") + F.length("wrapper")), F.lit(0))).first()[0] <= BROADCAST_CHARS
     both = rows.join(F.broadcast(wrappers) if few else wrappers, "host", "left")
     joined = both.withColumn("text", F.concat(F.coalesce("wrapper", F.lit("[]")), F.lit("\0"), "html"))
 

@@ -487,11 +487,3 @@ def test_deep_and_long_pages():
     page = "<main>" + "".join(f"<{t}>x{i}</{t}>" for i, t in enumerate(blocks)) + "</main>"
     wrapper = wrappers.inferred([page, page.replace("x5", "y")])
     assert wrappers.main_text(page, wrapper).count("\n") == 5999
-
-
-def test_greedy_alignment_is_a_common_subsequence():
-    parts = lambda s: [wrappers.Part(((c,),)) for c in s]
-    for a, b in (("abcab", "cabx"), ("", "ab"), ("ab", ""), ("xyz", "zyx")):
-        pairs = wrappers.greedily(parts(a), parts(b))
-        assert [i for i, _ in pairs if i is not None] == list(range(len(a))) and [j for _, j in pairs if j is not None] == list(range(len(b)))
-        assert all(a[i] == b[j] for i, j in pairs if i is not None and j is not None)
