@@ -62,3 +62,23 @@ def test_band_keys_reach_the_similarity():
         a, b = (similar.np.unique(similar.np.array([similar.xxhash.xxh64_intdigest(x) for x in common + [str(rng.random()) for _ in range(10)]], "u8")) for _ in range(2))
         missed += not set(similar.bands(a)) & set(similar.bands(b))
     assert missed == 0
+
+
+def test_large_key_tables_are_joined_by_a_shuffle(spark, monkeypatch):
+    """Without a broadcast: near copies, hits of decontamination and secrets come out the same."""
+    from takeoff.llm import common, decontamination, secrets
+
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(60)]
+    texts = [" ".join(base), " ".join(base + ["end"]), " ".join(base), "password: monday77 " + " ".join(reversed(base)), None, "", "plain words"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s")], "doc_id long, text string, source string").repartition(3)
+    bench = spark.createDataFrame([(1, " ".join(base[5:20]))], "item_id long, text string")
+
+    def results():
+        near = sorted(r["doc_id"] for r in similar.one_of_each(df).collect())
+        dirty = sorted(r["doc_id"] for r in decontamination.contamination(df, bench).where("contaminated").collect())
+        return near, dirty, sorted(map(repr, secrets.redacted(df).collect()))
+
+    few = results()
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    assert results() == few and few[0] == [0, 3, 4, 6] and few[1] == [0, 0, 1, 2] and "[SECRET]" in "".join(few[2])
