@@ -35,7 +35,7 @@ def round_half(col: Column, digits: int) -> Column:
 
 
 def money(col: Column) -> Column:
-    """Decimal amount: sums do not depend on the order of rows or partitions. Null where it has over 14 digits before the point."""
+    """Decimal amount: sums do not depend on the order of rows or partitions. Null where it has over 24 digits before the point."""
     return col.try_cast(MONEY)
 
 

@@ -54,3 +54,10 @@ def test_steel_unit(spark):
     assert factor([0.05, 55.0, 60.0]) == 1.0
     assert factor([0.5, 1.2]) == 1000.0 and factor([0.9, 1.2]) == 1.0
     assert factor([0.0, -1.0]) == 1.0
+
+
+def test_sums_of_large_amounts_lose_nothing(spark):
+    from takeoff.functions.numbers import money
+
+    df = spark.createDataFrame([(1.0,), (2e15,), (3.0,), (1e20,), (None,)], "v double")
+    assert df.agg(F.sum(money(F.col("v"))).cast("string")).first()[0] == "100002000000000000004.0000"
