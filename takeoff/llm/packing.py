@@ -1,7 +1,7 @@
 """Sum-of-squares packing of tokenised documents into sequences of a fixed length.
 
 A document is its token ids and one end id. A longer one than a sequence is cut so that only its first piece is shorter.
-Pieces are dealt to groups by a hash; each group places its pieces one by one: into the open sequence, or a new one, that
+A full piece is a sequence of its own and takes part in nothing else. The others are dealt to groups by a hash; each group places its pieces one by one: into the open sequence, or a new one, that
 makes the sum over all residual gaps of (open sequences with that gap) squared smallest. A group needs a count for each gap
 and no texts. Groups grow in number with the data, and a group leaves few sequences open, so the loss is a few sequences a
 group of `group_pieces` pieces.
@@ -115,16 +115,20 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to rows that have a `length` of 1 to `capacity`; needs the row count, so pass a staged table."""
+    """Adds sequence_id and offset to rows that have a `length` of 1 to `capacity`; reads them three times, so pass a staged table.
+
+    Full pieces get negative numbers where they are read, without a shuffle; only shorter ones fill groups.
+    """
     shipped(pieces.sparkSession)
-    groups = max(1, -(-pieces.where(F.col("length") < capacity).count() // group_pieces))
+    full, short = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    groups = max(1, -(-short.count() // group_pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches):
             group = table.column("_group")[0].as_py()
             bins, offsets = place(table.column("length").to_numpy(), capacity)
             ids = pa.array(group + groups * bins)
-            yield from table.drop_columns(["_group", "_full"]).append_column("sequence_id", ids).append_column("offset", pa.array(offsets)).to_batches()
+            yield from table.drop_columns(["_group"]).append_column("sequence_id", ids).append_column("offset", pa.array(offsets)).to_batches()
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Whole groups of a partition that is sorted by group."""
@@ -141,11 +145,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         if held:
             yield pa.Table.from_batches(held)
 
-    salted = pieces.withColumn("_full", F.col("length") == capacity).withColumn(
-        "_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    schema = salted.drop("_group", "_full").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
+    salted = short.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     dealt = salted.repartition(groups, "_group").sortWithinPartitions("_group", F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, alone.schema).unionByName(alone)
 
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:

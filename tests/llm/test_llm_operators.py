@@ -306,6 +306,19 @@ def test_ids_are_those_of_the_tokenizers_file():
     assert packing.token_ids(long, packing.rank_file()).tolist() == [*tokenizer.encode(long, add_special_tokens=False).ids, 0]
 
 
+
+def test_full_pieces_stay_out_of_groups(spark):
+    rows = [(d, p, 20 * p, 20, d * p) for d in range(30) for p in range(40)] + [(d, 40, 800, 1 + d % 19, d) for d in range(30)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(pieces, 20, 1000)
+    out = got.collect()
+    full = [r["sequence_id"] for r in out if r["length"] == 20]
+    assert len(out) == len(rows) and len(set(full)) == 1200 and max(full) < 0
+    short = [r for r in out if r["length"] < 20]
+    assert min(r["sequence_id"] for r in short) >= 0 and len({r["sequence_id"] for r in short}) < len(short)
+    assert packing.pack(pieces.where("length = 20"), 20).count() == 1200 and packing.pack(pieces.limit(0), 20).count() == 0
+
+
 def test_placement_is_the_least_sum_of_squares():
     rng = random.Random(2)
     sizes = [rng.randint(1, 20) for _ in range(300)]
