@@ -919,3 +919,19 @@ WITH w AS (SELECT unnest([{', '.join(lit(x) for x in _sorted_items)}]) AS item,
  m AS (SELECT unnest(range(1, {1 << len(_sorted_items)})) AS m), c AS (SELECT m, count(*) AS freq FROM m JOIN b ON mask & m = m GROUP BY 1)
 SELECT (SELECT string_agg(item, ',' ORDER BY i) FROM w WHERE (c.m >> i) & 1 = 1) AS items, freq, {rnd('freq / CAST((SELECT count(*) FROM b) AS DOUBLE)', 6)} AS support
 FROM c WHERE freq >= ceil(0.1 * (SELECT count(*) FROM b))""")
+_columns = ("item_name", "unit", "boq_code", "division", "trade")
+add("frequent_categories", "boq_items", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n, (SELECT count(*) FROM boq_items) AS rows FROM boq_items WHERE {c} IS NOT NULL "
+    f"GROUP BY {c} HAVING count(*) >= 0.005::DOUBLE * (SELECT count(*) FROM boq_items)" for c in _columns))
+_sum = {n: f"sum({n}) OVER (PARTITION BY model, feature)" for n in ("w", "s0", "s1")}
+_left = {n: f"CASE WHEN feature = 0 THEN {n} ELSE sum({n}) OVER (PARTITION BY model, feature ORDER BY bin) END" for n in ("w", "s0", "s1")}
+add("split_search", "", f"""
+WITH i AS (SELECT l_linenumber AS model, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 ELSE 0 END AS f0, CAST(l_quantity AS INT) AS f1,
+    CAST(round(l_extendedprice * 100) AS BIGINT) AS r0, CAST(round(l_tax * 100) AS BIGINT) AS r1 FROM lineitem),
+  h AS (SELECT model, 0 AS feature, f0 AS bin, CAST(count(*) AS DOUBLE) AS w, CAST(sum(r0) AS DOUBLE) AS s0, CAST(sum(r1) AS DOUBLE) AS s1 FROM i GROUP BY ALL
+    UNION ALL SELECT model, 1, f1, count(*), CAST(sum(r0) AS DOUBLE), CAST(sum(r1) AS DOUBLE) FROM i GROUP BY ALL),
+  c AS (SELECT model, feature, bin, {', '.join(f'{_sum[n]} AS t_{n}, {_left[n]} AS l_{n}' for n in ('w', 's0', 's1'))} FROM h),
+  g AS (SELECT *, (l_s0 ** 2 + l_s1 ** 2) / l_w + ((t_s0 - l_s0) ** 2 + (t_s1 - l_s1) ** 2) / (t_w - l_w) - (t_s0 ** 2 + t_s1 ** 2) / t_w AS gain
+    FROM c WHERE l_w >= 5 AND t_w - l_w >= 5)
+SELECT model, feature, bin, feature = 0 AS equal, {', '.join(rnd(f'l_s{k} / l_w', 4) + f' AS left_{k}, ' + rnd(f'(t_s{k} - l_s{k}) / (t_w - l_w)', 4) + f' AS right_{k}, ' + rnd(f't_s{k} / t_w', 4) + f' AS mean_{k}' for k in (0, 1))}
+FROM g QUALIFY row_number() OVER (PARTITION BY model ORDER BY gain DESC, feature, bin) = 1""")

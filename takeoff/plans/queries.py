@@ -2,6 +2,8 @@
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 from takeoff import constants as C
 from takeoff.functions import names, rules, scalars
 from takeoff.functions.numbers import money, round_half, share
-from takeoff.operators import (conversations, estimate, matching, ml, ordered, prices, quality, rollups, sheets, text,
-                               training_set)
+from takeoff.operators import (boosting, categories, conversations, estimate, matching, ml, ordered, prices, quality, rollups,
+                               sheets, text, training_set)
 from takeoff.plans import standins as S
 from takeoff.session import checkpoint_folder, configure
 from takeoff.sources import batches, files, tables
@@ -1141,6 +1143,47 @@ def ml_unit_price(spark, sf):
     return ml.score(frame, {"unit_price": model}, True).select("project_id", "unit_price", "pred_unit_price")
 
 
+@query
+def frequent_categories(spark, sf):
+    """Values of item columns that one row in 200 has, with their exact counts."""
+    return categories.frequent_counts(S.boq_items(spark, sf), ["item_name", "unit", "boq_code", "division", "trade"])
+
+
+@query
+def split_search(spark, sf):
+    """The best first split of the lines of every line number for two outputs, price and tax in hundredths, over a category and a number."""
+    flag = F.array_position(F.array(*map(F.lit, "ANR")), F.col("l_returnflag")).cast("int")
+    rows = S.table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").alias("model"), F.lit(1).alias("node"), F.lit(1).cast("bigint").alias("w"),
+        F.array(*[F.round(F.col(c) * 100).cast("bigint") for c in ("l_extendedprice", "l_tax")]).alias("r"),
+        F.array(flag, F.col("l_quantity").cast("int")).alias("bins"))
+    best = boosting.best_splits(rows, 2, 1, 5)
+    return best.select("model", (-F.col("f")).alias("feature"), (-F.col("b")).alias("bin"), "equal", *[
+        round_half(F.col(side)[k], 4).alias(f"{side}_{k}") for side in ("left", "right", "mean") for k in (0, 1)])
+
+
+@query
+def multi_output_models(spark, sf):
+    """Metrics of the models with several targets from their stored out-of-fold predictions; few shallow trees, as the sizes are parameters."""
+    items = S.boq_items(spark, sf)
+    labor = items.groupBy("project_id").agg((F.sum(money(F.col("labor_fee"))) / F.nullif(F.sum(money(F.col("total_price"))), F.lit(0))).cast("double").alias("labor_share"))
+    p = estimate.with_coefficients(training_set.training_rows(S.project_meta(spark, sf)), floors="above_ground_floors").join(
+        rollups.trade_rollup(items), "project_id", "left").join(labor, "project_id", "left").withColumns({
+            "region": names.region(F.col("location")), "decoration": names.decoration_level(F.col("decoration_standard"))})
+    p = ml.with_trade_targets(training_set.division_targets(p, [F.col("division")[i] for i in range(4)]))
+    p = p.withColumns({f"{n}_per_m2": F.col(f"{c}_total") / F.nullif("total_area", F.lit(0.0)) for n, c in (("concrete", "concrete"), ("steel", "rebar"), ("block", "block"))})
+    sizes = {"section_xgb": ml.gbt(2, 0.5, 2), "subsection_xgb": ml.gbt(2, 0.5, 2), "item_xgb": ml.gbt(2, 0.5, 2), "indicator_rf": ml.forest(2, 2)}
+    specs = {m: replace(s, estimator=sizes[m]) for m, s in ml.registry().items() if m in sizes}
+    frame = ml.feature_frame(p, ml.TREE, ["project_id", *sorted({t for s in specs.values() for t in s.targets})]).checkpoint()
+    folder, parts = _fresh(spark, "models"), []
+    for m, result in ml.train_all(dict.fromkeys(specs, frame), specs, "project_id").items():
+        if result.trees is not None:
+            ml.save_models(result, folder)
+            parts.append(ml.output_metrics(spark.read.parquet(f"{folder}/{m}/predicted")).select(F.lit(m).alias("model_id"), "*"))
+    none = spark.createDataFrame([], "model_id string, target string, rows long, accuracy double, r2_std double, mae double, mape double")
+    return ml.trained_status(reduce(DataFrame.unionByName, parts, none))
+
+
 @query
 def fp_patterns(spark, sf):
     items = S.boq_items(spark, sf)

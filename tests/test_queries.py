@@ -6,14 +6,14 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["boq_trade_rollup", "price_report", "upsert_latest", "import_projects", "region_lookup", "bill_items", "weighted_fusion", "intent_labels", "merged_ranges", "fuzzy_name_match", "estimate_record"]
+QUICK = ["boq_trade_rollup", "price_report", "upsert_latest", "import_projects", "region_lookup", "bill_items", "weighted_fusion", "intent_labels", "merged_ranges", "fuzzy_name_match", "estimate_record", "frequent_categories", "split_search"]
 
 
 def test_registry_is_consistent():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
     own = {k for k in queries if k != "pipeline" and not re.match(r"op\d+_", k)}
-    assert own - set(oracles) == {"ml_item_price", "ml_unit_price"}
+    assert own - set(oracles) == {"ml_item_price", "ml_unit_price", "multi_output_models"}
 
 
 @pytest.mark.parametrize("name", QUICK)
