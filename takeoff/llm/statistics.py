@@ -58,8 +58,13 @@ def with_ratios(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.col(a).cast("double") / F.greatest(F.col(b), F.lit(1)) for k, (a, b) in RATIOS.items()})
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label): the labels 0 or 1 of documents that aren't held out."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    return known.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """(doc_id, text, label): at most `limit` labelled documents that aren't held out. Their ids are few, so no text is shuffled for it."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    chosen = bounded(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", limit)
+    chosen = bounded(known_labels(labels, label), "doc_id", limit)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
