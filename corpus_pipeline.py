@@ -26,7 +26,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that links join: five-word shingles, a similarity of 0.8 or more."""
+    """Keeps one document of each group that links join: SimHash fingerprints within 2 bits, and shared bands of min-hashes, both
+    judged by the similarity of five-word shingles, 0.8 or more."""
     return similar.one_of_each(docs)
 
 

@@ -25,18 +25,27 @@ from takeoff.llm.common import LOWER, components, documents, per_text, staged
 SHINGLE, SEED, SEGMENT = 3, 42, 4
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64 bits; a bit is set if it is in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of each shingle in order, repeats included; of fewer words that of the whole sequence, none without a word."""
     words = text.translate(LOWER).split()  # bytes split at space and 0x09 to 0x0D
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     parts = [b" ".join(w) for w in zip(*(words[k:] for k in range(shingle)))] if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), "<u8", len(parts))
+    return np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), "<u8", len(parts))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64 bits; a bit is set if it is in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 1 << 14):
         some = hashes[start : start + (1 << 14)]
         ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(parts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """64 bits; a bit is set if it is in over half of the shingles' hashes."""
+    return fingerprint_of(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:

@@ -1,8 +1,9 @@
 """Near-duplicates for the pipeline: texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles; one of each group stays.
 
-A 64-bit SimHash can't tell a similarity of 0.8: such texts differ in about 10 bits, and a grid of popcounts that reaches so far
-holds nearly everything. So candidates share one of 20 bands of 6 min-hashes: a pair at 0.8 is missed with a probability of 0.2 %,
-a more similar one more rarely. Groups are the components of the links, so pairs that others join needn't be compared. Small bands
+Candidates come from op2's method first: SimHash fingerprints of the same shingles, linked within 2 bits through its grid of popcounts. A 64-bit
+SimHash can't tell a similarity of 0.8, though: such texts differ in about 10 bits, and a grid that reaches so far holds nearly everything.
+So texts that share one of 20 bands of 6 min-hashes are candidates, too: a pair at 0.8 is missed with a probability of 0.2 %,
+a more similar one more rarely. Both kinds are judged by the exact similarity. Groups are the components of the links, so pairs that others join needn't be compared. Small bands
 compare all of different components, larger ones first only the members with a hub, the one that has most company over all bands:
 near copies of one text then make as many pairs as copies. Two such rounds, each with components drawn, join most. What is left of a larger
 band, members of different components, is compared in blocks inside of tasks, where sketches of 120 bytes decide first: no
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from takeoff.llm.common import LOWER, components, few, per_text, shipped, staged
+from takeoff.llm import simhash
+from takeoff.llm.common import components, few, per_text, shipped, staged
 
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS, SEED = 5, 0.8, 20, 6, 42
 #: A band of so many texts at most compares all of different components; each text has half as many partners there at most.
@@ -37,11 +39,7 @@ CHUNK = 1 << 10
 
 def grams(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The different hashes of a text's shingles, in order."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    parts = [b" ".join(w) for w in zip(*(words[k:] for k in range(shingle)))] if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)))
+    return np.unique(simhash.shingle_hashes(text, shingle))
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -70,11 +68,23 @@ def sketch(least: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The kept columns, sig (of the set of shingles), fp (the fingerprint as a signed long, repeats included) and bands."""
     def measure(texts: list[bytes]) -> list:
-        sets = [grams(t) for t in texts]
-        return [pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), [bands(s) for s in sets]]
+        each = [simhash.shingle_hashes(t, SHINGLE) for t in texts]
+        sets = [np.unique(h) for h in each]
+        fps = np.array([simhash.fingerprint_of(h) for h in each], np.uint64).view(np.int64)
+        return [pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(fps), [bands(s) for s in sets]]
 
-    return per_text(docs, measure, "sig binary, bands array<bigint>", keep)
+    return per_text(docs, measure, "sig binary, fp bigint, bands array<bigint>", keep)
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of nodes whose fingerprints are equal, each with the least one, or linked within 2 bits, the least ones of both."""
+    least = staged(nodes.groupBy("fp").agg(F.min("node").alias("least")), "least")
+    equal = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    ends = [least.select(F.col("fp").alias(e), F.col("least").alias(f"node_{e}")) for e in "ab"]
+    linked = simhash.links(least.select("fp")).join(ends[0], "a").join(ends[1], "b")
+    return equal.union(linked.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))).distinct()
 
 
 def candidates(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -146,12 +156,14 @@ def rest(entries: DataFrame, labels: DataFrame, sets: DataFrame, similarity: flo
 
 
 def groups(marked: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(sig, first): the key of the text that stays, for each shingle set; marked: (key, sig, bands), rows: (key, text)."""
-    nodes = staged(marked.groupBy("sig").agg(F.min("key").alias("key"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    """(sig, first): the key of the text that stays, for each shingle set; marked: (key, sig, fp, bands), rows: (key, text)."""
+    nodes = staged(marked.groupBy("sig").agg(F.min("key").alias("key"), F.first("bands").alias("bands"), F.min("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     each = nodes.select("node", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     entries = staged(each.join(shared, "band").select("band", "node"), "bands")
-    met = staged(nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "key"), "met")
+    alike_prints = staged(fingerprint_pairs(nodes.where(F.size("bands") > 0).select("node", "fp")), "prints")
+    in_pairs = alike_prints.select(F.explode(F.array("a", "b")).alias("node"))
+    met = staged(nodes.join(entries.select("node").union(in_pairs).distinct(), "node", "left_semi").select("node", "key"), "met")
     texts = rows.join(few(met), "key").groupBy("node").agg(F.first("text").alias("text"))
 
     def measure(some: list[bytes]) -> list:
@@ -161,18 +173,20 @@ def groups(marked: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -
 
     sets = staged(per_text(texts, measure, "grams array<bigint>, size int, sketch binary, bands array<bigint>", ("node",)), "grams")
     labels = nodes.select("node", F.col("node").alias("component")).limit(0)
-    links, done = None, None
+    done = alike_prints
+    links = staged(alike(alike_prints, sets, similarity), "links")
+    if not links.isEmpty():
+        labels = components(links)
     for _ in range(ROUNDS):
-        pairs = candidates(entries, labels)
-        pairs = staged(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        pairs = staged(candidates(entries, labels).join(done, ["a", "b"], "left_anti"), "pairs")
         found = staged(alike(pairs, sets, similarity), "links")
         if found.isEmpty():
             break
-        links, done = (found, pairs) if links is None else (links.union(found), done.union(pairs))
+        links, done = links.union(found), done.union(pairs)
         labels = components(links)
     last = staged(rest(entries, labels, sets, similarity), "links")
     if not last.isEmpty():
-        labels = components(last if links is None else links.union(last))
+        labels = components(links.union(last))
     labelled = nodes.join(labels, "node", "left").select("sig", "key", F.coalesce("component", "node").alias("component"))
     firsts = labelled.groupBy("component").agg(F.min("key").alias("first"))
     return labelled.join(firsts, "component").select("sig", "first")

@@ -82,3 +82,21 @@ def test_large_key_tables_are_joined_by_a_shuffle(spark, monkeypatch):
     few = results()
     monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
     assert results() == few and few[0] == [0, 3, 4, 6] and few[1] == [0, 0, 1, 2] and "[SECRET]" in "".join(few[2])
+
+
+def test_fingerprints_within_two_bits_are_candidates(spark):
+    """op2's links bring near copies to the exact test without any band, and nothing below the similarity passes it."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(50_000)}" for _ in range(900)]
+        texts += [" ".join(base), " ".join([*base, "end"])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(4)
+    marked = similar.staged(similar.signatures(rows, ("key",)), "signatures")
+    told = {r["key"]: r["fp"] & (2**64 - 1) for r in marked.collect()}
+    assert all(told[i] == simhash.fingerprint(t.encode(), similar.SHINGLE) for i, t in enumerate(texts))
+    bare = marked.withColumn("bands", similar.F.array(similar.F.col("key")))  # no two share a band
+    firsts = similar.groups(bare, rows)
+    found = {(r["key"], r["first"]) for r in marked.join(firsts, "sig").select("key", "first").collect()}
+    near = {(2 * k + 1, 2 * k) for k in range(40) if (told[2 * k] ^ told[2 * k + 1]).bit_count() <= 2}
+    assert len(near) > 20 and near == {(a, b) for a, b in found if a != b}
