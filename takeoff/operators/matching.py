@@ -1,5 +1,7 @@
 """Name matching and similar-project search without pairwise comparison."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,20 +63,20 @@ def dictionary_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame
     words = known.select("word", "seq", F.substring("word", 1, q).alias("head"))
     words = F.broadcast(words) if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else words
     # stretches of a text, each with what a word that begins in it needs: places in a short text are found at once
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(STRETCH)))
-    parts = texts.select(key, F.col(text).alias("_t"), F.explode(starts).alias("_start")).select(key, "_start", F.substr("_t", F.col("_start"), F.lit(STRETCH + longest)).alias("_part"))
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{1,{STRETCH + longest}}})).{{1,{STRETCH}}}"), F.lit(1))
+    parts = texts.select(key, F.posexplode(pieces).alias("_n", "_part")).select(key, (F.col("_n") * STRETCH + 1).alias("_start"), "_part")
     part = F.col("_part")
-    runs = lambda size: F.transform(F.sequence(F.lit(1), F.least(F.length(part) - (size - 1), F.lit(STRETCH))), lambda i: F.struct(i.alias("at"), F.substr(part, i, F.lit(size)).alias("head")))
-    none = F.array().cast("array<struct<at: int, head: string>>")
-    offered = F.concat(*[F.when(F.length(part) >= size, runs(size)).otherwise(none) for size in sizes or [q]])
-    each = parts.select(key, "_start", "_part", F.explode(offered).alias("r")).select(key, "_start", "_part", "r.at", "r.head")
+    # a regular expression reads a text or part once, whereas a substring is counted off from its beginning
+    runs = lambda size: F.slice(F.regexp_extract_all(part, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1)), 1, STRETCH)
+    some = [parts.select(key, "_start", "_part", F.posexplode(runs(size)).alias("at", "head")).withColumn("at", F.col("at") + 1) for size in sizes or [q]]
+    each = reduce(DataFrame.union, some)
     hits = each.join(words, "head").where(F.substr("_part", F.col("at"), F.length("word")) == F.col("word"))
     return hits.select(key, "word", (F.col("_start") + F.col("at") - 1).alias("place"), "seq")
 
 
 def dictionary_match(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
     """Per text that holds a word: key, first (the word with the lowest seq) and longest (of equal length the lowest seq)."""
-    hits = dictionary_hits(texts, key, text, dictionary)
+    hits = dictionary_hits(texts, key, text, dictionary).select(key, "word", "seq").distinct()  # hashed; what follows sorts
     return hits.groupBy(key).agg(F.min_by("word", F.struct("seq", "word")).alias("first"), F.min_by("word", F.struct(-F.length("word"), "seq", "word")).alias("longest"))
 
 
