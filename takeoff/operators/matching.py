@@ -1,7 +1,5 @@
 """Name matching and similar-project search without pairwise comparison."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +66,8 @@ def dictionary_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame
     part = F.col("_part")
     # a regular expression reads a text or part once, whereas a substring is counted off from its beginning
     runs = lambda size: F.slice(F.regexp_extract_all(part, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1)), 1, STRETCH)
-    some = [parts.select(key, "_start", "_part", F.posexplode(runs(size)).alias("at", "head")).withColumn("at", F.col("at") + 1) for size in sizes or [q]]
-    each = reduce(DataFrame.union, some)
+    offered = F.concat(*[F.transform(runs(size), lambda h, i: F.struct((i + 1).alias("at"), h.alias("head"))) for size in sizes or [q]])
+    each = parts.select(key, "_start", "_part", F.explode(offered).alias("r")).select(key, "_start", "_part", "r.at", "r.head")
     hits = each.join(words, "head").where(F.substr("_part", F.col("at"), F.length("word")) == F.col("word"))
     return hits.select(key, "word", (F.col("_start") + F.col("at") - 1).alias("place"), "seq")
 
