@@ -209,11 +209,11 @@ def breakdown(rows: DataFrame) -> DataFrame:
     e3 = is_kind("表-04", "E.3") & ~e2 & ~f11
     h13 = is_kind("表-13", "H") & ~e2 & ~f11 & ~e3
     kind = F.when(e2, "e2").when(f11, "f11").when(e3, "e3").when(h13, "h13")
+    raw = lambda i: F.get("cells", F.lit(i))
+    bill, told = F.col("kind") == "f11", F.when(F.col("kind").isin("e2", "e3"), raw(2)).when(F.col("kind") == "f11", raw(7)).otherwise(raw(5))
     lines = rows.withColumn("kind", kind).filter("kind is not null").select(
-        *SHEET, "row_num", "kind", cell(0).alias("seq"), cell(1).alias("label"),
-        F.when(F.col("kind").isin("e2", "e3"), amount(2)).when(F.col("kind") == "f11", amount(7)).otherwise(
-            amount(5)).alias("v"),
-        F.when(F.col("kind") == "f11", amount(8)).alias("labor"))
+        *SHEET, "row_num", "kind", F.when(bill, cell(0)).alias("seq"), cell(1).alias("label"), comma_number(told).alias("v"),
+        F.when(bill, amount(8)).alias("labor"))
 
     seq, label, v, row, k = F.col("seq"), F.col("label"), F.col("v"), F.col("row_num"), F.col("kind")
     building = (label.contains("建筑") & ~label.contains("装饰") & ~label.contains("安装")) | \

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from takeoff import schemas
 from takeoff.functions import names
 from takeoff.operators import sheets
+from takeoff.plans import standins
 
 
 def rows_of(spark, *sheet_list, project="P1", source="main.xlsx"):
@@ -162,3 +163,17 @@ def test_a_long_merged_range_costs_some_hundred_rows(spark):
     one = spark.createDataFrame([(17, 100_000_017)], "min_row int, max_row int")
     pieces = sheets._range_pieces(one).groupBy("level").count().collect()
     assert {r["level"] for r in pieces} == {0, 1, 2} and sum(r["count"] for r in pieces if r["level"] < 2) < 260
+
+
+def test_generated_methods_are_compiled(spark):
+    """The Java compiler leaves methods over 8,000 bytes to the interpreter, which takes several times as long a row."""
+    sf = "/root/testdata/sf0.001"
+    rows = standins.sheet_rows(spark, sf)
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (rows, sheets.breakdown(rows), sheets.section_costs(rows)):
+            parts = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+            assert max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
