@@ -50,6 +50,14 @@ def unit_name(sheet_name: Column) -> Column:
     return F.when(bare == "", F.lit("单位工程")).otherwise(bare)
 
 
+def worked_out(rows: DataFrame) -> DataFrame:
+    """The same rows behind a generator: later steps read their columns and have a generated method of their own.
+
+    One over 8,000 bytes would be left to Java's interpreter.
+    """
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_row")).select("_row.*")
+
+
 def sum_when(condition: Column, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, money(value))).cast("double"), F.lit(0.0))
 
@@ -355,12 +363,15 @@ def sheet_costs(rows: DataFrame) -> DataFrame:
             .when(is_kind("表-11") & width(6), "11").when(is_kind("表-12") & ~is_kind("表-12-") & width(3), "12")
             .when(is_kind("表-13") & width(6), "13").when(is_kind("表-21") & width(4), "21"))
     k = F.col("kind")
-    parsed = rows.select(*SHEET, "row_num", kind.alias("kind"), cell(0).alias("c0"), cell(1).alias("c1"),
-                         cell(2).alias("c2"), *[number(i).alias(f"n{i}") for i in (2, 3, 4, 5, 7)])
+    # only the cells that a kind of sheet reads are parsed
+    raw = lambda i: F.get("cells", F.lit(i))
+    told = F.when(k.isin("03", "12"), raw(2)).when(k == "08", raw(7)).when(k == "21", raw(3)).otherwise(raw(5))
+    parsed = rows.select(*SHEET, "row_num", kind.alias("kind"), "cells").select(
+        *SHEET, "row_num", "kind", F.when(k.isin("02", "11"), cell(0)).alias("c0"), F.when(k.isin("03", "11", "12", "13", "21"), cell(1)).alias("c1"),
+        F.when(k == "08", cell(2)).alias("c2"), *[F.when(k == "02", raw(i)).alias(f"n{i}") for i in (2, 4, 5)], told.alias("told"))
     c0, c1, c2 = F.col("c0"), F.col("c1"), F.col("c2")
-    # the amount column of each kind of sheet
-    lines = parsed.withColumns({
-        "v": F.when(k.isin("03", "12"), F.col("n2")).when(k == "08", F.col("n7")).when(k == "21", F.col("n3")).otherwise(F.col("n5")),
+    lines = worked_out(parsed).withColumns({
+        "v": number_or(F.col("told")),
         "class": (
             F.when(k == "03", F.when(c1.contains("合") & c1.contains("计"), None)
                    .when(c1.contains("建筑") & (c1.contains("工程") | c1.contains("土建")), "arch")
@@ -371,6 +382,7 @@ def sheet_costs(rows: DataFrame) -> DataFrame:
             .when(k == "12", F.when(c1.contains("暂列") | c1.contains("暂估"), "provisional"))
             .when((k == "08") & (c2 != "") & ~c2.contains("小计") & ~c2.contains("合计"), "item")
             .when((k == "21") & (c1 != ""), material_class(c1)))})
+    lines = lines.withColumns({f"n{i}": F.when(k == "02", number_or(F.col(f"n{i}"))) for i in (2, 4, 5)})
     row, order, v, cls = F.col("row_num"), F.col("sheet_order"), F.col("v"), F.col("class")
     total02 = (k == "02") & c0.contains("合") & c0.contains("计")
     pos = lambda c: F.greatest(F.col(c), F.lit(0.0))

@@ -172,7 +172,7 @@ def test_generated_methods_are_compiled(spark):
     debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for df in (rows, sheets.breakdown(rows), sheets.section_costs(rows)):
+        for df in (rows, sheets.breakdown(rows), sheets.sheet_costs(rows), sheets.section_costs(rows)):
             parts = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
             assert max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) < 8000
     finally:
