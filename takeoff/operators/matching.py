@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from takeoff import constants as C
 from takeoff.functions import rules
 from takeoff.functions.names import CJK
+from takeoff.operators import ordered
+from takeoff.session import checkpoint_folder
 
 # -- names -------------------------------------------------------------------
 
@@ -137,14 +139,15 @@ def match_files(projects: DataFrame, files: DataFrame) -> DataFrame:
 # A project scores 2 for the same structure and 3 / 2 / 1 when its area differs
 # by less than 30 / 50 / 100 percent.  The k best of a type, ties by sequence,
 # are always among the k lowest sequence numbers of one of these sets: area
-# on one ring of differences (or any area), of the same structure (or any
-# structure).  Areas are kept in a tree of whole hundredths: every node
-# keeps its k lowest sequence numbers, and a ring is covered by a few nodes.  So a
-# request reads some dozens of small nodes instead of all projects of its type.
-# The tree holds every 64-bit number: below 2^40 hundredths, where areas lie, a node has 4
-# children, above it 256.  One more node on top holds any area at all.
-
-SHIFTS = [*range(0, 41, 2), 48, 56]  # bits that a node of each level leaves out
+# within one of these differences (or any area), of the same structure (or any
+# structure), as whatever else is in such a set scores no less.  Areas are
+# replaced by their places among the different areas of the projects, so requests
+# that have the same projects within each difference are one, and the work grows with
+# the requests that differ, not with all.  Places are kept in a tree: every node
+# keeps its k lowest sequence numbers, and a range is covered by a few nodes.
+# One more node on top holds any area at all.
+
+SHIFTS = range(0, 33, 2)  # bits that a node of each level leaves out
 ALL_LEVEL = len(SHIFTS)
 #: Areas beyond this, either way, count as this: their hundredths still fit into 64 bits when they are doubled.
 MAX_AREA = 4e16
@@ -163,9 +166,9 @@ def _reach(span: Column, num: int, den: int) -> Column:
     return quotient * num + F.call_function("div", rest * num + (den - 1), F.lit(den)) - 1
 
 
-def _area_nodes(hundredths: Column) -> Column:
-    """The node of the area on every level, leaf first, and the node of all areas."""
-    return F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright(hundredths, bits).alias("node")) for level, bits in enumerate(SHIFTS)],
+def _area_nodes(place: Column) -> Column:
+    """The node of the area's place on every level, leaf first, and the node of all areas."""
+    return F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright(place, bits).alias("node")) for level, bits in enumerate(SHIFTS)],
                    F.struct(F.lit(ALL_LEVEL).alias("level"), F.lit(0).cast("bigint").alias("node")))
 
 
@@ -173,7 +176,7 @@ def _cover(ranges: DataFrame) -> DataFrame:
     """Nodes that together cover the whole numbers low..high of each row (columns level, node).
 
     On each level the nodes that are inside the range, but whose parent is not,
-    are taken: at most 3 at either end, 255 of the few large ones.
+    are taken: at most 3 at either end, any number on top.
     """
     down = lambda c, bits: F.call_function("shiftright", c, bits)  # noqa: E731  floor of the division by a power of two
     up = lambda c, bits: F.call_function("shiftleft", c, bits)
@@ -196,6 +199,20 @@ def _cover(ranges: DataFrame) -> DataFrame:
     return parents.withColumn("node", F.explode(nodes)).drop("low", "high", "bits", "more", "first", "last", "p_first", "p_last")
 
 
+def _places(areas: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(area100, place) of all areas above 0, numbered from 1, and (req100, spans): the first and last place within each band."""
+    a = F.col("req100")
+    wanted = asked.filter(a > 0).distinct()
+    reaches = [_reach(F.greatest(a, F.lit(100)), num, den) for num, den, _ in BANDS]  # |x - a| * den < span * num, in whole hundredths
+    edges = [e for r in reaches for e in (F.greatest(a - r, F.lit(1)) - 1, a + r)]
+    ends = wanted.select("req100", F.posexplode(F.array(*edges)).alias("i", "area100"))
+    own = areas.filter("area100 > 0").distinct()
+    upto = ordered.counts_upto(own, ends, "area100", "place")
+    counts = ends.join(upto, "area100").groupBy("req100").agg(*[F.max(F.when(F.col("i") == i, F.col("place"))).alias(f"e{i}") for i in range(len(edges))])
+    spans = F.array(*[F.struct((F.col(f"e{i}") + 1).alias("low"), F.col(f"e{i + 1}").alias("high")) for i in range(0, len(edges), 2)])
+    return own.join(upto, "area100"), counts.select("req100", spans.alias("spans"))
+
+
 def _keep_lowest(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("seq")
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
@@ -235,45 +252,34 @@ def similar_projects(requests: DataFrame, projects: DataFrame, k: int = 5) -> Da
     listed = with_type_fit(known).select(
         "project_id", "seq", F.coalesce("structure_type", F.lit("")).alias("s"), "area100", F.explode(offered).alias("t"))
     # equal type, structure and area: only the k first can ever be returned
+    checkpoint_folder(requests.sparkSession)
     pool = _keep_lowest(listed, ["t", "s", "area100"], k).repartition(
-        int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq")
-    node = pool.select(
-        "project_id", "seq", "t", "s", "area100", F.explode(_area_nodes(F.col("area100"))).alias("a")
-    ).select("project_id", "seq", "t", "s", "area100", "a.level", "a.node")
+        int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq").checkpoint()  # read by the places, twice, and the tree
+    asked = requests.join(types.withColumn("_known", F.lit(True)), "building_type", "left").select(
+        "request_id", F.when(F.col("_known"), F.col("building_type")).otherwise(F.lit(ANY)).alias("t"),
+        F.coalesce("structure_type", F.lit("")).alias("s_req"), cents(F.col("total_area")).alias("req100"))
+    places, spans = _places(pool.select("area100"), asked.select("req100"))
+    placed = pool.join(places, "area100", "left").withColumn("place", F.coalesce("place", F.lit(0)))
+    node = placed.select("project_id", "seq", "t", "s", "place", F.inline(_area_nodes(F.col("place"))))
     both = node.select("*", F.explode(F.array(F.col("s"), F.lit(ANY))).alias("s_key"))
     index = _keep_lowest(both, ["t", "s_key", "level", "node"], k)
 
-    asked = requests.join(types.withColumn("_known", F.lit(True)), "building_type", "left")
-    a100 = cents(F.col("total_area"))
-    asked = asked.select(
-        "request_id", F.when(F.col("_known"), F.col("building_type")).otherwise(F.lit(ANY)).alias("t"),
-        F.coalesce("structure_type", F.lit("")).alias("s_req"), a100.alias("req100"))
-    shapes = asked.select("t", "s_req", "req100").distinct()
-    span = F.greatest(F.col("req100"), F.lit(100))
-    # |x - a| * den < span * num, in whole hundredths
-    reaches = [_reach(span, num, den) for num, den, _ in BANDS]
-    asked100 = F.col("req100")
-    edges = [(asked100 - reaches[0], asked100 + reaches[0])]
-    for inner, outer in zip(reaches, reaches[1:]):
-        edges += [(asked100 - outer, asked100 - inner - 1), (asked100 + inner + 1, asked100 + outer)]
-    ranges = [
-        F.when((asked100 > 0) & (high >= 1), F.struct(F.greatest(low, F.lit(1)).alias("low"), high.alias("high")))
-        for low, high in edges]
+    none = F.array(*[F.struct(F.lit(1).cast("bigint").alias("low"), F.lit(0).cast("bigint").alias("high"))] * len(BANDS))
+    asked = asked.join(spans, "req100", "left").withColumn("spans", F.coalesce("spans", none))
+    shapes = asked.select("t", "s_req", "spans").distinct()
     # a shape fans out into dozens of rows, so the shapes are dealt out to all tasks first
-    spread = shapes.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "req100")
-    asked_ranges = spread.withColumn("r", F.explode(F.array(*ranges))).filter("r is not null").select(
-        "t", "s_req", "req100", "r.low", "r.high")
-    everything = shapes.select("t", "s_req", "req100", F.lit(ALL_LEVEL).alias("level"), F.lit(0).cast("bigint").alias("node"))
-    probes = _cover(asked_ranges).unionByName(everything).withColumn("s_key", F.explode(F.array(F.col("s_req"), F.lit(ANY))))
+    spread = shapes.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "spans")
+    ranges = spread.select("t", "s_req", "spans", F.inline(F.array_distinct("spans"))).filter("low <= high")
+    everything = shapes.select("t", "s_req", "spans", F.lit(ALL_LEVEL).alias("level"), F.lit(0).cast("bigint").alias("node"))
+    probes = _cover(ranges).unionByName(everything).withColumn("s_key", F.explode(F.array(F.col("s_req"), F.lit(ANY))))
     # both sides grow by fan-out, which size estimates before the fan-out do not see: never broadcast them
     hits = probes.join(index.hint("merge"), ["t", "s_key", "level", "node"]).select(
-        "t", "s_req", "req100", "project_id", "seq", "s", "area100").distinct()
-    gap = F.abs(F.col("area100") - F.col("req100"))
-    ring = rules.chain([(gap <= reach, F.lit(score)) for reach, (_, _, score) in zip(reaches, BANDS)], 0)
-    area_score = F.when((F.col("area100") > 0) & (F.col("req100") > 0), ring).otherwise(0)
+        "t", "s_req", "spans", "project_id", "seq", "s", "place").distinct()
+    within = [F.col("place").between(F.col("spans")[i]["low"], F.col("spans")[i]["high"]) for i in range(len(BANDS))]
+    area_score = rules.chain([(inside, F.lit(score)) for inside, (_, _, score) in zip(within, BANDS)], 0)
     same = F.when(F.col("s") == F.col("s_req"), F.when(F.col("t") == ANY, 1).otherwise(2)).otherwise(0)
     scored = hits.withColumn("score", area_score + same).filter((F.col("t") != ANY) | (F.col("score") > 0))
-    best = Window.partitionBy("t", "s_req", "req100").orderBy(F.desc("score"), "seq")
+    best = Window.partitionBy("t", "s_req", "spans").orderBy(F.desc("score"), "seq")
     ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return asked.join(ranked, ["t", "s_req", "req100"]).select(
+    return asked.join(ranked, ["t", "s_req", "spans"]).select(
         "request_id", "rank", "project_id", "score", (F.col("t") != ANY).alias("same_type"))

@@ -111,3 +111,17 @@ def test_a_large_dictionary_is_a_table(spark):
     for i, x in enumerate(texts):
         inside = {x[a:b] for a in range(len(x or "")) for b in range(a + 1, min(len(x), a + 9) + 1)} & seq.keys() if x else set()
         assert got.get(i) == ((min(inside, key=lambda w: (seq[w], w)), min(inside, key=lambda w: (-len(w), seq[w], w))) if inside else None)
+
+
+def test_requests_with_the_same_projects_around_them_are_one(spark):
+    rnd = random.Random(4)
+    areas = [1, 50, 20_000, 2_000_000, 3_000_000, 3_000_001, 1 << 45]
+    asked = [-5, 0, 1] + [rnd.randrange(1, 1 << 23) for _ in range(3000)]
+    frame = lambda name, xs: spark.createDataFrame([(x,) for x in xs], f"{name} long")
+    places, spans = matching._places(frame("area100", [*areas, -7, 0, 50]), frame("req100", asked))
+    assert sorted(tuple(r) for r in places.collect()) == [(a, i + 1) for i, a in enumerate(areas)]
+    got = {r["req100"]: [tuple(s) for s in r["spans"]] for r in spans.collect()}
+    assert got.keys() == {a for a in asked if a > 0} and len({str(s) for s in got.values()}) <= 6 * len(areas) + 1
+    for a, found in got.items():
+        for (low, high), (num, den, _) in zip(found, matching.BANDS):
+            assert [i + 1 for i, x in enumerate(areas) if abs(x - a) * den < max(a, 100) * num] == list(range(low, high + 1))
