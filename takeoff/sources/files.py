@@ -10,20 +10,27 @@ from takeoff import constants as C
 from takeoff.functions import names, rules
 
 
+#: Lines of a piece of a split, as a power of two.
+PIECE_BITS = 14
+
+
 def quoted_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, first, record): the records of flat files whose quoted cells may hold line breaks, with files read by many tasks.
 
-    Lines are read in splits, each with its number of quotes. Whether a line begins inside of a cell is the parity of all
-    quotes before it: counted within the split, and carried over from the splits before, one row a split. Lines that begin and end
-    outside are records; the others are joined, each piece under the line where its cell began. `first` is true for a file's first record.
+    Lines are read in splits, and a split is worked on in pieces, so that a window sees a piece at most and pieces are dealt evenly to tasks.
+    Whether a line begins inside of a cell is the parity of all quotes before it: counted within the piece, and carried over from the pieces
+    before, one row a piece. Lines that begin and end outside are records; the others are joined, each under the line where its cell
+    began. `first` is true for a file's first record.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), "value",
         F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'))), F.lit(2)).alias("odd"))
+    # a split is read by one task, where places rise
+    lines = lines.withColumn("split", F.struct("split", F.shiftright("place", PIECE_BITS).alias("piece")))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("file", "split").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     counted = lines.withColumn("_odd", F.coalesce(F.sum("odd").over(inside), F.lit(0)) % 2)
-    # of each split: parity, and its last line that begins outside of a cell, for either parity before the split
+    # of each piece (from here on, a split is a piece of it): parity, and its last line that begins outside of a cell, for either parity before it
     ends = counted.groupBy("file", "split").agg(
         F.min("place").alias("_head"), F.pmod(F.sum("odd"), F.lit(2)).alias("_parity"), *[F.max(F.when(F.col("_odd") == p, F.col("place"))).alias(f"_last{p}") for p in (0, 1)])
     over = before.partitionBy("file").orderBy("split")

@@ -79,6 +79,16 @@ def test_a_bad_file_is_a_reason_and_read_files_are_known(spark, tmp_path):
     assert sorted(map(repr, spark.read.parquet(where[1]).collect())) == sorted(map(repr, spark.createDataFrame([(1, "甲"), (2, None), (3, None), (None, "n")], schema).collect()))
 
 
+def test_flat_splits_are_worked_on_in_pieces(spark, tmp_path, monkeypatch):
+    long = "\n".join(f'line {i}, "q"' for i in range(40))  # a cell over many pieces
+    df = spark.createDataFrame([(long if i % 50 == 7 else f"a\n{i}" if i % 3 else f"b{i}", float(i)) for i in range(400)], "name string, unit_price double").coalesce(2)
+    files.write_flat(df, str(tmp_path / "x"))
+    want = sorted(df.collect())
+    for bits in (0, 1, 4, files.PIECE_BITS):
+        monkeypatch.setattr(files, "PIECE_BITS", bits)
+        assert sorted(files.read_flat(spark, str(tmp_path / "x"), df.schema).collect()) == want
+
+
 def test_large_flat_table_keeps_every_row(spark, tmp_path):
     df = spark.range(20000).select(F.format_string("proj%06d", "id").alias("name"), (1000 + F.col("id") % 50).cast("double").alias("unit_price"))
     files.write_flat(df, str(tmp_path / "big"))
