@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from takeoff.llm.common import LOWER, components, documents, per_text, staged
+from takeoff.llm.common import LOWER, components, documents, per_text, shuffled, staged
 
 SHINGLE, SEED, SEGMENT = 3, 42, 4
 
@@ -79,9 +79,9 @@ def links(fps: DataFrame) -> DataFrame:
         F.when((F.call_function("shiftrightunsigned", F.col("fp"), place(b)).bitwiseAND(1) == 1) == (F.col("step") < 0),
                F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(b))))
         for b in range(SEGMENT)]))
-    shared = staged(in_grid.join(company, "cell").select("fp", F.explode(flipped).alias("mid")).where("mid is not null"), "midpoints")
+    shared = staged(in_grid.join(shuffled(company), "cell").select("fp", F.explode(flipped).alias("mid")).where("mid is not null"), "midpoints")
     least = shared.groupBy("mid").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return shared.join(least, "mid").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+    return shared.join(shuffled(least), "mid").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
@@ -89,9 +89,9 @@ def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int =
     fps = staged(fingerprints(docs, keep, shingle), "fingerprints")
     nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     reached = components(links(nodes.select("fp")))
-    labelled = nodes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labelled = nodes.join(shuffled(reached.withColumnRenamed("node", "fp")), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return fps.join(labelled.join(ids, "component").select("fp", "component", "component_id"), "fp")
+    return fps.join(shuffled(labelled.join(shuffled(ids), "component").select("fp", "component", "component_id")), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -106,7 +106,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     marked = grouped(docs.select("doc_id", "text", key.alias("_key")), ("doc_id", "_key"), shingle)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("f")
     kept = marked.groupBy("component").agg(first).select("f.doc_id", "f._key").distinct()
-    found = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["_key"] == kept["_key"]), "left_semi")
+    found = rows.join(shuffled(kept), rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["_key"] == kept["_key"]), "left_semi")
     once = W.partitionBy("_key", "doc_id").orderBy("doc_id")  # repeated rows of one text and id
     return found.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
 
