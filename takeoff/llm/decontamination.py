@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from takeoff.llm.common import documents, is_few, lower_ascii, staged
+from takeoff.llm.common import documents, is_few, lower_ascii, shuffled, staged
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,7 +44,7 @@ def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 def with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
     """Tokens of the given terms; `terms` is a staged table of distinct ones."""
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    return found.join(F.broadcast(terms) if few else terms, "term")
+    return found.join(F.broadcast(terms) if few else shuffled(terms), "term")
 
 
 def index(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
@@ -103,9 +103,9 @@ class Search:
         found = staged(found, "found")
         if is_few(found.select("key")):  # texts without a candidate stay where they are, those with one are few or copies
             keys = F.broadcast(found.select("key"))
-            parts = [keyed.join(keys, "key", "left_anti").withColumn("found", F.lit(None).cast(found.schema["found"].dataType)), keyed.join(keys, "key", "left_semi").join(found, "key")]
+            parts = [keyed.join(keys, "key", "left_anti").withColumn("found", F.lit(None).cast(found.schema["found"].dataType)), keyed.join(keys, "key", "left_semi").join(shuffled(found), "key")]
         else:
-            parts = [keyed.join(found, "key", "left")]
+            parts = [keyed.join(shuffled(found), "key", "left")]
         rows = functools.reduce(DataFrame.union, [p.select(*keep, words(F.col(self.text)).alias("words"), "found") for p in parts])
 
         def hits(c: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takeoff.llm.common import documents, held_out, is_few, staged
+from takeoff.llm.common import documents, held_out, is_few, shuffled, staged
 
 NAMES = r"(?:token|secret|passw|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)"
 SIGN = r"(?::=|=>|->|=|:)"
@@ -156,7 +156,7 @@ def redacted(docs: DataFrame, path: str | None = "source", mark: str = "[SECRET]
         marked = rows.join(keys, "_key", "left_semi").join(secret, "_key")
         rows = rows.join(keys, "_key", "left_anti").withColumn("_secrets", F.lit(None).cast("array<string>")).select("_row", "_secrets").union(marked.select("_row", "_secrets"))
     else:
-        rows = rows.join(secret, "_key", "left")
+        rows = rows.join(shuffled(secret), "_key", "left")
     text = F.when(F.col("_secrets").isNull(), F.col("_row.text")).otherwise(clean)
     return rows.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from takeoff.llm import simhash
-from takeoff.llm.common import components, few, per_text, shipped, staged
+from takeoff.llm.common import components, few, per_text, shipped, shuffled, staged
 
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS, SEED = 5, 0.8, 20, 6, 42
 #: A band of so many texts at most compares all of different components; each text has half as many partners there at most.
@@ -81,8 +81,8 @@ def signatures(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs (a < b) of nodes whose fingerprints are equal, each with the least one, or linked within 2 bits, the least ones of both."""
     least = staged(nodes.groupBy("fp").agg(F.min("node").alias("least")), "least")
-    equal = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    ends = [least.select(F.col("fp").alias(e), F.col("least").alias(f"node_{e}")) for e in "ab"]
+    equal = nodes.join(shuffled(least), "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    ends = [shuffled(least.select(F.col("fp").alias(e), F.col("least").alias(f"node_{e}"))) for e in "ab"]
     linked = simhash.links(least.select("fp")).join(ends[0], "a").join(ends[1], "b")
     return equal.union(linked.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))).distinct()
 
@@ -90,10 +90,10 @@ def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
 def candidates(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a < b) of nodes of different components that share a band: all of a small band, with its hub in a larger one."""
     e, mixed = with_components(entries, labels)
-    active = staged(e.join(mixed, "band"), "active")
+    active = staged(e.join(shuffled(mixed), "band"), "active")
     company = active.groupBy("node").agg(F.sum("n").alias("company"))
-    hub = active.where(F.col("n") > SMALL_BAND).join(company, "node").groupBy("band").agg(F.max(F.struct("company", (-F.col("node")).alias("order"), "component")).alias("hub"))
-    led = active.join(hub, "band").select("node", "component", (-F.col("hub.order")).alias("other"), F.col("hub.component").alias("other_component"))
+    hub = active.where(F.col("n") > SMALL_BAND).join(shuffled(company), "node").groupBy("band").agg(F.max(F.struct("company", (-F.col("node")).alias("order"), "component")).alias("hub"))
+    led = active.join(shuffled(hub), "band").select("node", "component", (-F.col("hub.order")).alias("other"), F.col("hub.component").alias("other_component"))
     small = active.where(F.col("n") <= SMALL_BAND).groupBy("band").agg(F.collect_list(F.struct("node", "component")).alias("all"))
     each = small.select("all", F.explode("all").alias("x")).select("x.*", F.explode("all").alias("y")).where("node < y.node")
     pairs = led.union(each.select("node", "component", "y.node", "y.component")).where("component <> other_component")
@@ -102,17 +102,17 @@ def candidates(entries: DataFrame, labels: DataFrame) -> DataFrame:
 
 def with_components(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(band, node, component), and (band, n) of the bands that hold more than one component."""
-    e = entries.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    e = entries.join(shuffled(labels), "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = e.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     return e, mixed.select("band", "n")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose shingle sets (node, size, grams) are similar enough; sizes decide first, and each pair moves one set."""
-    sizes = sets.select("node", "size")
+    sizes = shuffled(sets.select("node", "size"))
     near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
     near = near.where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
+    both = near.join(shuffled(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))), "a").join(shuffled(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))), "b")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
     return both.where(shared >= similarity * (F.col("size_a") + F.col("size_b") - shared)).select("a", "b")
 
@@ -125,7 +125,7 @@ def rest(entries: DataFrame, labels: DataFrame, sets: DataFrame, similarity: flo
     shipped(entries.sparkSession)
     e, mixed = with_components(entries, labels)
     cut = F.ceil(F.col("n") / block)
-    active = e.join(mixed.where(F.col("n") > SMALL_BAND), "band").withColumn("own", F.pmod(F.xxhash64("node"), cut))
+    active = e.join(shuffled(mixed.where(F.col("n") > SMALL_BAND)), "band").withColumn("own", F.pmod(F.xxhash64("node"), cut))
     meet = active.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
     meet = meet.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component")
 
@@ -152,7 +152,7 @@ def rest(entries: DataFrame, labels: DataFrame, sets: DataFrame, similarity: flo
                         root[root == root[j]] = root[i]
         return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
 
-    return meet.join(sets, "node").groupBy("band", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
+    return meet.join(shuffled(sets), "node").groupBy("band", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
 
 
 def groups(marked: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -160,10 +160,10 @@ def groups(marked: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -
     nodes = staged(marked.groupBy("sig").agg(F.min("key").alias("key"), F.first("bands").alias("bands"), F.min("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     each = nodes.select("node", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    entries = staged(each.join(shared, "band").select("band", "node"), "bands")
+    entries = staged(each.join(shuffled(shared), "band").select("band", "node"), "bands")
     alike_prints = staged(fingerprint_pairs(nodes.where(F.size("bands") > 0).select("node", "fp")), "prints")
     in_pairs = alike_prints.select(F.explode(F.array("a", "b")).alias("node"))
-    met = staged(nodes.join(entries.select("node").union(in_pairs).distinct(), "node", "left_semi").select("node", "key"), "met")
+    met = staged(nodes.join(shuffled(entries.select("node").union(in_pairs).distinct()), "node", "left_semi").select("node", "key"), "met")
     texts = rows.join(few(met), "key").groupBy("node").agg(F.first("text").alias("text"))
 
     def measure(some: list[bytes]) -> list:
@@ -178,7 +178,7 @@ def groups(marked: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -
     if not links.isEmpty():
         labels = components(links)
     for _ in range(ROUNDS):
-        pairs = staged(candidates(entries, labels).join(done, ["a", "b"], "left_anti"), "pairs")
+        pairs = staged(candidates(entries, labels).join(shuffled(done), ["a", "b"], "left_anti"), "pairs")
         found = staged(alike(pairs, sets, similarity), "links")
         if found.isEmpty():
             break
@@ -187,9 +187,9 @@ def groups(marked: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -
     last = staged(rest(entries, labels, sets, similarity), "links")
     if not last.isEmpty():
         labels = components(links.union(last))
-    labelled = nodes.join(labels, "node", "left").select("sig", "key", F.coalesce("component", "node").alias("component"))
+    labelled = nodes.join(shuffled(labels), "node", "left").select("sig", "key", F.coalesce("component", "node").alias("component"))
     firsts = labelled.groupBy("component").agg(F.min("key").alias("first"))
-    return labelled.join(firsts, "component").select("sig", "first")
+    return labelled.join(shuffled(firsts), "component").select("sig", "first")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -199,7 +199,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = docs.select(key, text.alias("text"))
     marked = staged(signatures(rows, ("key",)), "signatures")
     firsts = groups(marked, rows, similarity)
-    seen = marked.join(firsts, "sig").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("first").alias("first"))
+    seen = marked.join(shuffled(firsts), "sig").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("first").alias("first"))
     # what goes, and what stays once: few against all documents
     seen = staged(seen.select("key", "n", (F.col("key") == F.col("first")).alias("stays")).where("n > 1 or not stays"), "copies")
     found = docs.select(F.struct(*docs.columns).alias("_row"), key)

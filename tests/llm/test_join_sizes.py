@@ -2,7 +2,8 @@
 
 import pytest
 
-from takeoff.llm import common, simhash
+import corpus_pipeline
+from takeoff.llm import common, decontamination, secrets, similar, simhash
 
 
 def plan_of(df) -> str:
@@ -18,7 +19,7 @@ def plans(monkeypatch):
         told.setdefault(name, []).append(plan_of(df))
         return staged(df, name)
 
-    for module in (common, simhash):
+    for module in (common, decontamination, secrets, similar, simhash):
         monkeypatch.setattr(module, "staged", kept)
     return told
 
@@ -31,3 +32,21 @@ def test_fingerprints_and_their_cells_are_joined_by_a_shuffle(spark, plans):
     assert {"midpoints", "edges", "result"} <= set(plans)
     assert not [name for name, each in plans.items() if "Broadcast" in "".join(each)]
     assert out.count() == 9
+
+
+def test_texts_their_bands_and_hits_are_joined_by_a_shuffle(spark, plans, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_TERMS", 0)
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words[: 120 - i]) for i in range(20)] + [" ".join(reversed(words)), "password: monday77 " + " ".join(words[50:])]
+    rows = [(f"d{i:02}", t, "s") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id string, text string, source string")
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    plans["near_dedup"] = [plan_of(kept)]
+    assert {"midpoints", "edges", "bands", "prints", "met", "links", "pairs", "copies"} <= set(plans)
+    assert not [name for name, each in plans.items() if "Broadcast" in "".join(each)]
+    plans.clear()
+    benchmark = spark.createDataFrame([("b", " ".join(words[5:25]))], "item_id string, text string")
+    plans["result"] = [plan_of(decontamination.contamination(docs, benchmark)), plan_of(secrets.redacted(docs))]
+    assert {"postings", "found", "secrets"} <= set(plans) and "Broadcast" not in "".join(plans["postings"] + plans["result"])
+    assert 1 < kept.count() < len(texts)
